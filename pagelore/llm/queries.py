@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import pii, topk, warc
+from pagelore.llm import bpe, mpegts, packing, pii, topk, warc
 from pagelore.llm.common import table
 
 
@@ -25,7 +26,19 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op6_warc_archive, op8_pii_spans)}
+def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1)
+
+
+def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.features(mpegts.store(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op4_sum_of_squares_packing, op6_warc_archive, op8_pii_spans, op9_transducer_bpe, op10_transport_stream)}
 
 SQL: dict[str, str] = {}
 
