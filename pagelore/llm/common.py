@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +16,25 @@ BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once a context, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagelore_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="pagelore-"), "pagelore-package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(at := os.path.join(folder, name), os.path.relpath(at, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._pagelore_shipped = True
+
+
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a batch of long texts fits a Python worker."""
+    """Keep Arrow batches small, so that a batch of long texts fits a Python worker; send the package along."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

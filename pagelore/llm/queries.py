@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import bpe, mpegts, packing, pii, topk, warc
-from pagelore.llm.common import table
+from pagelore.llm import bpe, langid, mpegts, packing, pii, quality, topk, warc
+from pagelore.llm.common import id_hash_mod, table
 
 
 def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,17 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.features(mpegts.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op4_sum_of_squares_packing, op6_warc_archive, op8_pii_spans, op9_transducer_bpe, op10_transport_stream)}
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_hash_mod(F.col("doc_id"), 3) == 1)
+
+
+def op7_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_hash_mod(F.col("doc_id"), 4) == 2
+    found = langid.identify(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op2_quality_discriminant, op4_sum_of_squares_packing, op6_warc_archive, op7_unigram_language, op8_pii_spans, op9_transducer_bpe, op10_transport_stream)}
 
 SQL: dict[str, str] = {}
 
