@@ -13,8 +13,11 @@ Sequence ids are (partition << 33) + a running number: unique, and the same when
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -105,28 +108,56 @@ class SumOfSquares:
 
 
 CHUNK = re.compile(r"[^ \n\t\r]+")
+#: Letters, then signs: two pretokens. Left to the tokenizer: letters whose lower case depends on what is near or is no letter, and apostrophes.
+WORD = re.compile(r"([^\W\d_\u0130\u03a3]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones are themselves, the others follow U+0100 in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class ChunkIds(dict):
-    """White-space-free chunk -> its ids as bytes. White space only separates for such a tokenizer, so a text's ids are its chunks' in turn."""
+    """Part of a text without white space -> its ids as bytes.
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
-        import os
+    White space only separates for such a tokenizer, so a text's ids are its parts' in turn. A part that is a plain word, or
+    one with signs behind it, goes to the tokenizer's merges straight; any other takes the whole way. The last two
+    generations of parts are kept.
+    """
 
+    def __init__(self, path: str, most: int = 400_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
         if (found := self.older.get(chunk)) is None:
-            found = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.ids(chunk)
             if len(chunk) > 64:
                 return found
         self[chunk] = found
         return found
 
+    def ids(self, chunk: str) -> bytes:
+        plain = WORD.fullmatch(chunk)
+        if not plain or len(chunk) > 64 or not plain[1].isalpha():
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        word, signs = plain.groups()
+        if signs:
+            return self[word] + self._merged(signs)
+        low = word.lower()
+        return self[low] if low != word else self._merged(word)
+
+    def _merged(self, pretoken: str) -> bytes:
+        if not pretoken.isascii():
+            pretoken = unicodedata.normalize("NFC", pretoken).encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(pretoken)]).tobytes()
+
     def of(self, text: str) -> bytes:
         if len(self) >= self.most:
             self.older = dict(self)
