@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import bpe, langid, mpegts, packing, pii, quality, topk, warc
+from pagelore.llm import bpe, langid, mpegts, packing, pii, quality, simhash, topk, warc
 from pagelore.llm.common import id_hash_mod, table
 
 
@@ -26,6 +26,11 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op3_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1)
 
@@ -48,7 +53,7 @@ def op7_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op2_quality_discriminant, op4_sum_of_squares_packing, op6_warc_archive, op7_unigram_language, op8_pii_spans, op9_transducer_bpe, op10_transport_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op2_quality_discriminant, op3_simhash_bk_trees, op4_sum_of_squares_packing, op6_warc_archive, op7_unigram_language, op8_pii_spans, op9_transducer_bpe, op10_transport_stream)}
 
 SQL: dict[str, str] = {}
 
