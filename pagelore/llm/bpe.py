@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from pagelore.llm.common import tune
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES, LONG_PIECE = 120_000, 400_000, 250_000, 64
+MAX_STATES, MAX_PAIRS, MAX_PIECES, LONG_PIECE = 250_000, 500_000, 400_000, 64
 ROOT, NO_TOKEN = 0, -1
 
 
@@ -55,6 +55,7 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(self.length.values(), default=1)
+        self.parts: dict[int, tuple[int, int]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -78,16 +79,52 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes this one (longer than a byte)."""
+        if (found := self.parts.get(token)) is None:
+            whole = self.bytes_of[token]
+            parts = [whole[i : i + 1] for i in range(len(whole))]
+            while len(parts) > 2:
+                ranked = [(self.ranks[p], i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.ranks]
+                i = min(ranked)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            found = self.parts[token] = (self.ranks[parts[0]], self.ranks[parts[1]])
+        return found
+
     def may_follow(self, before: int, token: int) -> bool:
+        """Do the two tokens, side by side, encode to themselves?
+
+        Merges are undone from the last to the first. At any time the boundary lies between one part of the left
+        token and one of the right; if these merge before either is merged within its own token, the pair can't stand. At
+        equal rank the place further left goes first.
+        """
         if before == NO_TOKEN:
-            return self.merged(self.bytes_of[token]) == [token]
+            return True
         key = before << 32 | token
         if (ok := self.follows.get(key)) is None:
             if len(self.follows) >= MAX_PAIRS:
                 self.follows.clear()
-            ok = self.follows[key] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+            ok = self.follows[key] = self._stands(before, token)
         return ok
 
+    def _stands(self, left: int, right: int) -> bool:
+        ranks, bytes_of, never = self.ranks, self.bytes_of, 1 << 60
+        left_until = right_until = never
+        x, y = bytes_of[left], bytes_of[right]
+        while True:
+            rank = ranks.get(x + y)
+            if rank is not None and rank < left_until and rank <= right_until:
+                return False
+            left_from, right_from = (left if len(x) > 1 else -1), (right if len(y) > 1 else -1)
+            if left_from < 0 and right_from < 0:
+                return True
+            if left_from > right_from:
+                left_until, left = left, self.halves(left)[1]
+                x = bytes_of[left]
+            else:
+                right_until, right = right, self.halves(right)[0]
+                y = bytes_of[right]
+
     def step(self, state: State, byte: int) -> State:
         items, ends = [], NO_TOKEN
         trie, token_at = self.trie, self.token_at
@@ -252,7 +289,7 @@ class Codec:
             line = " ".join(words)
             said.update((" " + line if n else line).encode())
             n += line.count(" ") + 1
-            back.update(stream.feed([i for ids in groups for i in ids]).encode())
+            back.update(stream.feed(chain.from_iterable(groups)).encode())
         back.update(stream.finish().encode())
         return n, said.hexdigest(), back.hexdigest()
 
