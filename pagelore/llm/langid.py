@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,22 +243,47 @@ def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int =
     return langs, np.log(p), np.log(n / n.sum())
 
 
-def identify(docs: DataFrame, learn_from: Column, vocabulary: str, *, sample: int = 1500, rounds: int = 3) -> DataFrame:
-    """doc_id, lang_pred, score of every document, learned from the documents that learn_from holds for."""
+def _predictor(docs: DataFrame, learn_from: Column, vocabulary: str, sample: int, rounds: int):
+    """A function that workers call for their model, trained on the documents that learn_from holds for."""
     spark = docs.sparkSession
     tune(spark)
     langs, logs, priors = train(docs.where(learn_from), vocabulary, sample=sample, rounds=rounds)
     key = uuid.uuid4().hex  # a worker keeps one model, under the key of its call
-    held = spark.sparkContext.broadcast((langs, logs.astype(np.float32), priors))
+    held = spark.sparkContext.broadcast((langs, logs.astype(np.float32), priors))  # pieces x languages: the vocabulary bounds it
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def model() -> Model:
         if key not in _MODELS:
             _MODELS.clear()
             names, own, first = held.value
             _MODELS[key] = Model(pieces_of(vocabulary), names, own.astype(float), first)
-        model = _MODELS[key]
+        return _MODELS[key]
+
+    return model
+
+
+def identify(docs: DataFrame, learn_from: Column, vocabulary: str, *, sample: int = 1500, rounds: int = 3) -> DataFrame:
+    """doc_id, lang_pred, score of every document, learned from the documents that learn_from holds for."""
+    model = _predictor(docs, learn_from, vocabulary, sample, rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model()
         for batch in batches:
-            got = model.predict(batch.column("text").to_pylist())
+            got = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, learn_from: Column, vocabulary: str, *, least: float = 0.5, sample: int = 1500, rounds: int = 3) -> DataFrame:
+    """The documents whose language is found with a score of `least` or more, all their columns as they are but for a null lang, which is filled in."""
+    model = _predictor(docs, learn_from, vocabulary, sample, rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model()
+        for batch in batches:
+            got = own.predict(batch.column("text").to_pylist())
+            at = batch.schema.get_field_index("lang")
+            lang = pc.coalesce(batch.column(at), pa.array([g[0] for g in got], batch.schema.field(at).type))
+            yield batch.set_column(at, batch.schema.field(at), lang).filter(pa.array([g[0] != UND and g[1] >= least for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

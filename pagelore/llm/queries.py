@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import bpe, langid, mpegts, packing, pii, quality, simhash, topk, warc
+from pagelore.llm import bpe, langid, mpegts, packing, pii, quality, simhash, substrings, topk, warc
 from pagelore.llm.common import id_hash_mod, table
 
 
@@ -17,6 +17,10 @@ def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024).withColumn("rank", F.col("rank").cast("int"))
 
 
+def op5_anchored_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50, with_text=False, digests=True)
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_index(spark, archive)
@@ -53,7 +57,7 @@ def op7_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op2_quality_discriminant, op3_simhash_bk_trees, op4_sum_of_squares_packing, op6_warc_archive, op7_unigram_language, op8_pii_spans, op9_transducer_bpe, op10_transport_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kdtree_top_k, op2_quality_discriminant, op3_simhash_bk_trees, op4_sum_of_squares_packing, op5_anchored_repeats, op6_warc_archive, op7_unigram_language, op8_pii_spans, op9_transducer_bpe, op10_transport_stream)}
 
 SQL: dict[str, str] = {}
 
@@ -85,3 +89,24 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN
   CASE WHEN page_id > first_id THEN first_id END AS refers_to
 FROM f
 """
+
+SQL["op5_anchored_repeats"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), n AS (
+  SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n_words FROM d
+), s AS (
+  SELECT doc_id, unnest(range(1, n_words - 48)) AS p, w FROM n WHERE n_words >= 50
+), h AS (
+  SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS k FROM s
+), f AS (
+  SELECT k, min(doc_id) AS first_id FROM h GROUP BY k
+), c AS (
+  SELECT DISTINCT h.doc_id, unnest(range(h.p, h.p + 50)) AS p FROM h JOIN f ON h.k = f.k WHERE f.first_id < h.doc_id
+), g AS (
+  SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id
+)
+SELECT n.doc_id, n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM n LEFT JOIN g ON n.doc_id = g.doc_id
+"""

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import tune, written
@@ -294,6 +294,20 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     return assigned(rows.select("doc_id", "fp", "key"), nodes.select("key", "node"), found, "key").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents without those whose component has a smaller id; of rows with one id, the first by text. A null id stays."""
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "copies")
+    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    if not again.limit(1).count():
+        return left
+    again = written(again, "repeated-ids")
+    rest = left.join(again, left["doc_id"] == again["again"], "left_anti")
+    first = Window.partitionBy("again").orderBy("text")
+    many = left.join(again, left["doc_id"] == again["again"]).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "again", "text")
+    return rest.unionByName(many.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
+
+
 def assigned(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """rows with component_id. The table of components is written first, so that the last join may split a hot fingerprint."""
     groups = components(found)
