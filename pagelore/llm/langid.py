@@ -40,30 +40,67 @@ class Pieces:
         self.rows = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i) and not model.is_byte(i)}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.size = model.get_piece_size()
-        self.longest = max(map(len, self.rows))
+        self.back = {piece[n:]: -1 for piece in self.rows for n in range(1, len(piece))} | self.rows
+        #: piece -> its row, and -1 for what only begins a piece: where a look-up finds nothing, nothing longer will do
+        self.trie = {piece[:n]: -1 for piece in self.rows for n in range(1, len(piece))} | self.rows
+
+    def prefix_edges(self, words: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[int], list[str]]:
+        """Edges (place, from, row) by depth over the prefixes of sorted words, the place where each word ends, and the spelled characters.
+
+        Words that begin alike share their places, so that a prefix is summed once. Rows from `size` on are the spelled characters.
+        """
+        get, count, path, before, ends = self.back.get, 1, [0], "", []
+        levels: list[list[tuple[int, int, int]]] = [[]]
+        spelled: dict[str, int] = {}
+        for word in words:
+            text = MARK + word
+            n, c = len(text), 0
+            for a, b in zip(text, before, strict=False):
+                if a != b:
+                    break
+                c += 1
+            del path[c + 1 :]
+            while len(levels) <= n:
+                levels.append([])
+            for j in range(c + 1, n + 1):
+                path.append(count)
+                add = levels[j].append
+                for i in range(j - 1, -1, -1):
+                    if (row := get(text[i:j])) is None:
+                        break
+                    if row >= 0:
+                        add((count, path[i], row))
+                if self.rows.get(text[j - 1]) is None:
+                    add((count, path[j - 1], spelled.setdefault(text[j - 1], self.size + len(spelled))))
+                count += 1
+            ends.append(path[n])
+            before = text
+        levels[0].append((count, 0, 0))
+        return levels, ends, list(spelled)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """word, from, to, row of every piece in every word; lengths. A spelled character has one edge a byte, through places of its own."""
         out, lengths = [], []
-        get, longest = self.rows.get, self.longest
+        get, add = self.trie.get, out.append
         for k, word in enumerate(words):
             text = MARK + word
             n = len(text)
             spare = n
             for i in range(n):
-                single = False
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    if (row := get(text[i:j])) is not None:
-                        out.append((k, i, j, row))
-                        single |= j == i + 1
+                single = get(text[i]) is not None and self.trie[text[i]] >= 0
+                for j in range(i + 1, n + 1):
+                    if (row := get(text[i:j])) is None:
+                        break
+                    if row >= 0:
+                        add((k, i, j, row))
                 if not single:
                     data = text[i].encode("utf-8", "surrogatepass")
                     at = i
                     for b in data[:-1]:
                         spare += 1
-                        out.append((k, at, spare, self.bytes[b]))
+                        add((k, at, spare, self.bytes[b]))
                         at = spare
-                    out.append((k, at, i + 1, self.bytes[data[-1]]))
+                    add((k, at, i + 1, self.bytes[data[-1]]))
             lengths.append((n, spare))
         flat = np.array(out, np.int64).reshape(-1, 4)
         return flat[:, 0], flat[:, 1], flat[:, 2], flat[:, 3], np.array(lengths, np.int64).reshape(-1, 2)
@@ -102,39 +139,55 @@ def walking_order(start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> li
 class Model:
     """Log probabilities by language; words are scored in batches and kept, a bounded number of them."""
 
-    def __init__(self, pieces: Pieces, langs: list[str], logs: np.ndarray, priors: np.ndarray, most: int = 200_000):
+    def __init__(self, pieces: Pieces, langs: list[str], logs: np.ndarray, priors: np.ndarray, most: int = 400_000):
         self.pieces, self.langs, self.logs, self.priors, self.most = pieces, langs, logs, priors, most
         self.p = np.exp(logs)
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(langs)))
+        self.known: dict[str, int] = {}  # word -> row of the table; the generation before is kept too
+        self.table = np.zeros((most, len(langs)))
+        self.older, self.older_table = {}, self.table
 
     def word_logs(self, words: list[str]) -> np.ndarray:
-        word, start, end, row, lengths = self.pieces.edges(words)
-        steps = walking_order(start, end, lengths[word, 0])
-        size = (len(words), int(lengths.max()) + 1)
-        done = forward(self.p[row], word, start, end, size, steps)[np.arange(len(words)), lengths[:, 0]]
+        order = sorted(range(len(words)), key=words.__getitem__)
+        levels, ends, spelled = self.pieces.prefix_edges([words[k] for k in order])
+        extra = [self.p[[self.pieces.bytes[b] for b in c.encode("utf-8", "surrogatepass")]].prod(0) for c in spelled]
+        p = np.concatenate([self.p, np.array(extra)]) if extra else self.p
+        sums = np.zeros((levels[0][0][0], p.shape[1]))
+        sums[0] = 1.0
+        for edges in filter(None, levels[1:]):  # the places of a depth have their edges side by side
+            flat = np.array(edges, np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(flat[:, 0]) != 0]))
+            sums[flat[heads, 0]] = np.add.reduceat(sums[flat[:, 1]] * p[flat[:, 2]], heads)
+        done = np.empty((len(words), p.shape[1]))
+        done[order] = sums[ends]
         with np.errstate(divide="ignore"):
             out = np.log(done)
         for k in np.flatnonzero((done < 1e-290).any(1)).tolist():  # too small for plain numbers
-            own = word == k
-            sums = np.full((size[1], self.p.shape[1]), -np.inf)
-            sums[0] = 0.0
-            s, e, r = start[own], end[own], row[own]
-            for edges in walking_order(s, e, np.full(len(s), lengths[k, 0])):
+            _, s, e, r, lengths = self.pieces.edges([words[k]])
+            logs = np.full((int(lengths.max()) + 1, p.shape[1]), -np.inf)
+            logs[0] = 0.0
+            for edges in walking_order(s, e, np.full(len(s), lengths[0, 0])):
                 for i in edges.tolist():
-                    sums[e[i]] = np.logaddexp(sums[e[i]], sums[s[i]] + self.logs[r[i]])
-            out[k] = sums[lengths[k, 0]]
+                    logs[e[i]] = np.logaddexp(logs[e[i]], logs[s[i]] + self.logs[r[i]])
+            out[k] = logs[lengths[0, 0]]
         return out
 
     def learn_words(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.known]
+        fresh = list(words.difference(self.known))
         if len(self.known) + len(fresh) > self.most:
-            self.known, self.table, fresh = {}, np.zeros((0, len(self.langs))), list(words)
-        for a in range(0, len(fresh), 4096):
-            part = fresh[a : a + 4096]
-            for w in part:
-                self.known[w] = len(self.known)
-            self.table = np.concatenate([self.table, self.word_logs(part)])
+            self.older, self.older_table = self.known, self.table
+            self.known, fresh = {}, list(words)
+            self.table = np.zeros((max(self.most, len(fresh)), len(self.langs)))
+        again = [w for w in fresh if w in self.older]
+        fresh = [w for w in fresh if w not in self.older]
+        for part in (again[a : a + 4096] for a in range(0, len(again), 4096)):
+            self._keep(part, self.older_table[[self.older[w] for w in part]])
+        for part in (fresh[a : a + 4096] for a in range(0, len(fresh), 4096)):
+            self._keep(part, self.word_logs(part))
+
+    def _keep(self, words: list[str], logs: np.ndarray) -> None:
+        at = len(self.known)
+        self.table[at : at + len(words)] = logs
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior of each whole text."""
