@@ -35,34 +35,30 @@ _STOP[[33, 46, 63]] = True
 
 
 def statistics(text: str) -> list[float]:
-    """The transformed statistics of one whole text."""
+    """The transformed statistics of one whole text. Shares are drawn towards usual ones by a few words' weight, so that a short text is not an odd one."""
     data = text.encode("utf-8", "surrogatepass")
     histogram = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    n = max(1, len(data))
-    words = text.split()
-    w = max(1, len(words))
-    lines = text.split("\n")
-    again = 1 - len(set(lines)) / len(lines)
+    words, lines = text.split(), text.split("\n")
+    w, different = len(words), set(lines)
     worst_symbols = worst_repeats = 0.0
-    for line in set(lines):
+    for line in different:
         own = line.split()
         if len(own) >= 3:
-            symbols = sum(map(line.count, "#$%&*|!"))
-            worst_symbols = max(worst_symbols, symbols / len(own))
-            worst_repeats = max(worst_repeats, sum(map(eq, own, own[1:])) / len(own))
-    share = lambda mask: float(histogram[mask].sum()) / n
+            worst_symbols = max(worst_symbols, sum(map(line.count, "#$%&*|!")) / (len(own) + 2))
+            worst_repeats = max(worst_repeats, sum(map(eq, own, own[1:])) / (len(own) + 2))
+    share = lambda mask, usual: ((float(histogram[mask].sum()) + usual) / (len(data) + 50)) ** 0.5
     return [
-        float(np.log1p(len(words))),
-        float(np.log1p(len(text) / w)),
-        share(_UPPER) ** 0.5,
-        share(_DIGIT) ** 0.5,
-        share(_SYMBOL) ** 0.5,
+        float(np.log1p(w)),
+        float(np.log1p((len(text) + 60) / (w + 10))),
+        share(_UPPER, 1.0),
+        share(_DIGIT, 0.2),
+        share(_SYMBOL, 0.1),
         min(worst_symbols, 4.0) ** 0.5,
-        (sum(map(eq, words, words[1:])) / w) ** 0.5,
+        (sum(map(eq, words, words[1:])) / (w + 10)) ** 0.5,
         worst_repeats**0.5,
-        again**0.5,
-        float(np.log1p(len(set(words))) / np.log1p(w)),
-        (float(histogram[_STOP].sum()) / w) ** 0.5 if words else 0.0,
+        ((len(lines) - len(different)) / (len(lines) + 5)) ** 0.5,
+        float(np.log1p(len(set(words))) / np.log1p(w + 1)) if w else 1.0,
+        ((float(histogram[_STOP].sum()) + 1) / (w + 10)) ** 0.5,
     ]
 
 
@@ -142,7 +138,7 @@ def moments_of(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
     return out
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, *, shrink: float = 0.1, ridge: float = 1e-3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, *, shrink: float = 0.2, ridge: float = 1e-3) -> DataFrame:
     """doc_id, held_out, score, predicted for all documents, learned from the labelled ones that held_out does not hold for."""
     x = written(document_statistics(docs), "quality-statistics")
     marked = x.withColumn("held_out", F.coalesce(held_out, F.lit(False)))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pagelore.llm.common import tune, written
 from pagelore.llm.components import components
 
-SEED, MIN_HASHES, BAND_WIDTH, BANDS = 42, 128, 3, 10
+SEED, MIN_HASHES, BAND_WIDTH, BANDS = 42, 256, 3, 10
 _RANDOM = np.random.default_rng(20240501)
 _A = _RANDOM.integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, MIN_HASHES, dtype=np.uint64)
@@ -65,8 +65,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
     out = np.full(MIN_HASHES, np.iinfo(np.uint64).max, np.uint64)
     hashes = np.unique(hashes)
-    for a in range(0, len(hashes), 2048):
-        out = np.minimum(out, (hashes[a : a + 2048, None] * _A + _B).min(0))
+    for a in range(0, len(hashes), 1024):
+        out = np.minimum(out, (hashes[a : a + 1024, None] * _A + _B).min(0))
     return out
 
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, most: i
     return assigned(prints, nodes, found, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 20, slack: float = 0.02, most: int = 2048) -> DataFrame:
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 20, slack: float = 0.01, most: int = 2048) -> DataFrame:
     """doc_id, fp, component_id: documents whose sets of shingles are similar by `similarity` or more link.
 
     The radius is wide enough for that similarity (a fingerprint of such a pair differs in 10 bits in the mean); the similarity
