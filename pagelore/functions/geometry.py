@@ -143,6 +143,27 @@ def char_boxes(cols: Column, char_width: Column, col_width: Column, b: Column) -
     return F.array_sort(F.transform(cols, one))
 
 
+def line_char_width(words: Column, col_width: Column, b: Column, n_chars: Column) -> Column:
+    """Mean width of the words' characters (words: array of arrays of columns); of the box's if no word has two; 0 without characters."""
+    widths = F.transform(F.filter(words, lambda w: F.size(w) > 1), lambda w: mean_char_width(w, col_width))
+    mean = F.aggregate(widths, F.lit(0.0), lambda s, w: s + w) / F.greatest(F.size(widths), F.lit(1))
+    return F.when(n_chars == 0, 0.0).when(F.size(widths) > 0, mean).otherwise(F.try_divide(b["x1"] - b["x0"], n_chars))
+
+
+def word_boxes(words: Column, char_width: Column, col_width: Column, b: Column, whole: Column) -> Column:
+    """array<box>: one box a word if `whole`, else one a character."""
+    around = lambda cs: F.struct(F.array_min(F.transform(cs, lambda c: c["x0"])).alias("x0"), b["y0"].alias("y0"), F.array_max(F.transform(cs, lambda c: c["x1"])).alias("x1"), b["y1"].alias("y1"))
+    boxes = F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda w: char_boxes(w, char_width, col_width, b))
+    return F.when(whole, F.transform(boxes, around)).otherwise(F.flatten(boxes))
+
+
+def vertical_padding(width: Column, height: Column, ratio: float, least: int) -> Column:
+    """Rows to add above and below: for an image that is low, or too wide for its height (no such limit if the ratio is negative)."""
+    wide = width / height > ratio if ratio >= 0 else F.lit(False)
+    target = F.floor(F.greatest(width / ratio, F.lit(float(least)))) * 2 if ratio > 0 else F.lit(least * 2)
+    return F.when((height > least) & ~wide, 0).otherwise(F.floor(F.abs(target - height) / 2)).cast("int")
+
+
 def mean_char_width(cols: Column, col_width: Column) -> Column:
     return F.try_divide((F.array_max(cols) - F.array_min(cols)) * col_width, F.size(cols) - 1)
 

@@ -132,7 +132,7 @@ def letterbox(width: int, height: int, side: int = 768) -> dict[str, float]:
 
 def crop_margin(image: np.ndarray, limit: float = 200.0) -> np.ndarray:
     """The box of what is darker than the limit once luma is stretched to 0 to 255; all of it if nothing is."""
-    y = (299 * image[..., 0].astype(int) + 587 * image[..., 1] + 114 * image[..., 2] + 500) // 1000
+    y = (image.astype(int) @ np.array([299, 587, 114]) + 500) // 1000
     if y.max() == y.min():
         return image
     dark = (y - y.min()) * 255.0 / (y.max() - y.min()) < limit

@@ -48,9 +48,21 @@ def text_metrics(expected: Column, actual: Column) -> Column:
 
 
 #: Names of failure kinds, those of the pipeline and those of the model.
-FAILURES = ("none", "model_mismatch", "truncated_no_eos", "empty_ground_truth", "image_decode", "preprocess", "inference", "token_decode", "resource_limit")
-PIPELINE_FAILURES = ("image_decode", "preprocess", "inference", "token_decode", "resource_limit")
+FAILURES = ("none", "image_decode", "inference", "tokenizer_decode", "input_rejected", "truncated_no_eos", "model_mismatch", "empty_ground_truth")
+PIPELINE_FAILURES = ("image_decode", "inference", "tokenizer_decode", "input_rejected")
 MODEL_FAILURES = ("model_mismatch", "truncated_no_eos")
+#: The failure that each class of error counts as.
+ERROR_FAILURES = {
+    "invalid_image": "image_decode", "file_not_found": "image_decode", "download": "image_decode", "io": "image_decode", "http": "image_decode",
+    "tokenizer": "tokenizer_decode", "decode": "inference",
+    "invalid_input": "input_rejected", "config": "input_rejected", "unsupported_provider": "input_rejected", "unsupported_backend": "input_rejected",
+    "hash_mismatch": "input_rejected", "model_resolve": "input_rejected", "yaml": "input_rejected",
+}
+
+
+def error_failure(error: Column) -> Column:
+    """The failure kind of a class of error; null for one that isn't known."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in ERROR_FAILURES.items() for x in kv]), error)
 
 
 def failure_kind(expected: Column, actual: Column, truncated: Column) -> Column:
