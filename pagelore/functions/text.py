@@ -26,10 +26,14 @@ def is_blank(text: Column) -> Column:
     return ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S"))
 
 
-def error_rate(expected: Column, actual: Column) -> Column:
+def rate_of(distance: Column, expected: Column, actual: Column) -> Column:
     """Edit distance over length, in code points. With nothing expected: 0 if nothing came, else 1."""
     n = F.char_length(expected)
-    return F.when(n == 0, F.when(F.char_length(actual) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(expected, actual).cast("double") / n)
+    return F.when(n == 0, F.when(F.char_length(actual) == 0, 0.0).otherwise(1.0)).otherwise(distance.cast("double") / n)
+
+
+def error_rate(expected: Column, actual: Column) -> Column:
+    return rate_of(F.levenshtein(expected, actual), expected, actual)
 
 
 def page_error_rate(expected: Column, actual: Column) -> Column:

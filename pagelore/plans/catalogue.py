@@ -59,9 +59,8 @@ _RATES = """count(*) AS total, count(*) FILTER (WHERE s) AS scored, CAST(0 AS BI
 
 @query(f"WITH {V.RECORDS}, r AS (SELECT *, failure <> 'empty_ground_truth' AS s FROM records) SELECT lang, {_RATES}, round(coalesce(avg(cer) FILTER (WHERE s), 0), 9) AS mean_cer, round(quantile_cont(cer, 0.5), 9) AS cer_p50, round(quantile_cont(cer, 0.95), 9) AS cer_p95 FROM r GROUP BY lang")
 def summary_by_lang(spark, d):
-    records = V.records(spark, d)
-    extra = records.groupBy("lang").agg(F.round(F.percentile("cer", F.lit(0.5)), 9).alias("cer_p50"), F.round(F.percentile("cer", F.lit(0.95)), 9).alias("cer_p95"))
-    return E.summarize(records, ["lang"]).withColumn("mean_cer", F.round("mean_cer", 9)).join(extra, "lang")
+    at = lambda q, name: F.round(F.percentile("cer", F.lit(q)), 9).alias(name)
+    return E.summarize(V.records(spark, d), ["lang"], at(0.5, "cer_p50"), at(0.95, "cer_p95")).withColumn("mean_cer", F.round("mean_cer", 9))
 
 
 @query(f"WITH {V.RECORDS} SELECT lang, failure, count(*) AS n FROM records GROUP BY lang, failure")
@@ -514,6 +513,43 @@ def pixel_arithmetic(spark, d):
     return V.table(spark, d, "events").select("event_id", P.luma(r, g, b).cast("int").alias("luma"), P.blend_on_white(r, a).cast("int").alias("blended"))
 
 
+_WORD_FRAMES = f"""{V.FRAMES}, n AS (SELECT line, row_number() OVER (PARTITION BY line ORDER BY ts, event_id) - 1 AS col, token FROM frames)"""
+
+
+@query(f"WITH {_WORD_FRAMES} SELECT line, col, CAST(floor(greatest((col + 0.5) * 5 - 2, 0)) + 10 AS DOUBLE) AS x0, CAST(floor(least((col + 0.5) * 5 + 2, 2000)) + 10 AS DOUBLE) AS x1 FROM n WHERE token <> 0 AND col < 50")
+def char_boxes(spark, d):
+    w = Window.partitionBy("line").orderBy("ts", "event_id")
+    cols = V.frames(spark, d).withColumn("col", F.row_number().over(w) - 1).where("token <> 0 AND col < 50")
+    lines = cols.groupBy("line").agg(F.array_sort(F.collect_list("col")).alias("cols"))
+    box = F.struct(F.lit(10.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(2010.0).alias("x1"), F.lit(9.0).alias("y1"))
+    placed = F.arrays_zip("cols", G.char_boxes(F.col("cols"), F.lit(4.0), F.lit(5.0), box).alias("boxes"))
+    return lines.select("line", F.explode(placed).alias("c")).select("line", F.col("c.cols").cast("long").alias("col"), F.col("c")["boxes"]["x0"].alias("x0"), F.col("c")["boxes"]["x1"].alias("x1"))
+
+
+@query("WITH c AS (SELECT event_id, ['invalid_image', 'tokenizer', 'decode', 'config', 'unknown'][event_id % 5 + 1] AS e FROM events) SELECT event_id, CASE e WHEN 'invalid_image' THEN 'image_decode' WHEN 'tokenizer' THEN 'tokenizer_decode' WHEN 'decode' THEN 'inference' WHEN 'config' THEN 'input_rejected' END AS failure FROM c")
+def error_classes(spark, d):
+    names = F.array(*map(F.lit, ("invalid_image", "tokenizer", "decode", "config", "unknown")))
+    return V.table(spark, d, "events").select("event_id", X.error_failure(F.element_at(names, (F.col("event_id") % 5 + 1).cast("int"))).alias("failure"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN h > 30 AND NOT (w / h > 8) THEN 0 ELSE floor(abs(floor(greatest(w / 8, 30)) * 2 - h) / 2) END AS INTEGER) AS padding FROM (SELECT p_partkey, p_size * 20.0 AS w, p_partkey % 70 + 1.0 AS h FROM part)")
+def vertical_padding(spark, d):
+    w, h = F.col("p_size") * 20.0, F.col("p_partkey") % 70 + 1.0
+    return V.table(spark, d, "part").select("p_partkey", G.vertical_padding(w, h, 8.0, 30).alias("padding"))
+
+
+@query(f"WITH {V.REGIONS} SELECT page, count(*) AS regions, count(*) FILTER (WHERE class_id = 2) AS formulas, count(*) FILTER (WHERE class_id <> 2) AS texts FROM regions GROUP BY page")
+def region_counts(spark, d):
+    formula = F.col("class_id") == 2
+    return V.regions(spark, d).groupBy("page").agg(F.count(F.lit(1)).alias("regions"), F.count_if(formula).alias("formulas"), F.count_if(~formula).alias("texts"))
+
+
+@query(f"WITH {V.REGIONS} SELECT page, count(*) > 0 AND bool_and(score >= 0) AS good, avg(CASE WHEN class_id = 0 THEN score END) AS mean_score FROM regions GROUP BY page HAVING count(*) = 1")
+def single_regions(spark, d):
+    grouped = V.regions(spark, d).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score") >= 0).alias("good"), F.avg(F.when(F.col("class_id") == 0, F.col("score"))).alias("mean_score"))
+    return grouped.where("n = 1").select("page", "good", "mean_score")
+
+
 # --- jobs
 
 _FOLD = """WITH RECURSIVE e AS (SELECT user_id % 50 AS job, ts, event_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'succeed' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'cancel' ELSE 'noop' END AS event FROM events),
