@@ -110,3 +110,39 @@ SELECT n.doc_id, n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM n LEFT JOIN g ON n.doc_id = g.doc_id
 """
+
+
+def _pii_sql() -> str:
+    """Matches and the text between them give the places, as in the operator; the plain patterns serve here."""
+    patterns = {k: pii.BASE_PATTERNS.get(k, pii.PATTERNS[k]) for k in pii.KINDS}
+    digits = "regexp_replace(z.m, '[^0-9]', '', 'g')"
+    turned = "(substr(replace(z.m, ' ', ''), 5) || substr(replace(z.m, ' ', ''), 1, 4))"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({digits}, length({digits}) - i + 1, 1) AS INTEGER) ELSE CAST(substr({digits}, length({digits}) - i + 1, 1) AS INTEGER) * 2 - CASE WHEN substr({digits}, length({digits}) - i + 1, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+    mod97 = f"list_reduce(list_concat([0], list_transform(range(1, length({turned}) + 1), lambda i: CAST(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({turned}, i, 1)) - 1 AS INTEGER))), lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1"
+    passes = {
+        "ip": "len(list_filter(string_split(z.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+        "iban": f"length(replace(z.m, ' ', '')) BETWEEN 15 AND 34 AND {mod97}",
+    }
+    around = f"(substr(x, greatest(z.s - {pii.WINDOW}, 0) + 1, z.s - greatest(z.s - {pii.WINDOW}, 0)) || ' ' || substr(x, z.e + 1, {pii.WINDOW}))"
+    parts, columns = [], []
+    for kind in pii.KINDS:
+        found = f"regexp_extract_all(x, '{patterns[kind]}')"
+        gaps = f"list_transform(string_split_regex(x, '{patterns[kind]}'), lambda g: length(g))"
+        parts.append(f"{found} AS m_{kind}, {gaps} AS g_{kind}")
+        start = f"list_sum(g_{kind}[1 : i]) + coalesce(list_sum(list_transform(m_{kind}[1 : i - 1], lambda y: length(y))), 0)"
+        spans = f"list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': CAST({start} AS BIGINT), 'e': CAST({start} + length(m_{kind}[i]) AS BIGINT), 'm': m_{kind}[i]}})"
+        good = passes.get(kind, "true")
+        if kind not in pii.BASE_KINDS:
+            score = f"{pii.PRIOR[kind]} + CASE WHEN regexp_matches({around}, '{pii.FOR[kind]}') THEN {pii.BOOST} ELSE 0 END - CASE WHEN regexp_matches({around}, '{pii.AGAINST}') THEN {pii.CUT} ELSE 0 END"
+            good += f" AND round(greatest(0, least(1, {score})), 4) >= 0.5"
+        columns.append(f"list_transform(list_filter({spans}, lambda z: {good}), lambda z: '{kind}:' || z.s || ':' || z.e) AS {kind}")
+    counts = ", ".join(f"CAST(len({kind}) AS BIGINT) AS n_{kind}" for kind in pii.BASE_KINDS)
+    base = "list_concat(list_concat(email, ip), list_concat(card, phone))"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), f AS (SELECT doc_id, x, {', '.join(parts)} FROM t
+), k AS (SELECT doc_id, {', '.join(columns)} FROM f)
+SELECT doc_id, {counts}, sha256(array_to_string({base}, ',')) AS base_sha256, array_to_string(list_concat({base}, list_concat(iban, ssn)), ',') AS spans FROM k"""
+
+
+SQL["op8_pii_spans"] = _pii_sql()
