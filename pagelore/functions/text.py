@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -203,46 +204,52 @@ def remove_unsupported(latex: Column) -> Column:
     return F.regexp_replace(latex, r"\\(?:" + "|".join(UNSUPPORTED) + ")", "")
 
 
+_MARKS = re.compile(r"[{}]|\\(?=left.|right.)", re.DOTALL)
+
+
+def _escaped(text: str, at: int) -> bool:
+    """Do an odd number of backslashes stand before the place?"""
+    n = 0
+    while at - n > 0 and text[at - n - 1] == "\\":
+        n += 1
+    return n % 2 == 1
+
+
+def _group_end(text: str, start: int) -> int | None:
+    """Where the group that holds the place ends."""
+    level = 0
+    for m in _MARKS.finditer(text, start):
+        if m[0] != "\\" and not _escaped(text, m.start()):
+            level += 1 if m[0] == "{" else -1
+            if level < 0:
+                return m.start()
+    return None
+
+
 def _pair_right_commands(text: str) -> str:
     """Where \\left and its \\right lie at different brace depths, \\right and its delimiter move to the end of \\left's group."""
-    n, depth, opened, moves = len(text), 0, [], []
-    escaped = [False] * (n + 1)  # is the character behind an odd number of backslashes?
-    for i in range(1, n):
-        escaped[i] = text[i - 1] == "\\" and not escaped[i - 1]
-
-    def group_end(start: int) -> int | None:
-        level = 0
-        for i in range(start, n):
-            if text[i] == "{" and not escaped[i]:
-                level += 1
-            elif text[i] == "}" and not escaped[i]:
-                level -= 1
-                if level < 0:
-                    return i
-        return None
-
-    i = 0
-    while i < n:
-        if escaped[i]:
-            i += 1
-        elif text.startswith("\\left", i) and i + 5 < n:
+    depth, opened, moves, at = 0, [], [], 0
+    while m := _MARKS.search(text, at):
+        i = m.start()
+        at = i + 1
+        if _escaped(text, i):
+            continue
+        if m[0] == "{":
+            depth += 1
+        elif m[0] == "}":
+            depth = max(0, depth - 1)
+        elif text.startswith("left", i + 1):
             opened.append((i, depth))
-            i += 6
-        elif text.startswith("\\right", i) and i + 6 < n:
+            at = i + 6
+        else:
+            at = i + 7
             if opened:
                 start, level = opened.pop()
-                if level != depth and (end := group_end(start)) is not None:
+                if level != depth and (end := _group_end(text, start)) is not None:
                     moves.append((i, end))
-            i += 7
-        else:
-            if text[i] == "{":
-                depth += 1
-            elif text[i] == "}":
-                depth = max(0, depth - 1)
-            i += 1
-    for at, target in sorted(moves, reverse=True):
-        if at + 7 <= len(text):
-            part, rest = text[at : at + 7], text[:at] + text[at + 7 :]
+    for i, target in sorted(moves, reverse=True):
+        if i + 7 <= len(text):
+            part, rest = text[i : i + 7], text[:i] + text[i + 7 :]
             text = rest[:target] + part + rest[target:]
     return text
 

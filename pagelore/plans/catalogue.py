@@ -45,9 +45,9 @@ def query(sql: str | None = None):
 # --- evaluation
 
 
-@query(f"WITH {V.RECORDS} SELECT doc_id, exact, normalized, distance, cer, failure FROM records")
+@query(f"WITH {V.RECORDS} SELECT pair, exact, normalized, distance, cer, failure FROM records")
 def score_pairs(spark, d):
-    return V.records(spark, d).select("doc_id", "exact", "normalized", "distance", "cer", "failure")
+    return V.records(spark, d).select("pair", "exact", "normalized", "distance", "cer", "failure")
 
 
 _RATES = """count(*) AS total, count(*) FILTER (WHERE s) AS scored, CAST(0 AS BIGINT) AS pipeline_failures,
@@ -57,55 +57,55 @@ _RATES = """count(*) AS total, count(*) FILTER (WHERE s) AS scored, CAST(0 AS BI
   coalesce(CAST(count(*) FILTER (WHERE normalized AND s) AS DOUBLE) / nullif(count(*) FILTER (WHERE s), 0), 0) AS normalized_match_rate"""
 
 
-@query(f"WITH {V.RECORDS}, r AS (SELECT *, failure <> 'empty_ground_truth' AS s FROM records) SELECT lang, {_RATES}, round(coalesce(avg(cer) FILTER (WHERE s), 0), 9) AS mean_cer, round(quantile_cont(cer, 0.5), 9) AS cer_p50, round(quantile_cont(cer, 0.95), 9) AS cer_p95 FROM r GROUP BY lang")
-def summary_by_lang(spark, d):
+@query(f"WITH {V.RECORDS}, r AS (SELECT *, failure <> 'empty_ground_truth' AS s FROM records) SELECT role, {_RATES}, round(coalesce(avg(cer) FILTER (WHERE s), 0), 9) AS mean_cer, round(quantile_cont(cer, 0.5), 9) AS cer_p50, round(quantile_cont(cer, 0.95), 9) AS cer_p95 FROM r GROUP BY role")
+def summary_by_role(spark, d):
     at = lambda q, name: F.round(F.percentile("cer", F.lit(q)), 9).alias(name)
-    return E.summarize(V.records(spark, d), ["lang"], at(0.5, "cer_p50"), at(0.95, "cer_p95")).withColumn("mean_cer", F.round("mean_cer", 9))
+    return E.summarize(V.records(spark, d), ["role"], at(0.5, "cer_p50"), at(0.95, "cer_p95")).withColumn("mean_cer", F.round("mean_cer", 9))
 
 
-@query(f"WITH {V.RECORDS} SELECT lang, failure, count(*) AS n FROM records GROUP BY lang, failure")
+@query(f"WITH {V.RECORDS} SELECT role, failure, count(*) AS n FROM records GROUP BY role, failure")
 def failure_counts(spark, d):
-    return E.failure_counts(V.records(spark, d), ["lang"])
+    return E.failure_counts(V.records(spark, d), ["role"])
 
 
-@query(rf"WITH {V.PAIRS}, n AS (SELECT doc_id, trim(regexp_replace(expected, '\s+', ' ', 'g')) AS e, trim(regexp_replace(actual, '\s+', ' ', 'g')) AS a FROM pairs) SELECT doc_id, CAST(CASE WHEN length(e) = 0 THEN CASE WHEN length(a) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(e, a) AS DOUBLE) / length(e) END AS FLOAT) AS cer, e = a AS exact FROM n")
+@query(rf"WITH {V.PAIRS}, n AS (SELECT pair, trim(regexp_replace(expected, '\s+', ' ', 'g')) AS e, trim(regexp_replace(actual, '\s+', ' ', 'g')) AS a FROM pairs) SELECT pair, CAST(CASE WHEN length(e) = 0 THEN CASE WHEN length(a) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(e, a) AS DOUBLE) / length(e) END AS FLOAT) AS cer, e = a AS exact FROM n")
 def page_error_rate(spark, d):
     e, a = F.col("expected"), F.col("actual")
-    return V.pairs(spark, d).select("doc_id", X.page_error_rate(e, a).alias("cer"), (X.normalize_whitespace(e) == X.normalize_whitespace(a)).alias("exact"))
+    return V.pairs(spark, d).select("pair", X.page_error_rate(e, a).alias("cer"), (X.normalize_whitespace(e) == X.normalize_whitespace(a)).alias("exact"))
 
 
-_RUNS = f"""{V.RECORDS}, a AS (SELECT * FROM records WHERE doc_id % 10 <> 3), b AS (
-  SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN expected ELSE actual END AS actual, truncated FROM records WHERE doc_id % 10 <> 7)"""
+_RUNS = f"""{V.RECORDS}, a AS (SELECT * FROM records WHERE pair % 10 <> 3), b AS (
+  SELECT pair, CASE WHEN pair % 4 = 1 THEN expected ELSE actual END AS actual, truncated FROM records WHERE pair % 10 <> 7)"""
 
 
 def _runs(spark, d):
     records = V.records(spark, d)
-    other = records.select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.col("expected")).otherwise(F.col("actual")).alias("actual"), "truncated")
-    return records.where("doc_id % 10 <> 3"), other.where("doc_id % 10 <> 7").withColumn("nth", F.lit(1))
+    other = records.select("pair", F.when(F.col("pair") % 4 == 1, F.col("expected")).otherwise(F.col("actual")).alias("actual"), "truncated")
+    return records.where("pair % 10 <> 3"), other.where("pair % 10 <> 7").withColumn("nth", F.lit(1))
 
 
-@query(f"WITH {_RUNS} SELECT a.doc_id, b.doc_id IS NOT NULL AS found, CASE WHEN b.doc_id IS NOT NULL THEN a.actual = b.actual AND a.truncated = b.truncated END AS same, CASE WHEN b.doc_id IS NOT NULL THEN CASE WHEN a.actual <> b.actual THEN 'actual' ELSE '' END END AS differing FROM a LEFT JOIN b USING (doc_id)")
+@query(f"WITH {_RUNS} SELECT a.pair, b.pair IS NOT NULL AS found, CASE WHEN b.pair IS NOT NULL THEN a.actual = b.actual AND a.truncated = b.truncated END AS same, CASE WHEN b.pair IS NOT NULL THEN CASE WHEN a.actual <> b.actual THEN 'actual' ELSE '' END END AS differing FROM a LEFT JOIN b USING (pair)")
 def compare_runs(spark, d):
     a, b = _runs(spark, d)
-    return E.compare_runs(a, b, key="doc_id", fields=["actual", "truncated"], order="nth")[0]
+    return E.compare_runs(a, b, key="pair", fields=["actual", "truncated"], order="nth")[0]
 
 
-@query(f"WITH {_RUNS} SELECT b.doc_id FROM b ANTI JOIN a USING (doc_id)")
+@query(f"WITH {_RUNS} SELECT b.pair FROM b ANTI JOIN a USING (pair)")
 def missing_anti(spark, d):
     a, b = _runs(spark, d)
-    return E.compare_runs(a, b, key="doc_id", fields=["actual", "truncated"], order="nth")[1]
+    return E.compare_runs(a, b, key="pair", fields=["actual", "truncated"], order="nth")[1]
 
 
-@query(f"WITH {_RUNS} SELECT count(*) AS n FROM a SEMI JOIN b USING (doc_id)")
+@query(f"WITH {_RUNS} SELECT count(*) AS n FROM a SEMI JOIN b USING (pair)")
 def overlap_semi(spark, d):
     a, b = _runs(spark, d)
-    return a.join(b, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return a.join(b, "pair", "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V.RECORDS}, s AS (SELECT doc_id % 5 AS shard, count(*) AS compared, count(*) FILTER (WHERE exact) AS same FROM records WHERE doc_id % 10 <> 7 GROUP BY 1) SELECT CAST(sum(compared) AS BIGINT) AS compared, CAST(sum(same) AS BIGINT) AS same, CAST(sum(compared - same) AS BIGINT) AS different, greatest((SELECT count(*) FROM records) - CAST(sum(compared) AS BIGINT), 0) AS missing FROM s")
+@query(f"WITH {V.RECORDS}, s AS (SELECT pair % 5 AS shard, count(*) AS compared, count(*) FILTER (WHERE exact) AS same FROM records WHERE pair % 10 <> 7 GROUP BY 1) SELECT CAST(sum(compared) AS BIGINT) AS compared, CAST(sum(same) AS BIGINT) AS same, CAST(sum(compared - same) AS BIGINT) AS different, greatest((SELECT count(*) FROM records) - CAST(sum(compared) AS BIGINT), 0) AS missing FROM s")
 def merge_comparisons(spark, d):
     records = V.records(spark, d)
-    shards = records.where("doc_id % 10 <> 7").groupBy((F.col("doc_id") % 5).alias("shard")).agg(F.count(F.lit(1)).alias("compared"), F.count_if("exact").alias("same")).withColumn("different", F.col("compared") - F.col("same"))
+    shards = records.where("pair % 10 <> 7").groupBy((F.col("pair") % 5).alias("shard")).agg(F.count(F.lit(1)).alias("compared"), F.count_if("exact").alias("same")).withColumn("different", F.col("compared") - F.col("same"))
     out = shards.crossJoin(F.broadcast(records.agg(F.count(F.lit(1)).alias("total"))))  # five rows and one
     return E.merge_comparisons(out.withColumn("total", F.col("total")), F.max("total"))
 
@@ -446,27 +446,27 @@ def normalize_ws(spark, d):
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(replace(translate(replace(s, chr(64257), 'fi'), chr(8220) || chr(8221) || chr(8217) || chr(65313), '""''A'), chr(13), chr(10)), '[\x07]', '', 'g')) AS fixed FROM (
-  SELECT doc_id, chr(8220) || left(text, 300) || chr(8221) || chr(8217) || chr(64257) || chr(65313) || chr(13) || chr(7) || 'x' AS s FROM documents)""")
+  SELECT doc_id, chr(8220) || text || chr(8221) || chr(8217) || chr(64257) || chr(65313) || chr(13) || chr(7) || 'x' AS s FROM documents)""")
 def fix_text(spark, d):
     odd = "”’ﬁＡ\r\x07x"
-    text = F.concat(F.lit("“"), F.substr(F.col("text"), F.lit(1), F.lit(300)), F.lit(odd))
+    text = F.concat(F.lit("“"), F.col("text"), F.lit(odd))
     return V.table(spark, d, "documents").select("doc_id", F.md5(X.fix_text(text, compose=False).cast("binary")).alias("fixed"))
 
 
 _LATEX = r"'\begin{array}{ll} ' || w || CASE WHEN doc_id % 3 = 0 THEN ' \end{array}' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' \end{cases}' ELSE '' END"
 
 
-@query(rf"""WITH l AS (SELECT doc_id, {_LATEX} AS s FROM (SELECT doc_id, regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g') AS w FROM documents))
+@query(rf"""WITH l AS (SELECT doc_id, {_LATEX} AS s FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS w FROM documents))
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '\begin{{cases}} ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN s ELSE s || ' \end{{array}}' END AS latex FROM l""")
 def latex_environments(spark, d):
-    word = F.regexp_replace(F.substr(F.col("text"), F.lit(1), F.lit(40)), "[^A-Za-z ]", "")
+    word = F.regexp_replace("text", "[^A-Za-z ]", "")
     ends = F.concat(F.when(F.col("doc_id") % 3 == 0, r" \end{array}").otherwise(""), F.when(F.col("doc_id") % 5 == 0, r" \end{cases}").otherwise(""))
     return V.table(spark, d, "documents").select("doc_id", X.balance_environments(F.concat(F.lit(r"\begin{array}{ll} "), word, ends)).alias("latex"))
 
 
 @query()
 def latex_repair(spark, d):
-    word = F.regexp_replace(F.substr(F.col("text"), F.lit(1), F.lit(30)), "[^A-Za-z ]", "")
+    word = F.regexp_replace("text", "[^A-Za-z ]", "")
     latex = F.concat(F.lit(r"\lefteqn{\upalpha} \left( {"), word, F.lit(r" \right) } \uparrow \begin{matrix} x"))
     return V.table(spark, d, "documents").select("doc_id", X.repair_latex(latex).alias("latex"))
 
@@ -516,10 +516,10 @@ def pixel_arithmetic(spark, d):
 _WORD_FRAMES = f"""{V.FRAMES}, n AS (SELECT line, row_number() OVER (PARTITION BY line ORDER BY ts, event_id) - 1 AS col, token FROM frames)"""
 
 
-@query(f"WITH {_WORD_FRAMES} SELECT line, col, CAST(floor(greatest((col + 0.5) * 5 - 2, 0)) + 10 AS DOUBLE) AS x0, CAST(floor(least((col + 0.5) * 5 + 2, 2000)) + 10 AS DOUBLE) AS x1 FROM n WHERE token <> 0 AND col < 50")
+@query(f"WITH {_WORD_FRAMES} SELECT line, col, CAST(floor(greatest((col + 0.5) * 5 - 2, 0)) + 10 AS DOUBLE) AS x0, CAST(floor(least((col + 0.5) * 5 + 2, 2000)) + 10 AS DOUBLE) AS x1 FROM n WHERE token <> 0")
 def char_boxes(spark, d):
     w = Window.partitionBy("line").orderBy("ts", "event_id")
-    cols = V.frames(spark, d).withColumn("col", F.row_number().over(w) - 1).where("token <> 0 AND col < 50")
+    cols = V.frames(spark, d).withColumn("col", F.row_number().over(w) - 1).where("token <> 0")
     lines = cols.groupBy("line").agg(F.array_sort(F.collect_list("col")).alias("cols"))
     box = F.struct(F.lit(10.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(2010.0).alias("x1"), F.lit(9.0).alias("y1"))
     placed = F.arrays_zip("cols", G.char_boxes(F.col("cols"), F.lit(4.0), F.lit(5.0), box).alias("boxes"))

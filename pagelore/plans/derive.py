@@ -37,20 +37,21 @@ REGIONS = f"""regions AS (
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text pairs: ASCII of the first 200 characters of a document, and that with a and e swapped, cut short for each seventh."""
-    ascii_ = F.regexp_replace("text", r"[^\x20-\x7E]", "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substr(ascii_, F.lit(1), F.lit(200)).alias("expected"))
-    swapped = F.when(F.col("doc_id") % 3 == 0, F.col("expected")).otherwise(F.translate("expected", "ae", "ea"))
-    cut = F.col("doc_id") % 7 == 0
-    return rows.select("doc_id", "lang", "expected", F.when(cut, F.substr(swapped, F.lit(1), F.lit(100))).otherwise(swapped).alias("actual"), cut.alias("truncated"))
+    """Text pairs: the ASCII of each turn of a conversation, and that with a and e swapped (but for each third), cut in half for each seventh."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]", "")
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "role", text.alias("expected"))
+    swapped = F.when(F.col("pair") % 3 == 0, F.col("expected")).otherwise(F.translate("expected", "ae", "ea"))
+    cut = F.col("pair") % 7 == 0
+    half = F.substr(swapped, F.lit(1), F.floor(F.char_length("expected") / 2).cast("int"))
+    return rows.select("pair", "role", "expected", F.when(cut, half).otherwise(swapped).alias("actual"), cut.alias("truncated"))
 
 
 PAIRS = r"""p0 AS (
-  SELECT doc_id, lang, substr(regexp_replace(text, '[^\x20-\x7E]', '', 'g'), 1, 200) AS expected FROM documents
+  SELECT conv_id * 1000 + turn AS pair, role, regexp_replace(coalesce(text, ''), '[^\x20-\x7E]', '', 'g') AS expected FROM conversations
 ), p1 AS (
-  SELECT *, CASE WHEN doc_id % 3 = 0 THEN expected ELSE translate(expected, 'ae', 'ea') END AS swapped FROM p0
+  SELECT *, CASE WHEN pair % 3 = 0 THEN expected ELSE translate(expected, 'ae', 'ea') END AS swapped FROM p0
 ), pairs AS (
-  SELECT doc_id, lang, expected, CASE WHEN doc_id % 7 = 0 THEN substr(swapped, 1, 100) ELSE swapped END AS actual, doc_id % 7 = 0 AS truncated FROM p1
+  SELECT pair, role, expected, CASE WHEN pair % 7 = 0 THEN substr(swapped, 1, length(expected) // 2) ELSE swapped END AS actual, pair % 7 = 0 AS truncated FROM p1
 )"""
 
 
