@@ -92,6 +92,7 @@ LIGATURES = {
     "\u01f1": "DZ", "\u01f2": "Dz", "\u01f3": "dz",
     "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "\u017ft", "\ufb06": "st",
 }
+#: Curly quotes, and control characters that go.
 SINGLE_QUOTES, DOUBLE_QUOTES = "\u02bc\u2018\u2019\u201a\u201b", "\u201c\u201d\u201e\u201f"
 CONTROLS = r"[\x00-\x08\x0B\x0E-\x1F\x7F\u206A-\u206F\uFEFF\uFFF9-\uFFFC]"
 
@@ -151,6 +152,7 @@ def fix_text(text: Column, compose: bool = True) -> Column:
 
 # --- LaTeX
 
+#: Commands that renderers lack, environments that must be closed, names that \\up is a part of.
 UNSUPPORTED = ("lefteqn", "boldmath", "ensuremath", "centering", "textsubscript", "sides", "textsl", "textcent", "emph", "protect", "null")
 ENVIRONMENTS = ("array", "matrix", "pmatrix", "bmatrix", "vmatrix", "Bmatrix", "Vmatrix", "cases", "aligned", "gathered", "align", "align*")
 KEPT_UP = ("arrow", "downarrow", "lus", "silon")
@@ -281,6 +283,7 @@ def escape_attribute(text: Column) -> Column:
     return text
 
 
+#: Fixed value: the mark of a formula without an end.
 TRUNCATED = "<!-- formula truncated: no EOS token -->"
 
 

@@ -106,8 +106,7 @@ def overlap_semi(spark, d):
 def merge_comparisons(spark, d):
     records = V.records(spark, d)
     shards = records.where("pair % 10 <> 7").groupBy((F.col("pair") % 5).alias("shard")).agg(F.count(F.lit(1)).alias("compared"), F.count_if("exact").alias("same")).withColumn("different", F.col("compared") - F.col("same"))
-    out = shards.crossJoin(F.broadcast(records.agg(F.count(F.lit(1)).alias("total"))))  # five rows and one
-    return E.merge_comparisons(out.withColumn("total", F.col("total")), F.max("total"))
+    return E.merge_comparisons(shards, records.agg(F.count(F.lit(1)).alias("total")).scalar())
 
 
 # --- samples and shards
@@ -373,12 +372,44 @@ def detection_metrics(spark, d):
     return E.detection_metrics(*_matches(spark, d), page="page").withColumn("iou", F.round("iou", 9))
 
 
-@query()
+def _common(a: str, b: str) -> str:
+    return f"(greatest(least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0), 0) * greatest(least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0), 0))"
+
+
+def _area(a: str) -> str:
+    return f"(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0))"
+
+
+@query(f"""WITH RECURSIVE {V.REGIONS}, o AS (
+  SELECT page, text, {{'rid': rid, 'score': score, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS b, row_number() OVER (PARTITION BY page, text ORDER BY rid) AS n FROM regions
+), w AS (SELECT page, text, CAST(1 AS BIGINT) AS n, [b] AS k FROM o WHERE n = 1
+  UNION ALL
+  SELECT page, text, n, CASE WHEN place > 0 THEN list_transform(k, lambda y, i: CASE WHEN i = place AND b.score > y.score THEN b ELSE y END) ELSE list_append(k, b) END FROM (
+    SELECT o.page, o.text, o.n, o.b, w.k, coalesce(list_position(list_transform(w.k, lambda y: {_common('y', 'o.b')} / ({_area('y')} + {_area('o.b')} - {_common('y', 'o.b')}) >= 0.5), true), 0) AS place
+    FROM w JOIN o ON o.page = w.page AND o.text = w.text AND o.n = w.n + 1)
+), last AS (SELECT page, text, unnest(arg_max(k, n)) AS b FROM w GROUP BY page, text)
+SELECT page, b.rid AS rid, text, b.score AS score, b.y0 AS y0, b.x0 AS x0 FROM last""")
 def dedupe_regions(spark, d):
     return D.deduplicate(V.regions(spark, d), page="page", rid="rid", text="text")
 
 
-@query()
+_FITS = "greatest(least(y.bottom, b.y1) - greatest(y.top, b.y0), 0)"
+
+
+@query(f"""WITH RECURSIVE {V.REGIONS}, o AS (
+  SELECT page, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'rid': rid}} AS b, row_number() OVER (PARTITION BY page ORDER BY y0, x0, rid) AS n FROM regions
+), w AS (SELECT page, CAST(1 AS BIGINT) AS n, [{{'top': b.y0, 'bottom': b.y1, 'x': b.x0, 'items': [{{'x0': b.x0, 'y0': b.y0, 'rid': b.rid}}]}}] AS k FROM o WHERE n = 1
+  UNION ALL
+  SELECT page, n, CASE WHEN place > 0 THEN list_transform(k, lambda y, i: CASE WHEN i = place THEN {{'top': least(y.top, b.y0), 'bottom': greatest(y.bottom, b.y1), 'x': least(y.x, b.x0), 'items': list_append(y.items, {{'x0': b.x0, 'y0': b.y0, 'rid': b.rid}})}} ELSE y END)
+      ELSE list_append(k, {{'top': b.y0, 'bottom': b.y1, 'x': b.x0, 'items': [{{'x0': b.x0, 'y0': b.y0, 'rid': b.rid}}]}}) END FROM (
+    SELECT *, CASE WHEN list_max(gain) >= 0 THEN list_position(gain, list_max(gain)) ELSE 0 END AS place FROM (
+      SELECT page, n, b, k, list_transform(k, lambda y: CASE WHEN {_FITS} / greatest(least(y.bottom - y.top, b.y1 - b.y0), 0.0001) >= 0.5 THEN {_FITS} ELSE -1 END) AS gain FROM (
+        SELECT o.page, o.n, o.b, w.k FROM w JOIN o ON o.page = w.page AND o.n = w.n + 1)))
+), last AS (SELECT page, arg_max(k, n) AS k FROM w GROUP BY page
+), l AS (SELECT page, unnest(k) AS y, unnest(range(1, len(k) + 1)) AS seq FROM last
+), r AS (SELECT page, y.items AS items, row_number() OVER (PARTITION BY page ORDER BY y.top, y.x, seq) - 1 AS line FROM l
+), i AS (SELECT page, line, unnest(items) AS b FROM r)
+SELECT page, b.rid AS rid, CAST(line AS INTEGER) AS line, CAST(row_number() OVER (PARTITION BY page, line ORDER BY b.x0, b.y0, b.rid) - 1 AS INTEGER) AS place FROM i""")
 def line_clusters(spark, d):
     return D.cluster_lines(V.regions(spark, d), page="page", rid="rid")
 
@@ -428,7 +459,11 @@ def bounded_text(spark, d):
     return rows.select("page_id", (~F.col("b.too_large")).alias("fits"), F.md5(F.col("b.json").cast("binary")).alias("digest"), F.col("b.bytes").cast("long").alias("bytes"))
 
 
-@query()
+_COLORS = list(R.PALETTE)
+
+
+@query(f"""WITH {V.REGIONS}, p AS (SELECT page, rid, text, printf('<rect x="%.1f" y="%.1f" width="%.1f" height="%.1f" stroke="%s"/>', x0, y0, x1 - x0, y1 - y0, {_COLORS}[rid % {len(_COLORS)} + 1]) AS o FROM regions)
+SELECT page, sha256('<!doctype html><meta charset=utf-8><title>page ' || page || '</title><svg viewBox="0 0 90 75">' || string_agg(o, '' ORDER BY rid) || '</svg><ol>' || string_agg('<li>' || text || '</li>', '' ORDER BY rid) || '</ol>') AS html FROM p GROUP BY page""")
 def html_report(spark, d):
     out = R.html_report(V.regions(spark, d), page="page", rid="rid", title=F.concat(F.lit("page "), F.col("page").cast("string")), width=F.lit(90), height=F.lit(75))
     return out.select("page", F.sha2(F.col("html").cast("binary"), 256).alias("html"))
@@ -477,10 +512,10 @@ def url_parts(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.parse_url(url, F.lit("HOST")).alias("host"), F.parse_url(url, F.lit("PATH")).alias("path"), X.query_parameter(url, "page").alias("page"), X.file_name_of(url).alias("file"))
 
 
-@query(r"WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN '_PP-OCRv4_rec_server.onnx' WHEN 1 THEN '_ppocr_rec_mobile.onnx' ELSE '_plain.onnx' END AS m FROM part) SELECT p_partkey, nullif(regexp_extract(m, '^(.+?)(?:_PP|_ppocr)', 1), '') AS tag, CASE WHEN contains(lower(m), '_server_') OR contains(lower(m), '_server.') THEN 'server' ELSE 'mobile' END AS variant FROM n")
+@query(r"WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN '_PP-v4_rec_server.onnx' WHEN 1 THEN '_ppocr_rec_mobile.onnx' ELSE '_plain.onnx' END AS m FROM part) SELECT p_partkey, nullif(regexp_extract(m, '^(.+?)(?:_PP|_ppocr)', 1), '') AS tag, CASE WHEN contains(lower(m), '_server_') OR contains(lower(m), '_server.') THEN 'server' ELSE 'mobile' END AS variant FROM n")
 def model_names(spark, d):
     k = F.col("p_partkey") % 3
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.when(k == 0, "_PP-OCRv4_rec_server.onnx").when(k == 1, "_ppocr_rec_mobile.onnx").otherwise("_plain.onnx"))
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.when(k == 0, "_PP-v4_rec_server.onnx").when(k == 1, "_ppocr_rec_mobile.onnx").otherwise("_plain.onnx"))
     return V.table(spark, d, "part").select("p_partkey", X.language_tag(name).alias("tag"), X.model_variant(name).alias("variant"))
 
 
@@ -577,9 +612,9 @@ def job_state(spark, d):
 @query(f"WITH {V.JOBS}, n AS (SELECT max(queued) AS now FROM jobs) SELECT id, coalesce(finished + 600000 <= now, false) AS expired, greatest(coalesce(finished, now) - queued, 0) AS elapsed FROM jobs, n")
 def job_ttl(spark, d):
     jobs = V.jobs(spark, d)
-    now = jobs.agg(F.max("queued").alias("now"))  # one row
+    now = jobs.agg(F.max("queued").alias("now")).scalar()
     none = F.lit(None).cast("long")
-    return jobs.crossJoin(F.broadcast(now)).select("id", J.expired(F.col("finished"), 600_000, F.col("now")).alias("expired"), J.elapsed(F.col("finished"), none, F.col("queued"), F.col("now")).alias("elapsed"))
+    return jobs.select("id", J.expired(F.col("finished"), 600_000, now).alias("expired"), J.elapsed(F.col("finished"), none, F.col("queued"), now).alias("elapsed"))
 
 
 @query(f"""WITH RECURSIVE {V.JOBS}, r0 AS (SELECT *, state IN ('succeeded', 'failed', 'cancelled') AS done, coalesce(finished, queued) AS age FROM jobs
