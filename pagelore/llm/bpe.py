@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pagelore.llm.common import tune
+from pagelore.llm.common import held, tune
 
 MAX_STATES, MAX_PAIRS, MAX_PIECES, LONG_PIECE = 250_000, 500_000, 400_000, 64
 ROOT, NO_TOKEN = 0, -1
@@ -299,15 +299,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec a worker process and vocabulary."""
-    if (path, pattern) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    return held(("bpe", path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelore.session import ship
+
 #: Rows and bytes of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once a context, so that they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_pagelore_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="pagelore-"), "pagelore-package.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    out.write(at := os.path.join(folder, name), os.path.relpath(at, os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._pagelore_shipped = True
-
-
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a batch of long texts fits a Python worker; send the package along."""
     ship(spark)
@@ -39,15 +24,26 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a worker process keeps between tasks: one thing at a time, so that one operator's tables are gone when another's come."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder the cluster shares; a folder of our own only where none is set and the master is local."""
     sc: SparkContext = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagelore-"))

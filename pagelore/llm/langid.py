@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import tune, written
+from pagelore.llm.common import held, tune, written
 
 LETTERS = re.compile(r"[^\W\d_]{1,64}")
 MARK = "▁"
@@ -139,7 +139,7 @@ def walking_order(start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> li
 class Model:
     """Log probabilities by language; words are scored in batches and kept, a bounded number of them."""
 
-    def __init__(self, pieces: Pieces, langs: list[str], logs: np.ndarray, priors: np.ndarray, most: int = 400_000):
+    def __init__(self, pieces: Pieces, langs: list[str], logs: np.ndarray, priors: np.ndarray, most: int = 250_000):
         self.pieces, self.langs, self.logs, self.priors, self.most = pieces, langs, logs, priors, most
         self.p = np.exp(logs)
         self.known: dict[str, int] = {}  # word -> row of the table; the generation before is kept too
@@ -191,14 +191,14 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior of each whole text."""
-        out, group, held = [], [], 0
+        out, group, waiting = [], [], 0
         for text in texts:
             words = LETTERS.findall((text or "").lower())
             group.append(words)
-            held += len(words)
-            if held > 500_000:
+            waiting += len(words)
+            if waiting > 200_000:
                 out += self._decide(group)
-                group, held = [], 0
+                group, waiting = [], 0
         return out + self._decide(group)
 
     def _decide(self, group: list[list[str]]) -> list[tuple[str, float]]:
@@ -216,14 +216,8 @@ class Model:
         return out
 
 
-_PIECES: dict[str, Pieces] = {}
-_MODELS: dict[str, Model] = {}
-
-
 def pieces_of(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def expected_counts(pieces: Pieces, p: np.ndarray, lang: np.ndarray, words: list[str], n: np.ndarray) -> np.ndarray:
@@ -273,14 +267,14 @@ def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int =
     pieces, where = pieces_of(vocabulary), {k: i for i, k in enumerate(langs)}
     p = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast(p.astype(np.float32))  # pieces x languages: the vocabulary bounds it
+        sent = spark.sparkContext.broadcast(p.astype(np.float32))  # pieces x languages: the vocabulary bounds it
 
-        def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own, total = pieces_of(vocabulary), np.zeros(held.value.shape)
+        def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own, total = pieces_of(vocabulary), np.zeros(sent.value.shape)
             for batch in batches:
                 if batch.num_rows:
                     lang = np.array([where[k] for k in batch.column("lang").to_pylist()])
-                    total += expected_counts(own, held.value.astype(float), lang, batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float))
+                    total += expected_counts(own, sent.value.astype(float), lang, batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float))
             row, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[row, lang])], ["row", "lang", "v"])
 
@@ -290,7 +284,7 @@ def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int =
         counts[sums["row"].to_numpy(), sums["lang"].to_numpy()] = sums["v"].to_numpy()
         counts += smooth
         p = counts / counts.sum(0)
-        held.unpersist()
+        sent.unpersist()
     tune(spark)
     n = np.array([totals[k] for k in langs], float)
     return langs, np.log(p), np.log(n / n.sum())
@@ -302,14 +296,14 @@ def _predictor(docs: DataFrame, learn_from: Column, vocabulary: str, sample: int
     tune(spark)
     langs, logs, priors = train(docs.where(learn_from), vocabulary, sample=sample, rounds=rounds)
     key = uuid.uuid4().hex  # a worker keeps one model, under the key of its call
-    held = spark.sparkContext.broadcast((langs, logs.astype(np.float32), priors))  # pieces x languages: the vocabulary bounds it
+    sent = spark.sparkContext.broadcast((langs, logs.astype(np.float32), priors))  # pieces x languages: the vocabulary bounds it
+
+    def load() -> Model:
+        names, own, first = sent.value
+        return Model(Pieces(vocabulary), names, own.astype(float), first)
 
     def model() -> Model:
-        if key not in _MODELS:
-            _MODELS.clear()
-            names, own, first = held.value
-            _MODELS[key] = Model(pieces_of(vocabulary), names, own.astype(float), first)
-        return _MODELS[key]
+        return held(("language", key), load)
 
     return model
 

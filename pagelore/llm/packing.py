@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pagelore.llm.common import tune
+from pagelore.llm.common import held, tune
 
 Piece = tuple[object, int, bytes, int]  # doc_id, ids before it, its ids as bytes, ids of the document
 
@@ -165,13 +165,8 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
 
-_TOKENIZERS: dict[str, ChunkIds] = {}
-
-
 def tokenizer(path: str) -> ChunkIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkIds(path)
-    return _TOKENIZERS[path]
+    return held(("packing", path), lambda: ChunkIds(path))
 
 
 COLUMNS = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import tune, written
+from pagelore.llm.common import held, tune, written
 from pagelore.llm.components import components
 
 SEED, MIN_HASHES, BAND_WIDTH, BANDS = 42, 256, 3, 10
@@ -98,6 +98,7 @@ def sketches(docs: DataFrame, *, words: int = 5) -> DataFrame:
         return fp, xxhash.xxh64_intdigest(sketch + fp.to_bytes(8, "little")), sketch, bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("sketches",), dict)  # what another operator kept in this worker goes
         for batch in batches:
             got = [one(t or "") for t in batch.column("text").to_pylist()]
             fp, key, sketch, bands = zip(*got, strict=True) if got else ((), (), (), ())

@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelore.llm.common import tune
+from pagelore.llm.common import held, tune
 
-CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 1 << 20
+#: Text bytes of a chunk and hashes of a bucket: each is what one call holds. Larger executors take larger ones: fewer, longer rows.
+CHUNK_BYTES, BUCKET_HASHES = 2 << 20, 1 << 20
 _U = np.uint64
 BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xC6BC279692B5C323)
 SEPARATOR = np.zeros(256, bool)
@@ -45,20 +46,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 to base ** (n - 1), mod 2 ** 64."""
-    held = _POWERS.get(base)
-    if held is None or len(held) < n:
+    known = held(("powers",), dict)
+    found = known.get(base)
+    if found is None or len(found) < n:
         size = max(1024, 1 << (n - 1).bit_length())
-        held = np.ones(1, _U)
-        while len(held) < size:
-            held = np.concatenate([held, held * _U(pow(base, len(held), 1 << 64))])
+        found = np.ones(1, _U)
+        while len(found) < size:
+            found = np.concatenate([found, found * _U(pow(base, len(found), 1 << 64))])
         if size <= 1 << 22:
-            _POWERS[base] = held
-    return held[:n]
+            known[base] = found
+    return found[:n]
 
 
 class Chunk:
@@ -78,8 +77,10 @@ class Chunk:
         if n:
             wide = np.diff(np.append(self.starts, len(data)))
             base = powers(BYTE_BASE, int(wide.max()))
-            local = np.arange(self.starts[0], len(data)) - np.repeat(self.starts, wide)
-            terms = (data[self.starts[0] :].astype(_U) + _U(1)) * base[local]
+            local = np.arange(self.starts[0], len(data), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), wide)
+            terms = base[local]
+            del local
+            terms *= data[self.starts[0] :].astype(_U) + _U(1)
             terms[outside[self.starts[0] :]] = 0
             self.hashes = mixed(np.add.reduceat(terms, self.starts - self.starts[0]) + (self.ends - self.starts).astype(_U) * _U(0xA24BAED4963EE407))
         else:
@@ -232,7 +233,7 @@ def documents_of(table: pa.Table) -> tuple[pa.StructArray, np.ndarray, np.ndarra
     return rows, ids.fill_null(0).to_numpy(zero_copy_only=False), np.array(ids.is_valid()), texts
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, with_text: bool = True, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 50, with_text: bool = True, digests: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents' columns, `text` without the words of windows that a smaller document has too; n_words, n_removed.
 
     A text that loses nothing stays as it is; in others, runs of kept words are joined by one space. `digests` adds
@@ -243,7 +244,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, with_text: bool = True,
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     block = (window + 1) // 2
     total = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
-    chunks, buckets = max(1, int(total // CHUNK_BYTES) + 1), max(1, int(total / 6 // BUCKET_HASHES) + 1)
+    chunks, buckets = max(1, int(total // chunk_bytes) + 1), max(1, int(total / 6 // BUCKET_HASHES) + 1)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), row.alias("row"))
 
