@@ -54,6 +54,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder through Spark's own file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
@@ -62,11 +69,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared folder through Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+class Scratch:
+    """Written tables that are needed only until the block ends, or until they are dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        path = fresh_path(self.spark, what)
+        self.paths[path] = None
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            remove_path(self.spark, path)
+            del self.paths[path]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+        self.paths = {}
 
 
 def id_hash_mod(doc_id: Column, modulus: int) -> Column:

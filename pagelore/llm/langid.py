@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import held, tune, written
+from pagelore.llm.common import Scratch, held, tune
 
 LETTERS = re.compile(r"[^\W\d_]{1,64}")
 MARK = "▁"
@@ -263,28 +263,29 @@ def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int =
                 found.update((lang, w) for w in LETTERS.findall(text.lower()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
 
-    words = written(chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
-    pieces, where = pieces_of(vocabulary), {k: i for i, k in enumerate(langs)}
-    p = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(p.astype(np.float32))  # pieces x languages: the vocabulary bounds it
-
-        def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, total = pieces_of(vocabulary), np.zeros(sent.value.shape)
-            for batch in batches:
-                if batch.num_rows:
-                    lang = np.array([where[k] for k in batch.column("lang").to_pylist()])
-                    total += expected_counts(own, sent.value.astype(float), lang, batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float))
-            row, lang = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[row, lang])], ["row", "lang", "v"])
-
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-        sums = words.select("lang", "word", "n").mapInArrow(expect, "row int, lang int, v double").groupBy("row", "lang").agg(F.sum("v").alias("v")).toPandas()
-        counts = np.zeros_like(p)
-        counts[sums["row"].to_numpy(), sums["lang"].to_numpy()] = sums["v"].to_numpy()
-        counts += smooth
-        p = counts / counts.sum(0)
-        sent.unpersist()
+    with Scratch(spark) as scratch:
+        words = scratch.written(chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+        pieces, where = pieces_of(vocabulary), {k: i for i, k in enumerate(langs)}
+        p = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
+        for _ in range(rounds):
+            sent = spark.sparkContext.broadcast(p.astype(np.float32))  # pieces x languages: the vocabulary bounds it
+
+            def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                own, total = pieces_of(vocabulary), np.zeros(sent.value.shape)
+                for batch in batches:
+                    if batch.num_rows:
+                        lang = np.array([where[k] for k in batch.column("lang").to_pylist()])
+                        total += expected_counts(own, sent.value.astype(float), lang, batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float))
+                row, lang = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[row, lang])], ["row", "lang", "v"])
+
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+            sums = words.select("lang", "word", "n").mapInArrow(expect, "row int, lang int, v double").groupBy("row", "lang").agg(F.sum("v").alias("v")).toPandas()
+            counts = np.zeros_like(p)
+            counts[sums["row"].to_numpy(), sums["lang"].to_numpy()] = sums["v"].to_numpy()
+            counts += smooth
+            p = counts / counts.sum(0)
+            sent.unpersist()
     tune(spark)
     n = np.array([totals[k] for k in langs], float)
     return langs, np.log(p), np.log(n / n.sum())

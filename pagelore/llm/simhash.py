@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import held, tune, written
+from pagelore.llm.common import Scratch, held, tune, written
 from pagelore.llm.components import components
 
 SEED, MIN_HASHES, BAND_WIDTH, BANDS = 42, 256, 3, 10
@@ -222,14 +222,14 @@ def link_cells(nodes: list[np.ndarray], prints: list[np.ndarray], sides: list[np
     return node[moved], node[label[moved]]
 
 
-def cells_of(keyed: DataFrame, most: int) -> DataFrame:
+def cells_of(keyed: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """cell, side, node, fp[, sketch] from (key, node, fp[, sketch]): cells of two or more, the large ones cut into pairs of chunks.
 
     Who shares a key is settled by counts first, so that only members of real cells carry on. A chunk has about `most` members.
     """
     rest = [c for c in keyed.columns if c != "key"]
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = written(sizes, "cell-sizes")
+    sizes = scratch.written(sizes, "cell-sizes")
     rows = keyed.join(sizes, "key")
     chunks = F.ceil(F.col("n") / most).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
@@ -271,12 +271,13 @@ def links_in(cells: DataFrame, radius: int, agree: float | None = None) -> DataF
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, most: int = 1024) -> DataFrame:
     """doc_id, fp, component_id: fingerprints that differ in `radius` bits or fewer link; a component has its least id."""
-    prints = written(fingerprints(docs, words=words), "fingerprints")
-    nodes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
-    choices = block_choices(radius, nodes.count())
-    keyed = nodes.select(F.explode(band_keys(F.col("fp"), choices)).alias("key"), "node", "fp")
-    found = written(links_in(cells_of(keyed, most), radius), "fingerprint-links")
-    return assigned(prints, nodes, found, "fp").select("doc_id", "fp", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        prints = written(fingerprints(docs, words=words), "fingerprints")
+        nodes = scratch.written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
+        choices = block_choices(radius, nodes.count())
+        keyed = nodes.select(F.explode(band_keys(F.col("fp"), choices)).alias("key"), "node", "fp")
+        found = scratch.written(links_in(cells_of(keyed, most, scratch), radius), "fingerprint-links")
+        return assigned(prints, nodes, found, "fp", scratch).select("doc_id", "fp", "component_id")
 
 
 def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 20, slack: float = 0.01, most: int = 2048) -> DataFrame:
@@ -285,14 +286,17 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     The radius is wide enough for that similarity (a fingerprint of such a pair differs in 10 bits in the mean); the similarity
     is measured by the share of equal min-hashes, and `slack` makes up for the spread of that measure.
     """
-    rows = written(sketches(docs, words=words), "sketches")
-    nodes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.min(F.struct("fp", "sketch", "bands")).alias("x"))
-    nodes = written(nodes.select("key", "node", "x.fp", "x.sketch", "x.bands"), "sketch-nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp")
-    thin = cells_of(keyed, most)
-    marked = thin.join(nodes.select(F.col("node").alias("of"), "sketch"), thin["node"] == F.col("of")).drop("of")
-    found = written(links_in(marked, radius, similarity - slack), "sketch-links")
-    return assigned(rows.select("doc_id", "fp", "key"), nodes.select("key", "node"), found, "key").select("doc_id", "fp", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.written(sketches(docs, words=words), "sketches")
+        nodes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.min(F.struct("fp", "sketch", "bands")).alias("x"))
+        nodes = scratch.written(nodes.select("key", "node", "x.fp", "x.sketch", "x.bands"), "sketch-nodes")
+        slim = written(rows.select("doc_id", "fp", "key"), "sketch-keys")
+        scratch.drop(rows)
+        keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp")
+        thin = cells_of(keyed, most, scratch)
+        marked = thin.join(nodes.select(F.col("node").alias("of"), "sketch"), thin["node"] == F.col("of")).drop("of")
+        found = scratch.written(links_in(marked, radius, similarity - slack), "sketch-links")
+        return assigned(slim, nodes.select("key", "node"), found, "key", scratch).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -309,9 +313,9 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     return rest.unionByName(many.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
 
 
-def assigned(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def assigned(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """rows with component_id. The table of components is written first, so that the last join may split a hot fingerprint."""
-    groups = components(found)
+    groups = components(found, scratch)
     known = nodes.select(F.col(key).alias("its key"), F.col("node").alias("its node"))
     by_key = known.join(groups, known["its node"] == groups["node"], "left").select("its key", F.coalesce("component", "its node").alias("component_id"))
     by_key = written(by_key, "components")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import fresh_path, written
+from pagelore.llm.common import Scratch, fresh_path, written
 
 #: Digits of base 32 as Java and Spark write them, and as RFC 4648 does.
 DIGITS = "0123456789abcdefghijklmnopqrstuv"
@@ -41,7 +41,7 @@ class Archive:
     payloads: str
 
 
-def describe(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
+def describe(pages: DataFrame, *, min_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """page_id, url, sha256, payload_digest, payload_bytes, record_type, refers_to: what each page's record is.
 
     Of the pages with one payload of at least min_bytes, that with the smallest id is the response. Only
@@ -55,9 +55,10 @@ def describe(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
         base32_of_hex(F.sha1(payload)).alias("payload_digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
     )
-    slim = written(slim, "warc-digests")
+    keep = scratch.written if scratch else written
+    slim = keep(slim, "warc-digests")
     group = slim.where(F.col("payload_bytes") >= min_bytes).groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    first = written(group.where("n > 1").drop("n"), "warc-repeats")  # read back, so that the join may split a hot digest
+    first = keep(group.where("n > 1").drop("n"), "warc-repeats")  # read back, so that the join may split a hot digest
     revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") > F.col("first_id"))
     return (
         slim.join(first, "sha256", "left")
@@ -100,8 +101,9 @@ def write_archive(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01-
     spark = pages.sparkSession
     root = path or fresh_path(spark, "warc")
     out = Archive(f"{root}/headers", f"{root}/payloads")
-    records = describe(pages, min_bytes=min_bytes)
-    records.select(F.encode(header_text(date), "UTF-8").alias("header"), "sha256").write.parquet(out.headers)
+    with Scratch(spark) as scratch:
+        records = describe(pages, min_bytes=min_bytes, scratch=scratch)
+        records.select(F.encode(header_text(date), "UTF-8").alias("header"), "sha256").write.parquet(out.headers)
     held = parsed_headers(spark, out).where(F.col("record_type") == "response").groupBy("sha256").agg(F.min("page_id").alias("page_id"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))

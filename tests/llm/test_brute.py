@@ -13,6 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from pagelore.llm import bpe, langid, mpegts, packing, pii, simhash, substrings
+from pagelore.llm.common import Scratch
 from pagelore.llm.queries import QUERIES
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,8 +73,9 @@ def test_chunked_cells_lose_no_link(spark):
     df = spark.createDataFrame(rows, "node long, fp long")
     keyed = df.selectExpr("1 as key", "node", "fp")
     for most in (1000, 7):
-        got = simhash.components(simhash.links_in(simhash.cells_of(keyed, most), 4))
-        group = {r["node"]: r["component"] for r in got.collect()}
+        with Scratch(spark) as scratch:
+            got = simhash.components(simhash.links_in(simhash.cells_of(keyed, most, scratch), 4), scratch)
+            group = {r["node"]: r["component"] for r in got.collect()}
         for i, a in rows:
             for j, b in rows:
                 if i < j and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
