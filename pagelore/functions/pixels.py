@@ -205,19 +205,105 @@ def components_of(mask: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def detect_boxes(prob: np.ndarray, limit: float = 0.3, box_limit: float = 0.6, least: float = 3.0, most: int = 1000) -> list[tuple[list, float]]:
-    """Boxes and mean probability of the parts of a map over the limit: small and faint ones go."""
+def unclipped(quad: list[tuple[float, float]], ratio: float) -> list[tuple[float, float]]:
+    """A rectangle grown on each side by area * ratio / perimeter: what rounded growth and a smallest rectangle around it come to."""
+    pts = np.array(quad, float)
+    u, v = pts[1] - pts[0], pts[3] - pts[0]
+    w, h = float(np.hypot(*u)), float(np.hypot(*v))
+    if not w or not h:
+        return quad
+    grow = w * h * ratio / (2 * (w + h))
+    u, v = u / w * grow, v / h * grow
+    return [tuple(p) for p in (pts[0] - u - v, pts[1] + u - v, pts[2] + u + v, pts[3] - u + v)]
+
+
+def detect_boxes(
+    prob: np.ndarray, limit: float = 0.3, box_limit: float = 0.6, least: float = 3.0, most: int = 1000, ratio: float = 1.6, size: tuple[int, int] | None = None
+) -> list[tuple[list, float]]:
+    """Boxes and mean probability of the parts of a map over the limit.
+
+    Small parts go, then faint ones, then what is small after growing. Corners are scaled to size (width, height) with halves to even and kept inside it.
+    """
     from pagelore.functions.geometry import min_area_rect_of
 
+    height, width = prob.shape
+    to_w, to_h = size or (width, height)
+    short = lambda q: min(float(np.hypot(q[i][0] - q[i - 1][0], q[i][1] - q[i - 1][1])) for i in (1, 2))
     out = []
     for part in components_of(dilate_2x2(threshold_mask(prob, limit)))[:most]:
         quad = min_area_rect_of([tuple(map(float, p)) for p in part])
-        sides = [float(np.hypot(quad[i][0] - quad[i - 1][0], quad[i][1] - quad[i - 1][1])) for i in (1, 2)]
-        if min(sides) < least:
+        if short(quad) < least:
             continue
-        score = masked_mean(prob, polygon_mask(quad, prob.shape[1], prob.shape[0]))
-        if score >= box_limit:
-            out.append((quad, score))
+        score = masked_mean(prob, polygon_mask(quad, width, height))
+        if score < box_limit:
+            continue
+        quad = unclipped(quad, ratio)
+        if short(quad) < least + 2:
+            continue
+        out.append(([(float(np.clip(np.rint(x * to_w / width), 0, to_w)), float(np.clip(np.rint(y * to_h / height), 0, to_h))) for x, y in quad], score))
+    return out
+
+
+#: Filters of resampling: reach in source pixels, and weight at a distance.
+FILTERS = {
+    "box": (0.5, lambda x: (np.abs(x) <= 0.5) * 1.0),
+    "linear": (1.0, lambda x: np.maximum(1 - np.abs(x), 0)),
+    "cubic": (2.0, lambda x: np.where(np.abs(x) < 1, (1.5 * np.abs(x) - 2.5) * x**2 + 1, np.where(np.abs(x) < 2, ((-0.5 * np.abs(x) + 2.5) * np.abs(x) - 4) * np.abs(x) + 2, 0))),
+    "lanczos": (3.0, lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)),
+}
+
+
+def resample(image: np.ndarray, width: int, height: int, kind: str = "linear") -> np.ndarray:
+    """Separable resampling whose filter widens as the image shrinks; rows first, rounded between."""
+
+    def weights(n: int, m: int) -> np.ndarray:
+        reach, f = FILTERS[kind]
+        scale = max(n / m, 1.0)
+        centre = (np.arange(m) + 0.5) * n / m
+        at = (np.arange(n)[None, :] + 0.5 - centre[:, None]) / scale
+        w = np.where(np.abs(at) <= reach, f(at), 0.0)
+        return w / w.sum(1, keepdims=True)
+
+    across = np.clip(np.rint(np.einsum("ij,hjc->hic", weights(image.shape[1], width), image.astype(float))), 0, 255)
+    return np.clip(np.rint(np.einsum("ij,jwc->iwc", weights(image.shape[0], height), across)), 0, 255).astype(np.uint8)
+
+
+def thumbnail(image: np.ndarray, width: int, height: int, kind: str = "cubic") -> np.ndarray:
+    """The image as large as fits, its shape kept; never enlarged."""
+    h, w = image.shape[:2]
+    if w <= width and h <= height:
+        return image
+    scale = min(width / w, height / h)
+    return resample(image, max(1, round(w * scale)), max(1, round(h * scale)), kind)
+
+
+def perspective_crop(image: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
+    """What a quad holds, upright: linear between pixels, edges repeated; turned by a quarter if it is half again as high as wide."""
+    from pagelore.functions.geometry import homography_of
+
+    (tl, tr, br, bl) = quad
+    far = lambda a, b: float(np.hypot(a[0] - b[0], a[1] - b[1]))
+    width, height = max(1, int(max(far(tl, tr), far(bl, br)))), max(1, int(max(far(tl, bl), far(tr, br))))
+    m = np.array(homography_of([(0, 0), (width, 0), (width, height), (0, height)], quad)).reshape(3, 3)
+    ys, xs = np.mgrid[0:height, 0:width].astype(float)
+    u, v, w = np.einsum("ij,jhw->ihw", m, np.stack([xs, ys, np.ones_like(xs)]))
+    u, v = np.clip(u / w, 0, image.shape[1] - 1), np.clip(v / w, 0, image.shape[0] - 1)
+    x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
+    x1, y1 = np.minimum(x0 + 1, image.shape[1] - 1), np.minimum(y0 + 1, image.shape[0] - 1)
+    fx, fy, a = (u - x0)[..., None], (v - y0)[..., None], image.astype(float)
+    out = np.rint((a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy).astype(np.uint8)
+    return np.rot90(out) if height / width >= 1.5 else out
+
+
+def draw_outlines(image: np.ndarray, quads: list[list[tuple[float, float]]], colors: list[tuple[int, int, int]]) -> np.ndarray:
+    """The image with the quads' sides drawn, colours in turn."""
+    out = image.copy()
+    for k, quad in enumerate(quads):
+        for (ax, ay), (bx, by) in zip(quad, quad[1:] + quad[:1], strict=True):
+            n = int(max(abs(bx - ax), abs(by - ay))) + 1
+            x, y = np.rint(np.linspace(ax, bx, n)).astype(int), np.rint(np.linspace(ay, by, n)).astype(int)
+            good = (x >= 0) & (y >= 0) & (x < out.shape[1]) & (y < out.shape[0])
+            out[y[good], x[good]] = colors[k % len(colors)]
     return out
 
 

@@ -149,8 +149,16 @@ def test_pixels(ask, spark):
     assert P.dilate_2x2(np.array([[1, 0], [0, 0]], np.uint8)).tolist() == [[1, 1], [1, 1]] and P.masked_mean(np.array([1.0, 3.0]), np.array([1, 0])) == 1
     prob = np.zeros((30, 40))
     prob[5:15, 8:30] = 0.9
-    (quad, score), = P.detect_boxes(prob)
+    (quad, score), = P.detect_boxes(prob, ratio=0.0)
     assert score > 0.7 and {(round(x), round(y)) for x, y in quad} == {(8, 5), (30, 5), (30, 15), (8, 15)}
+    (grown, _), = P.detect_boxes(prob, size=(80, 30))
+    assert min(x for x, _ in grown) < 16 and max(x for x, _ in grown) > 60 and P.detect_boxes(prob, box_limit=0.95) == []
+    flat = np.full((6, 9, 3), 77, np.uint8)
+    assert all((P.resample(flat, 4, 5, k) == 77).all() for k in P.FILTERS) and P.thumbnail(flat, 3, 9).shape == (2, 3, 3) and P.thumbnail(flat, 9, 9) is flat
+    ramp = np.repeat(np.arange(0, 90, 10, dtype=np.uint8)[None, :, None], 6, 0)
+    assert (P.perspective_crop(ramp, [(2.0, 1.0), (6.0, 1.0), (6.0, 4.0), (2.0, 4.0)])[..., 0] == [[20, 30, 40, 50]] * 3).all()
+    assert P.perspective_crop(ramp, [(1.0, 0.0), (2.0, 0.0), (2.0, 5.0), (1.0, 5.0)]).shape == (1, 5, 1)
+    assert P.draw_outlines(np.zeros((4, 4, 3), np.uint8), [square(0, 0, 3, 3)], [(1, 2, 3)])[..., 1].sum() == 24
     box = P.letterbox(200, 100)
     assert (box["width"], box["height"], box["top"]) == (768, 384, 192)
     assert P.crop_margin(np.pad(np.zeros((2, 3, 3), np.uint8), ((4, 4), (5, 5), (0, 0)), constant_values=255)).shape == (2, 3, 3)
@@ -161,3 +169,31 @@ def test_pixels(ask, spark):
     assert bytes(P.map_images(df, lambda i: i[:, ::-1]).first()["data"]) == bytes([3, 4, 5, 0, 1, 2])
     clear = spark.createDataFrame([(1, 0, 0, 0, 255), (2, 255, 255, 255, 255), (3, 0, 0, 0, 0)], "i int, r int, g int, b int, a int")
     assert {r.i: r.background for r in P.auto_background(clear, ["i"]).collect()} == {1: 255, 2: 0, 3: 255}
+
+
+@pytest.mark.parametrize(("a", "want"), [("abc (1)", "abc (1)"), ("אבג", "גבא"), ("אב 12 גד", "דג 12 בא"), ("abc אבג def", "abc גבא def"), ("אב (ג)", ")ג( בא"), ("ا 12", "12 ا"), ("", "")])
+def test_visual_order(ask, a, want):
+    from pagelore.functions import bidi
+
+    assert ask(bidi.visual_order(A), a=a) == want
+
+
+def test_sql_names(spark):
+    from pagelore.functions.sql import register
+
+    register(spark)
+    assert spark.sql("SELECT visual_order('אב') v, nfc('e\u0301') n").first() == ("בא", "é")
+
+
+def test_sinks(spark, tmp_path):
+    from pagelore.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "bb")], "page long, text string")
+    sinks.write_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    with pytest.raises(Exception, match="too large"):
+        sinks.write_json(df, str(tmp_path / "k"), limit=5)
+    sinks.write_documents(df, str(tmp_path / "d"), page="page", document=F.col("text"))
+    assert {r["value"] for r in spark.read.text(str(tmp_path / "d")).collect()} == {'{"page":1,"document":"a"}', '{"page":2,"document":"bb"}'}
+    sinks.write_tables({"t": df}, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p/t")).count() == 2
