@@ -58,7 +58,9 @@ PAIRS = r"""p0 AS (
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelore.operators.evaluate import score_pairs
 
-    return score_pairs(pairs(spark, sf_dir))
+    # an edit distance costs the square of its length, far more than to move a row: deal the rows out, however few files hold them
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return score_pairs(pairs(spark, sf_dir).repartition(tasks, "pair"))
 
 
 RECORDS = (
