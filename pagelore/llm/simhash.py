@@ -9,13 +9,13 @@ a cell of its own. Links are joined by connected components over the whole table
 
 Two ways of routing. `bands`: the 64 bits are cut into radius + r blocks; fingerprints within the radius agree in r
 blocks at least, so a cell for each choice of r blocks loses nothing; r is chosen by the number of fingerprints.
-`sketches` (for shingle similarity): cells by groups of min-hashes, and what the trees find is checked by the share of
-equal min-hashes.
+`sketches` (for shingle similarity): cells by groups of min-hashes; the share of equal min-hashes, with a wide margin, only
+says which documents may link, and the sets of shingles of these are then compared themselves.
 
 Defined results: a null text is the empty text; a text without words has fingerprint zero and links like any other;
 a text with fewer words than a shingle is one shingle; a row whose id is null gets a fingerprint, links with nothing,
-and has no component; rows with one id are one node, their component that of the least; an empty table gives an empty
-table. Only doc_id and text are read.
+and has no component; rows with one fingerprint (`sketches`: one set of shingles) are one node, a component has the least
+id of its rows; an empty table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from pagelore.llm.common import Scratch, held, tune, written
 from pagelore.llm.components import components
 
-SEED, MIN_HASHES, BAND_WIDTH, BANDS = 42, 256, 3, 10
+SEED, MIN_HASHES, BAND_WIDTH, BANDS = 42, 256, 3, 16
+#: Shingles in a chunk of a cell whose sets are compared: 8 MB.
+MOST_SHINGLES = 1 << 20
 _RANDOM = np.random.default_rng(20240501)
 _A = _RANDOM.integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, MIN_HASHES, dtype=np.uint64)
@@ -70,6 +72,11 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_key(hashes: np.ndarray) -> int:
+    """The key of a set of shingles, from its sorted hashes."""
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+
+
 def signed(values: np.ndarray | list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -87,25 +94,38 @@ def fingerprints(docs: DataFrame, *, words: int = 4) -> DataFrame:
 
 
 def sketches(docs: DataFrame, *, words: int = 5) -> DataFrame:
-    """doc_id, fp, key (of fingerprint and sketch), sketch (16 bits a min-hash), bands (keys of the groups of min-hashes)."""
+    """doc_id, fp, key and size (of the set of shingles), sketch (16 bits a min-hash), bands (keys of the groups of min-hashes)."""
     tune(docs.sparkSession)
 
-    def one(text: str) -> tuple[int, int, bytes, list[int]]:
+    def one(text: str) -> tuple[int, int, int, bytes, list[int]]:
         hashes = shingle_hashes(text, words)
-        low, fp = min_hashes(hashes), fingerprint(hashes)
+        own = np.unique(hashes)
+        low, fp = min_hashes(own), fingerprint(hashes)
         sketch = ((low * _MIX) >> np.uint64(48)).astype("<u2").tobytes()
         bands = [xxhash.xxh64_intdigest(low[BAND_WIDTH * t : BAND_WIDTH * (t + 1)].tobytes(), t) for t in range(BANDS)]
-        return fp, xxhash.xxh64_intdigest(sketch + fp.to_bytes(8, "little")), sketch, bands
+        return fp, set_key(own), len(own), sketch, bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("sketches",), dict)  # what another operator kept in this worker goes
         for batch in batches:
             got = [one(t or "") for t in batch.column("text").to_pylist()]
-            fp, key, sketch, bands = zip(*got, strict=True) if got else ((), (), (), ())
+            fp, key, size, sketch, bands = zip(*got, strict=True) if got else ((), (), (), (), ())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * BANDS), signed([b for x in bands for b in x]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(list(fp)), signed(list(key)), pa.array(sketch, pa.binary()), flat], ["doc_id", "fp", "key", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(list(fp)), signed(list(key)), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), flat], ["doc_id", "fp", "key", "size", "sketch", "bands"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long, key long, size long, sketch binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, *, words: int = 5) -> DataFrame:
+    """key, shingles (the sorted hashes, 8 bytes each)."""
+    tune(docs.sparkSession)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long, key long, sketch binary, bands array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or "", words)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([signed([set_key(x) for x in sets]), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["key", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "key long, shingles binary")
 
 
 def block_choices(radius: int, n: int, load: int = 64) -> list[tuple[int, ...]]:
@@ -223,15 +243,17 @@ def link_cells(nodes: list[np.ndarray], prints: list[np.ndarray], sides: list[np
 
 
 def cells_of(keyed: DataFrame, most: int, scratch: Scratch) -> DataFrame:
-    """cell, side, node, fp[, sketch] from (key, node, fp[, sketch]): cells of two or more, the large ones cut into pairs of chunks.
+    """cell, side, node[, ...] from (key, node[, size, ...]): cells of two or more, the large ones cut into pairs of chunks.
 
-    Who shares a key is settled by counts first, so that only members of real cells carry on. A chunk has about `most` members.
+    Who shares a key is settled by counts first, so that only members of real cells carry on. A chunk has about `most` members,
+    and where there are sizes, about MOST_SHINGLES or less in all.
     """
-    rest = [c for c in keyed.columns if c != "key"]
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rest = [c for c in keyed.columns if c not in ("key", "size")]
+    load = F.sum("size") / MOST_SHINGLES if "size" in keyed.columns else F.lit(0.0)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), load.alias("load")).where("n > 1")
     sizes = scratch.written(sizes, "cell-sizes")
     rows = keyed.join(sizes, "key")
-    chunks = F.ceil(F.col("n") / most).cast("int")
+    chunks = F.ceil(F.greatest(F.col("n") / most, F.col("load"))).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cut = rows.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", other)
@@ -269,6 +291,53 @@ def links_in(cells: DataFrame, radius: int, agree: float | None = None) -> DataF
     return gathered.mapInArrow(run, "a long, b long")
 
 
+def link_sets(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least node of its group) in one cell: sets whose common part is `similarity` or more of both together."""
+    order = np.argsort(node, kind="stable")
+    node, side, sets = node[order], side[order], [sets[i] for i in order]
+    size = np.array([len(x) for x in sets], np.int64)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    seen = np.zeros(len(flat) + 1, bool)
+    label = np.arange(len(node))
+    mixed = side.any()
+    for q in np.flatnonzero(side == 1) if mixed else range(len(node)):
+        others = np.flatnonzero(side == 0) if mixed else np.arange(q + 1, len(node))
+        others = others[np.minimum(size[others], size[q]) >= similarity * np.maximum(size[others], size[q]) - 1e-6]
+        own = flat[ends[q] - size[q] : ends[q]]
+        seen[own] = True
+        for heads in (True, False):  # the first of each group, then the rest of the groups that are still apart
+            m = others[label[others] != label[q]]
+            if heads and m.size:
+                m = m[np.unique(label[m], return_index=True)[1]]
+            for part in np.split(m, np.flatnonzero(np.diff(np.cumsum(size[m]) // MOST_SHINGLES)) + 1) if m.size else []:
+                wide = size[part]
+                at = np.repeat(ends[part] - np.cumsum(wide), wide) + np.arange(wide.sum())
+                common = np.bincount(np.repeat(np.arange(len(part)), wide), seen[flat[at]], len(part))
+                both = wide + size[q] - common
+                good = part[(both == 0) | (common / np.maximum(both, 1) >= similarity)]
+                join_labels(label, np.full(len(good), q), good)
+        seen[own] = False
+    moved = label != np.arange(len(node))
+    return node[moved], node[label[moved]]
+
+
+def set_links(cells: DataFrame, similarity: float) -> DataFrame:
+    """a, b: as links_in, of cells with the sets of shingles."""
+    tune(cells.sparkSession)
+    fields = ["node", "side", "shingles"]
+    gathered = cells.groupBy("cell").agg(F.collect_list(F.struct(*fields)).alias("rows")).select(*[F.col(f"rows.{c}").alias(c) for c in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, side, sets in zip(*[batch.column(c) for c in fields], strict=True):
+                sets = [np.frombuffer(x, "<u8") for x in sets.values.to_pylist()]
+                a, b = link_sets(node.values.to_numpy(), side.values.to_numpy(), sets, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return gathered.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, most: int = 1024) -> DataFrame:
     """doc_id, fp, component_id: fingerprints that differ in `radius` bits or fewer link; a component has its least id."""
     with Scratch(docs.sparkSession) as scratch:
@@ -280,23 +349,42 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, most: i
         return assigned(prints, nodes, found, "fp", scratch).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 20, slack: float = 0.01, most: int = 2048) -> DataFrame:
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 20, slack: float = 0.15, most: int = 2048) -> DataFrame:
     """doc_id, fp, component_id: documents whose sets of shingles are similar by `similarity` or more link.
 
-    The radius is wide enough for that similarity (a fingerprint of such a pair differs in 10 bits in the mean); the similarity
-    is measured by the share of equal min-hashes, and `slack` makes up for the spread of that measure.
+    The radius is wide enough for that similarity (a fingerprint of such a pair differs in 10 bits in the mean). Documents
+    whose share of equal min-hashes is less by `slack` at most (six times the spread of that measure) make loose groups; in
+    each of them the sets themselves decide. One in 100,000 pairs just at 0.8 shares none of the groups of min-hashes.
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.written(sketches(docs, words=words), "sketches")
-        nodes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.min(F.struct("fp", "sketch", "bands")).alias("x"))
-        nodes = scratch.written(nodes.select("key", "node", "x.fp", "x.sketch", "x.bands"), "sketch-nodes")
+        nodes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "size", "sketch", "bands")).alias("x"))
+        nodes = scratch.written(nodes.select(F.col("key").alias("node"), "least", "x.fp", "x.size", "x.sketch", "x.bands"), "sketch-nodes")
         slim = written(rows.select("doc_id", "fp", "key"), "sketch-keys")
         scratch.drop(rows)
-        keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp")
-        thin = cells_of(keyed, most, scratch)
+        thin = cells_of(nodes.select(F.explode("bands").alias("key"), "node", "fp"), most, scratch)
         marked = thin.join(nodes.select(F.col("node").alias("of"), "sketch"), thin["node"] == F.col("of")).drop("of")
-        found = scratch.written(links_in(marked, radius, similarity - slack), "sketch-links")
-        return assigned(slim, nodes.select("key", "node"), found, "key", scratch).select("doc_id", "fp", "component_id")
+        loose = components(scratch.written(links_in(marked, radius, similarity - slack), "sketch-links"), scratch)
+        loose = loose.join(nodes.select(F.col("node").alias("of"), "least", "size"), loose["node"] == F.col("of"))
+        loose = scratch.written(loose.select(F.col("component").alias("key"), "node", "least", "size"), "loose-groups")
+        wanted = loose.select(F.col("least").alias("wanted")).distinct()
+        held_by = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+        sets = shingle_sets(held_by, words=words).groupBy("key").agg(F.first("shingles").alias("shingles"))
+        cells = cells_of(loose.select("key", "node", "size"), most, scratch)
+        cells = cells.join(sets.withColumnRenamed("key", "of"), cells["node"] == F.col("of")).drop("of")
+        found = scratch.written(set_links(cells, similarity), "set-links")
+        return grouped(slim, nodes.select("node", "least"), found, scratch)
+
+
+def grouped(rows: DataFrame, nodes: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, fp, component_id of rows, whose nodes are keys: a component has the least id of all its nodes."""
+    groups = components(found, scratch).withColumnRenamed("node", "of")
+    linked = nodes.join(groups, nodes["node"] == groups["of"], "left").select("node", "least", F.coalesce("component", "node").alias("group"))
+    linked = scratch.written(linked, "set-groups")
+    first = linked.groupBy("group").agg(F.min("least").alias("component_id")).withColumnRenamed("group", "its group")
+    named = written(linked.join(first, linked["group"] == first["its group"]).select("node", "component_id"), "components")
+    out = rows.join(named, rows["key"] == named["node"], "left")
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

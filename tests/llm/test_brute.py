@@ -253,3 +253,39 @@ def test_similar_documents(spark):
     sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in docs]
     for g in range(0, len(docs), 4):
         assert got[g] == got[g + 1] == got[g + 2] == g and len(sets[g] & sets[g + 3]) / len(sets[g] | sets[g + 3]) < 0.7 and got[g + 3] == g + 3
+
+
+def test_similar_pairs_close_to_the_limit(spark):
+    """One word in twelve places or so changed: similarities between 0.77 and 0.85, which an estimate would mix up."""
+    rng = random.Random(11)
+    texts, truth = [], []
+    while len(truth) < 300:
+        words = [f"w{rng.randint(0, 50_000)}" for _ in range(300)]
+        other = list(words)
+        for k in rng.sample(range(300), rng.randint(5, 8)):
+            other[k] = f"e{rng.randint(0, 10**6)}"
+        a, b = ({tuple(x[k : k + 5]) for k in range(296)} for x in (words, other))
+        if 0.77 <= len(a & b) / len(a | b) <= 0.85:
+            texts += [" ".join(words), " ".join(other)]
+            truth.append(len(a & b) / len(a | b) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert 50 < sum(truth) < 250 and [got[2 * i + 1] == got[2 * i] for i in range(300)] == truth
+
+
+def test_sets_in_chunks_link_as_by_brute_force(spark):
+    rng = random.Random(12)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    sets = [sorted(rng.sample(base, 52) + [rng.getrandbits(63) for _ in range(rng.randint(0, 4))]) for _ in range(80)]
+    rows = [(7, i, len(x), np.array(x, "<u8").tobytes()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, node long, size long, shingles binary")
+    label = np.arange(80)
+    for i in range(80):
+        for j in range(i):
+            if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8:
+                simhash.join_labels(label, np.array([i]), np.array([j]))
+    for most in (1000, 9):
+        with Scratch(spark) as scratch:
+            found = simhash.components(simhash.set_links(simhash.cells_of(df, most, scratch), 0.8), scratch)
+            group = {r["node"]: r["component"] for r in found.collect()}
+        assert [group.get(i, i) for i in range(80)] == label.tolist() and 2 < len(set(label.tolist())) < 79
