@@ -289,3 +289,16 @@ def test_sets_in_chunks_link_as_by_brute_force(spark):
             found = simhash.components(simhash.set_links(simhash.cells_of(df, most, scratch), 0.8), scratch)
             group = {r["node"]: r["component"] for r in found.collect()}
         assert [group.get(i, i) for i in range(80)] == label.tolist() and 2 < len(set(label.tolist())) < 79
+
+
+def test_repeated_lines_do_not_hide_near_copies(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(50):
+        text, line = (" ".join(f"w{rng.randint(0, 50_000)}" for _ in range(n)) for n in (300, 10))
+        texts += [text, text + f" {line}" * 30]
+        a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts[-2:])
+        assert len(a & b) / len(a | b) > 0.94
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(50)) == 50
