@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelore.llm.common import Scratch, held, tune, written
 from pagelore.llm.components import components
@@ -349,7 +350,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, most: i
 
 
 def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 28, slack: float = 0.15, most: int = 2048) -> DataFrame:
-    """doc_id, fp, component_id: documents whose sets of shingles are similar by `similarity` or more link.
+    """doc_id, fp, key, group, component_id: documents whose sets of shingles are similar by `similarity` or more link.
+
+    key is of the set of shingles, group that of one set of the component; component_id is the component's least id. Rows
+    with one id but other sets need not be in one component.
 
     The radius is wide enough for that similarity: the fingerprint is of the set of shingles too, and differs in 10 bits in
     the mean, with a spread of 3, at 0.8. Documents
@@ -377,28 +381,45 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
 
 
 def grouped(rows: DataFrame, nodes: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, fp, component_id of rows, whose nodes are keys: a component has the least id of all its nodes."""
+    """doc_id, fp, key, group, component_id of rows, whose nodes are keys: a component has the least id of all its nodes."""
     groups = components(found, scratch).withColumnRenamed("node", "of")
     linked = nodes.join(groups, nodes["node"] == groups["of"], "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     linked = scratch.written(linked, "set-groups")
     first = linked.groupBy("group").agg(F.min("least").alias("component_id")).withColumnRenamed("group", "its group")
-    named = written(linked.join(first, linked["group"] == first["its group"]).select("node", "component_id"), "components")
+    named = written(linked.join(first, linked["group"] == first["its group"]).select("node", "group", "component_id"), "components")
     out = rows.join(named, rows["key"] == named["node"], "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    own = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "fp", "key", F.when(own, F.col("group")).alias("group"), F.when(own, F.col("component_id")).alias("component_id"))
+
+
+def set_keys(rows: DataFrame, *, words: int = 5) -> DataFrame:
+    """rows (row, text) with the key of the text's set of shingles in place of the text."""
+    tune(rows.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(np.unique(shingle_hashes(t or "", words))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), signed(keys)], ["row", "key"])
 
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without those whose component has a smaller id; of rows with one id, the first by text. A null id stays."""
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    return rows.select("row", "text").mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("key", T.LongType())]))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, *, words: int = 5) -> DataFrame:
+    """One row of each component of similar_documents: that with the least id, the first by text of those. A null id stays.
+
+    Where an id occurs once, it says which row goes; rows of an id that repeats are told apart by their sets of shingles.
+    """
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"))
+    ids = written(ids.where("n > 1 or doc_id <> least").select(F.col("doc_id").alias("gone"), "n"), "copies")
+    left = docs.join(ids, docs["doc_id"] == ids["gone"], "left_anti")
+    again = ids.where("n > 1").select(F.col("gone").alias("again"))
     if not again.limit(1).count():
         return left
-    again = written(again, "repeated-ids")
-    rest = left.join(again, left["doc_id"] == again["again"], "left_anti")
-    first = Window.partitionBy("again").orderBy("text")
-    many = left.join(again, left["doc_id"] == again["again"]).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "again", "text")
-    return rest.unionByName(many.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
+    many = docs.join(again, docs["doc_id"] == again["again"], "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("its id"), F.col("key").alias("its key"), "group").distinct()
+    many = set_keys(many, words=words).join(kept, (F.col("row.doc_id") == F.col("its id")) & (F.col("key") == F.col("its key")))
+    first = Window.partitionBy("group").orderBy("row.text")
+    return left.unionByName(many.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
 
 
 def assigned(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str, scratch: Scratch) -> DataFrame:

@@ -186,3 +186,13 @@ def test_warc_edges(spark):
     assert warc.read_index(spark, warc.write_archive(pages.limit(0))).count() == 0
     few = warc.describe(pages, min_bytes=1).where("page_id in (2, 4)")
     assert {r["record_type"] for r in few.collect()} == {"response"}
+
+
+def test_one_of_each_decides_by_row(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    texts = [(1, one), (5, one), (5, two), (5, two), (7, three), (7, four), (7, four + " end"), (9, four), (None, one)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, nth int").repartition(3)
+    left = simhash.one_of_each(docs, simhash.similar_documents(docs))
+    assert left.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in left.collect())
+    assert got == sorted([(0, one), (1, one), (5, two), (7, three), (7, four)])
