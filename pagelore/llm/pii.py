@@ -2,7 +2,7 @@
 
 All of it is built-in column expressions. Matches are found with their places as follows: `split` gives the
 text between the matches and `regexp_extract_all` the matches themselves, so the places are running sums of
-lengths, in code points. The patterns below match what the plain ones in BASE_PATTERNS match, but use
+lengths, in code points. Sums and parts of texts are reached in steps whose number grows with the text, not with its square. The patterns below match what the plain ones in BASE_PATTERNS match, but use
 possessive quantifiers and start a run at its beginning (or where the last match ended), so that no text, however
 long, makes the engine try every start of a run or recurse.
 
@@ -16,6 +16,8 @@ have any name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,22 +53,61 @@ FOR = {
 }
 AGAINST = r"(?i)\b(?:example|sample|version|isbn|order|invoice|serial|dummy)\b"
 BOOST, CUT, WINDOW = 0.2, 0.2, 40
+#: Matches that are walked in one run, and code points of a part of a text.
+RUN, BLOCK = 256, 1024
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def walked(items: Column, start: Column, move: Callable[[Column, Column], Column], says: Callable[[Column, Column], Column], value: Callable[[Column, Column], Column], kind: str) -> Column:
+    """array<kind> of value(state, item) for the items that says(state, item) holds for; the state, a long, goes on by move.
+
+    An array grows by being copied, so the walk goes in runs of RUN items, and the runs' arrays are put together at the end: n
+    items cost n * RUN + (n / RUN) ** 2 copies of a reference, not n ** 2.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def step(acc: Column, item: Column) -> Column:
+        out = F.when(says(acc["at"], item), F.concat(acc["out"], F.array(value(acc["at"], item)))).otherwise(acc["out"])
+        return F.struct(move(acc["at"], item).alias("at"), out.alias("out"))
+
+    def run(all_: Column, acc: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(all_, k * RUN + 1, F.lit(RUN)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(own, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def runs(all_: Column) -> Column:
+        zero = F.struct(start.cast("long").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), zero, lambda acc, k: run(all_, acc, k), lambda acc: F.flatten(acc["out"]))
 
+    return let(items, lambda all_: F.when(F.size(all_) > 0, runs(all_)).otherwise(none))
 
-def occurrences(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,match>> of the leftmost non-overlapping matches, places in code points."""
+
+SPAN = "struct<start:bigint,end:bigint,match:string>"
+
+
+def occurrences(text: Column, pattern: str, good: Callable[[Column], Column] = lambda m: F.lit(True)) -> Column:
+    """array<struct<start,end,match>> of the leftmost non-overlapping matches that are good, places in code points."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("long"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("gap"), F.char_length(m).cast("long").alias("wide"), m.alias("match")))
+    pairs = F.filter(pairs, lambda x: x["match"].isNotNull())  # there is a gap more than there are matches
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["wide"]).alias("end"), x["match"].alias("match"))
+    return walked(pairs, F.lit(0), lambda at, x: at + x["gap"] + x["wide"], lambda at, x: good(x["match"]), span, SPAN)
+
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.char_length(pair["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+def blocks_of(text: Column) -> Column:
+    """The text in parts of BLOCK code points, so that a place far on is reached without passing over all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+def part_of(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end."""
+    first = F.floor(start / BLOCK).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.substr(near, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
 
 
 def digits_of(match: Column) -> Column:
@@ -102,15 +143,17 @@ def passes(kind: str, match: Column) -> Column:
 
 def scored(text: Column, kind: str, window: int = WINDOW) -> Column:
     """array<struct<kind,start,end,score>> of the spans of one kind that pass its checks."""
-    good = F.filter(occurrences(text, PATTERNS[kind]), lambda m: passes(kind, m["match"]))
 
-    def score(m: Column) -> Column:
-        begin = F.greatest(m["start"] - window, F.lit(0))
-        around = F.concat(F.substr(text, (begin + 1).cast("int"), (m["start"] - begin).cast("int")), F.lit(" "), F.substr(text, (m["end"] + 1).cast("int"), F.lit(window)))
+    def score(blocks: Column, m: Column) -> Column:
+        around = F.concat(part_of(blocks, F.greatest(m["start"] - window, F.lit(0)), m["start"]), F.lit(" "), part_of(blocks, m["end"], m["end"] + window))
         moved = F.lit(PRIOR[kind]) + F.when(F.regexp_like(around, F.lit(FOR[kind])), BOOST).otherwise(0.0) - F.when(F.regexp_like(around, F.lit(AGAINST)), CUT).otherwise(0.0)
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)), 4)
 
-    return F.transform(good, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score(m).alias("score")))
+    def spans(good: Column) -> Column:
+        each = lambda blocks: F.transform(good, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score(blocks, m).alias("score")))
+        return F.when(F.size(good) > 0, let(blocks_of(text), each)).otherwise(F.array().cast(NO_SPANS))
+
+    return let(occurrences(text, PATTERNS[kind], lambda m: passes(kind, m)), spans)
 
 
 #: A text without the mark cannot hold the kind; tested before the pattern is run.
@@ -145,14 +188,11 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in square brackets; overlapping spans give one mark, that of the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        clear = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(clear, mark)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    return F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
+    cut = lambda at, s: F.struct(at.alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+    cuts = walked(ordered, F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: s["start"] >= at, cut, "struct<from:bigint,to:bigint,kind:string>")
+    last, length = F.array_max(F.transform(spans, lambda s: s["end"])), F.char_length(text).cast("long")
+    parts = lambda blocks: F.concat(F.array_join(F.transform(cuts, lambda c: F.concat(part_of(blocks, c["from"], c["to"]), F.lit("["), F.upper(c["kind"]), F.lit("]"))), ""), part_of(blocks, last, length))
+    return let(blocks_of(text), parts)
 
 
 def redact(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:

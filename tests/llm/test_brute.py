@@ -200,6 +200,17 @@ def test_pii_patterns(spark, documents):
         assert base == plain_spans(texts[r["doc_id"]]), texts[r["doc_id"]][:200]
 
 
+def test_pii_many_matches(spark):
+    """Texts with very many matches: the cost grows with them, not with their square, and every place is right."""
+    phones = " x ".join(f"+49{i:09d}" for i in range(20_000))
+    texts = [" ".join(f"{i:07d}" for i in range(200_000)), phones, "😀é" * 700 + " a@b.co " + "ß" * 1500 + " +4912345678 "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.digest(pii.find_spans(df)).collect()}
+    assert got[0] == [""] and got[1] == plain_spans(phones) and got[2] == plain_spans(texts[2])
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[0] == texts[0] and clean[1] == " x ".join(["[PHONE]"] * 20_000) and clean[2] == "😀é" * 700 + " [EMAIL] " + "ß" * 1500 + " [PHONE] "
+
+
 def test_checksums_and_context(spark):
     texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE89 3704 0044 0532 0130 01 no", "my ssn 123-45-6789", "order 123-45-6789"]
     got = [r["spans"] for r in pii.digest(pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()]
