@@ -2,8 +2,9 @@
 
 Full windows are cut off a document as they are; what remains of it is placed whole, online, at the fill level
 h for which the sum over all levels 0 < h < length of (windows filled to h) squared becomes least; the counts
-lie in a level array. When a task ends, or `most_open` windows are open, the open windows' pieces are cut and
-joined into full windows; what is left over at the very end is cut at powers of two, which need no padding.
+lie in a level array. What is placed stays: when a task ends, the emptiest open windows are taken apart, and their
+pieces cut, only to fill the rooms of the fullest ones. What is left at the very end, less than a window, is cut at powers of
+two, which need no padding. `placed` says of each piece whether it lies where the level array put it.
 Packing runs where the rows lie: no shuffle, and a hot source is as good as any other.
 
 Defined results: a null text is the empty text, whose only id is the end id; a null doc_id is kept;
@@ -18,8 +19,9 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,26 @@ from pyspark.sql import DataFrame
 
 from pagelore.llm.common import held, tune
 
-Piece = tuple[object, int, bytes, int]  # doc_id, ids before it, its ids as bytes, ids of the document
+
+class Piece(NamedTuple):
+    """Some ids of a document, four bytes each."""
+
+    doc_id: object
+    start: int
+    ids: bytes
+    doc_tokens: int
+    placed: bool = True
 
 
 class SumOfSquares:
-    """One stream of windows. `emit` gets (sequence number, pieces) of each closed window."""
+    """One stream of windows. `emit` gets (sequence number, pieces) of each closed window.
 
-    def __init__(self, length: int, emit: Callable[[int, list[Piece]], None], most_open: int = 4096):
-        self.length, self.emit, self.most_open = length, emit, most_open
+    Only pieces of open windows are held: fewer than a window's ids of each document, and few of them, since the method keeps
+    the number of open windows small: on the order of the square root of the documents, once these are many more than the levels.
+    """
+
+    def __init__(self, length: int, emit: Callable[[int, list[Piece]], None]):
+        self.length, self.emit = length, emit
         self.levels = np.zeros(length + 1, np.int64)
         self.at: dict[int, list[int]] = defaultdict(list)
         self.open: dict[int, list[Piece]] = {}
@@ -46,9 +60,9 @@ class SumOfSquares:
         n, size = len(ids) // 4, self.length
         whole = n - n % size
         for start in range(0, whole, size):
-            self.emit(self.number(), [(doc_id, start, ids[4 * start : 4 * (start + size)], n)])
+            self.emit(self.number(), [Piece(doc_id, start, ids[4 * start : 4 * (start + size)], n)])
         if whole < n:
-            self.place((doc_id, whole, ids[4 * whole :], n))
+            self.place(Piece(doc_id, whole, ids[4 * whole :], n))
 
     def number(self) -> int:
         self.next += 1
@@ -64,7 +78,7 @@ class SumOfSquares:
         return int(len(change) - 1 - np.argmin(change[::-1]))
 
     def place(self, piece: Piece) -> None:
-        size = len(piece[2]) // 4
+        size = len(piece.ids) // 4
         level = self.level_for(size)
         if level:
             which = self.at[level].pop()
@@ -78,33 +92,49 @@ class SumOfSquares:
         else:
             self.at[level + size].append(which)
             self.levels[level + size] += 1
-            if len(self.open) > self.most_open:
-                self.join(last=False)
 
-    def join(self, last: bool) -> None:
-        """Cut the open windows' pieces to fill windows; numbers of the open ones are used again first."""
-        free, pieces = sorted(self.open, reverse=True), [p for which in sorted(self.open) for p in self.open[which]]
-        self.levels[:] = 0
-        self.at.clear()
+    def finish(self) -> None:
+        """Fill the rooms of the fullest open windows with what the emptiest hold; the rest goes in powers of two."""
+        fill = lambda which: sum(len(p.ids) // 4 for p in self.open[which])
+        full = deque(sorted(self.open, key=lambda which: (fill(which), -which), reverse=True))
+        numbers, hand = [], []  # numbers of the windows taken apart, and their pieces
+        while full:
+            which = full.popleft()
+            window, room = self.open[which], self.length - fill(which)
+            while room:
+                if not hand:
+                    if not full:
+                        break
+                    numbers.append(full.pop())
+                    hand = self.open[numbers[-1]][::-1]
+                piece, rest = cut(hand.pop(), room)
+                hand += [rest] * bool(rest.ids)
+                window.append(piece)
+                room -= len(piece.ids) // 4
+            if room:
+                numbers.append(which)
+                hand = window[::-1]
+                break
+            self.emit(which, window)
+        left = sum(len(p.ids) // 4 for p in hand)
+        while left:
+            window, room = [], 1 << (left.bit_length() - 1)  # the largest power of two that can be filled
+            left -= room
+            while room:
+                piece, rest = cut(hand.pop(), room)
+                hand += [rest] * bool(rest.ids)
+                window.append(piece)
+                room -= len(piece.ids) // 4
+            self.emit(numbers.pop() if numbers else self.number(), window)
         self.open.clear()
-        rest = sum(len(p[2]) // 4 for p in pieces)
-        take = lambda: free.pop() if free else self.number()
-        window, room = [], min(self.length, rest)
-        for doc_id, start, ids, n in pieces:
-            while ids:
-                if not window and last and rest < self.length:
-                    room = 1 << (rest.bit_length() - 1)  # the largest power of two that can be filled
-                cut = ids[: 4 * room]
-                window.append((doc_id, start, cut, n))
-                ids, start, room, rest = ids[4 * room :], start + len(cut) // 4, room - len(cut) // 4, rest - len(cut) // 4
-                if not room:
-                    self.emit(take(), window)
-                    window, room = [], self.length
-        if window:  # only while more documents follow
-            which, fill = take(), self.length - room
-            self.open[which] = window
-            self.at[fill].append(which)
-            self.levels[fill] = 1
+        self.at.clear()
+        self.levels[:] = 0
+
+
+def cut(piece: Piece, room: int) -> tuple[Piece, Piece]:
+    """What of a piece goes into the room, and the rest of it, which may be empty."""
+    ids = piece.ids
+    return piece._replace(ids=ids[: 4 * room], placed=False), piece._replace(ids=ids[4 * room :], start=piece.start + min(room, len(ids) // 4), placed=False)
 
 
 CHUNK = re.compile(r"[^ \n\t\r]+")
@@ -169,11 +199,11 @@ def tokenizer(path: str) -> ChunkIds:
     return held(("packing", path), lambda: ChunkIds(path))
 
 
-COLUMNS = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
+COLUMNS = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "placed": pa.bool_()}
 
 
 def pack(docs: DataFrame, vocabulary: str, *, length: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; with_ids adds the ids themselves."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, placed of each piece; with_ids adds the ids themselves."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +212,8 @@ def pack(docs: DataFrame, vocabulary: str, *, length: int = 2048, end_id: int =
 
         def emit(which: int, pieces: list[Piece]) -> None:
             offset = 0
-            for doc_id, start, ids, n in pieces:
-                rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, first + which, offset, ids))
+            for doc_id, start, ids, n, placed in pieces:
+                rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, first + which, offset, placed, ids))
                 offset += len(ids) // 4
 
         def drained() -> Iterator[pa.RecordBatch]:
@@ -201,8 +231,8 @@ def pack(docs: DataFrame, vocabulary: str, *, length: int = 2048, end_id: int =
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 packer.add(doc_id, ids_of.of(text or "") + end)
             yield from drained()
-        packer.join(last=True)
+        packer.finish()
         yield from drained()
 
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COLUMNS) + ", ids array<int>" * with_ids
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} {'boolean' if t == pa.bool_() else 'long'}" for c, t in COLUMNS.items()) + ", ids array<int>" * with_ids
     return docs.selectExpr("doc_id", "text").mapInArrow(run, shape)

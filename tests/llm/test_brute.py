@@ -92,6 +92,32 @@ def test_packing(spark, data, documents):
         assert r["start"] == seen[r["doc_id"]] and r["ids_crc32"] == zlib.crc32(own.tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
         seen[r["doc_id"]] += r["length"]
     assert all(seen[i] == len(x) for i, x in ids.items())
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
+    fills = [sum(n for _, n in pieces) for pieces in sequences.values()]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in fills) and sum(n < 2048 for n in fills) <= 11  # one task
+
+
+def test_packing_keeps_what_the_levels_chose():
+    rng = random.Random(7)
+    out: dict[int, list] = {}
+    packer = packing.SumOfSquares(128, lambda which, pieces: out.setdefault(which, []).append(pieces))
+    sizes = [min(700, int(rng.lognormvariate(3.5, 1.2)) + 1) for _ in range(20_000)]
+    for k, n in enumerate(sizes):
+        packer.add(k, k.to_bytes(4, "little") * n)
+    held_at_the_end = len(packer.open)
+    packer.finish()
+    assert all(len(x) == 1 for x in out.values())
+    windows = [x[0] for x in out.values()]
+    fills = [sum(len(p.ids) // 4 for p in w) for w in windows]
+    assert sum(fills) == sum(sizes) and all(n == 128 or n & (n - 1) == 0 for n in fills)
+    assert all(p.ids == p.doc_id.to_bytes(4, "little") * (len(p.ids) // 4) for w in windows for p in w)
+    whole = sum(len(p.ids) // 4 for w in windows for p in w if p.placed) / sum(sizes)
+    assert held_at_the_end < 200 and whole > 0.98
 
 
 def test_parts_of_text_have_the_tokenizers_ids():
@@ -117,7 +143,7 @@ def test_sum_of_squares_choice():
                 after[level + size] += level + size < 10
                 costs[level] = int((after[1:10] ** 2).sum())
         assert costs[placed.level_for(size)] == min(costs.values())
-        placed.place((k, 0, bytes(4 * size), size))
+        placed.place(packing.Piece(k, 0, bytes(4 * size), size))
 
 
 def test_bpe_is_the_librarys():
