@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,29 @@ BATCH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a batch of long texts fits a Python worker; send the package along."""
+    """Keep Arrow batches small, so that a batch of long texts fits a Python worker; send the package along.
+
+    Spark reads the two settings when a plan runs, and what operators return runs later, so they stay set in the session;
+    smaller ones of the caller are left as they are.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)  # None where nobody has set it
+        if not (now and now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for what runs within the block, and are put back after it, whatever happens there."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 _HELD: dict = {}
@@ -54,6 +74,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Spark's own file system deletes the folder when the application ends: a DataFrame that was returned may read it until then."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared folder through Spark's own file system."""
     jvm = spark.sparkContext._jvm
@@ -62,10 +89,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back. The table goes when the application ends."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,11 @@ is the sum over all ways to cut it into pieces, by the forward algorithm, and a
 words. The probabilities are learned by expectation maximisation over the words of a sample of the labelled
 documents (`sample` documents a language in expectation, chosen by a hash of the id); prediction reads every whole text.
 
-Defined results: a text that is null or has no letter is `und` with score 0; a null lang is not learned
+Defined results: a word is a run of letters (Unicode category L), in lower case, of any length; a text that is null or
+has no letter is `und` with score 0; a null lang is not learned
 from; a null doc_id is never learned from; equal scores go to the language first in code-point order; with
-nothing to learn from every text is `und`; repeated rows are each scored. Words longer than 64 letters are cut every 64.
+nothing to learn from every text is `und`; repeated rows are each scored; more than `most_languages` different
+values of lang are refused with an error, since what a worker holds grows with them.
 """
 
 from __future__ import annotations
@@ -20,14 +22,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import Scratch, held, tune
+from pagelore.llm.common import Scratch, held, settings, tune
 
-LETTERS = re.compile(r"[^\W\d_]{1,64}")
+#: Nearly letters; what else it takes (fractions, Roman numerals, numbers in circles) is cut out of the few words that have it.
+NEARLY, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 MARK = "▁"
 UND = "und"
+#: Words longer than this are summed one by one, in logarithms, and not kept: the same sums by another road.
+LONG = 64
+#: Bytes of the table of words that a worker keeps (there are two generations), words in it, languages at most.
+TABLE_BYTES, TABLE_WORDS, MOST_LANGUAGES = 64 << 20, 250_000, 256
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    found = NEARLY.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in ((word,) if word.isalpha() else LETTERS.findall(word))]
 
 
 class Pieces:
@@ -40,6 +56,7 @@ class Pieces:
         self.rows = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i) and not model.is_byte(i)}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.size = model.get_piece_size()
+        self.longest = max(map(len, self.rows))
         self.back = {piece[n:]: -1 for piece in self.rows for n in range(1, len(piece))} | self.rows
         #: piece -> its row, and -1 for what only begins a piece: where a look-up finds nothing, nothing longer will do
         self.trie = {piece[:n]: -1 for piece in self.rows for n in range(1, len(piece))} | self.rows
@@ -78,6 +95,42 @@ class Pieces:
         levels[0].append((count, 0, 0))
         return levels, ends, list(spelled)
 
+    def into(self, text: str, j: int) -> list[tuple[int, list[int]]]:
+        """(start, rows) of each piece that ends at place j of a marked word; a spelled character has the rows of its bytes."""
+        out = []
+        for i in range(j - 1, -1, -1):
+            if (row := self.back.get(text[i:j])) is None:
+                break
+            if row >= 0:
+                out.append((i, [row]))
+        if self.rows.get(text[j - 1]) is None:
+            out.append((j - 1, [self.bytes[b] for b in text[j - 1].encode("utf-8", "surrogatepass")]))
+        return out
+
+    def long_word(self, word: str, logs: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations, for each column of logs; only the places that a piece can reach are held."""
+        text, reach = MARK + word, self.longest
+        ahead = np.full((reach + 1, logs.shape[1]), -np.inf)
+        ahead[0] = 0.0
+        for j in range(1, len(text) + 1):
+            edges = self.into(text, j)
+            ahead[j % (reach + 1)] = np.logaddexp.reduce([ahead[i % (reach + 1)] + (logs[rows[0]] if len(rows) == 1 else logs[rows].sum(0)) for i, rows in edges], axis=0)
+        return ahead[len(text) % (reach + 1)]
+
+    def long_counts(self, word: str, logs: np.ndarray, n: float, counts: np.ndarray) -> None:
+        """Adds to counts the expected uses of each piece in n such words. logs and counts: one language."""
+        text = MARK + word
+        size = len(text)
+        ahead, back = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+        ahead[0] = back[size] = 0.0
+        for j in range(1, size + 1):
+            ahead[j] = np.logaddexp.reduce([ahead[i] + logs[rows].sum() for i, rows in self.into(text, j)])
+        for j in range(size, 0, -1):
+            for i, rows in self.into(text, j):
+                one = logs[rows].sum()
+                back[i] = np.logaddexp(back[i], back[j] + one)
+                np.add.at(counts, rows, n * np.exp(ahead[i] + one + back[j] - ahead[size]))
+
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """word, from, to, row of every piece in every word; lengths. A spelled character has one edge a byte, through places of its own."""
         out, lengths = [], []
@@ -139,8 +192,9 @@ def walking_order(start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> li
 class Model:
     """Log probabilities by language; words are scored in batches and kept, a bounded number of them."""
 
-    def __init__(self, pieces: Pieces, langs: list[str], logs: np.ndarray, priors: np.ndarray, most: int = 250_000):
-        self.pieces, self.langs, self.logs, self.priors, self.most = pieces, langs, logs, priors, most
+    def __init__(self, pieces: Pieces, langs: list[str], logs: np.ndarray, priors: np.ndarray, most: int = TABLE_WORDS):
+        self.pieces, self.langs, self.logs, self.priors = pieces, langs, logs, priors
+        self.most = most = max(1, min(most, TABLE_BYTES // (8 * max(1, len(langs)))))
         self.p = np.exp(logs)
         self.known: dict[str, int] = {}  # word -> row of the table; the generation before is kept too
         self.table = np.zeros((most, len(langs)))
@@ -162,21 +216,16 @@ class Model:
         with np.errstate(divide="ignore"):
             out = np.log(done)
         for k in np.flatnonzero((done < 1e-290).any(1)).tolist():  # too small for plain numbers
-            _, s, e, r, lengths = self.pieces.edges([words[k]])
-            logs = np.full((int(lengths.max()) + 1, p.shape[1]), -np.inf)
-            logs[0] = 0.0
-            for edges in walking_order(s, e, np.full(len(s), lengths[0, 0])):
-                for i in edges.tolist():
-                    logs[e[i]] = np.logaddexp(logs[e[i]], logs[s[i]] + self.logs[r[i]])
-            out[k] = logs[lengths[0, 0]]
+            out[k] = self.pieces.long_word(words[k], self.logs)
         return out
 
     def learn_words(self, words: set[str]) -> None:
+        """At most `most` words, which the table then has."""
         fresh = list(words.difference(self.known))
         if len(self.known) + len(fresh) > self.most:
             self.older, self.older_table = self.known, self.table
             self.known, fresh = {}, list(words)
-            self.table = np.zeros((max(self.most, len(fresh)), len(self.langs)))
+            self.table = np.zeros((self.most, len(self.langs)))
         again = [w for w in fresh if w in self.older]
         fresh = [w for w in fresh if w not in self.older]
         for part in (again[a : a + 4096] for a in range(0, len(again), 4096)):
@@ -190,31 +239,38 @@ class Model:
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and posterior of each whole text."""
-        out, group, waiting = [], [], 0
-        for text in texts:
-            words = LETTERS.findall((text or "").lower())
-            group.append(words)
-            waiting += len(words)
-            if waiting > 200_000:
-                out += self._decide(group)
-                group, waiting = [], 0
-        return out + self._decide(group)
-
-    def _decide(self, group: list[list[str]]) -> list[tuple[str, float]]:
-        if self.langs:
-            self.learn_words({w for words in group for w in words})
+        """Language and posterior of each whole text. Words are looked up some at a time, however long a text is."""
+        logs, found = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
+        some, group, waiting = min(self.most, 200_000), [], 0
+        for k, text in enumerate(texts):
+            words = words_of(text or "")
+            found[k] = bool(words and self.langs)
+            for a in range(0, len(words) if self.langs else 0, some):
+                part = words[a : a + some]
+                if waiting + len(part) > some:
+                    self._add(logs, group)
+                    group, waiting = [], 0
+                group.append((k, part))
+                waiting += len(part)
+        self._add(logs, group)
         out = []
-        for words in group:
-            if not words or not self.langs:
-                out.append((UND, 0.0))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            logs = self.table[at].sum(0) + self.priors
-            best = int(np.argmax(logs))
-            out.append((self.langs[best], float(1 / np.exp(logs - logs[best]).sum())))
+        for k in range(len(texts)):
+            own = logs[k] + self.priors
+            best = int(np.argmax(own)) if found[k] else -1
+            out.append((self.langs[best], float(1 / np.exp(own - own[best]).sum())) if found[k] else (UND, 0.0))
         return out
 
+    def _add(self, logs: np.ndarray, group: list[tuple[int, list[str]]]) -> None:
+        """Adds the logs of words to those of their texts."""
+        distinct = {w for _, words in group for w in words}
+        long = {w: self.pieces.long_word(w, self.logs) for w in distinct if len(w) > LONG}
+        self.learn_words(distinct - long.keys())
+        for k, words in group:
+            if long:
+                logs[k] += sum((long[w] for w in words if w in long), 0.0)
+                words = [w for w in words if w not in long]
+            logs[k] += self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
+
 
 def pieces_of(path: str) -> Pieces:
     return held(("pieces", path), lambda: Pieces(path))
@@ -223,9 +279,14 @@ def pieces_of(path: str) -> Pieces:
 def expected_counts(pieces: Pieces, p: np.ndarray, lang: np.ndarray, words: list[str], n: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece by each language, over all segmentations of its words. p: pieces x languages."""
     counts = np.zeros_like(p)
-    for a in range(0, len(words), 4096):
-        word, start, end, row, lengths = pieces.edges(words[a : a + 4096])
-        own, m = lang[a : a + 4096], n[a : a + 4096]
+    wide = np.fromiter(map(len, words), np.int64, len(words)) > LONG
+    slow = np.flatnonzero(wide).tolist()
+    short = np.flatnonzero(~wide)
+    for part in np.split(short, range(4096, len(short), 4096)):
+        if not part.size:
+            continue
+        word, start, end, row, lengths = pieces.edges([words[k] for k in part])
+        own, m = lang[part], n[part]
         size = (len(own), int(lengths.max()) + 1)
         q = p[row, own[word]][:, None]
         steps = walking_order(start, end, lengths[word, 0])
@@ -235,21 +296,28 @@ def expected_counts(pieces: Pieces, p: np.ndarray, lang: np.ndarray, words: list
         for edges in reversed(steps):
             np.add.at(back, (word[edges], start[edges]), back[word[edges], end[edges]] * q[edges, 0])
         total = ahead[np.arange(len(own)), lengths[:, 0]]
-        share = np.divide(m, total, out=np.zeros(len(own)), where=total > 1e-290)
+        good = total > 1e-290
+        slow += part[~good].tolist()  # too small for plain numbers
+        share = np.divide(m, total, out=np.zeros(len(own)), where=good)
         np.add.at(counts, (row, own[word]), ahead[word, start] * q[:, 0] * back[word, end] * share[word])
+    logs = np.log(p) if slow else p
+    for k in slow:
+        pieces.long_counts(words[k], logs[:, lang[k]], n[k], counts[:, lang[k]])
     return counts
 
 
-def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int = 3, smooth: float = 0.01) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int = 3, smooth: float = 0.01, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities (pieces x languages) and log priors from documents (doc_id, text, lang).
 
     The sample is `sample` documents a language in expectation. Words are counted in the tasks and by partial
-    aggregation; each round sends back at most one number a piece and language, a bound that the vocabulary sets.
+    aggregation; each round sends back at most one number a piece and language, a bound that the vocabulary and `most_languages` set.
     """
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
     langs = sorted(totals)
+    if len(langs) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: a worker could not hold their probabilities")
     if not langs:
         return [], np.zeros((0, 0)), np.zeros(0)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30))
@@ -260,7 +328,7 @@ def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int =
         for batch in batches:
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.update((lang, w) for w in LETTERS.findall(text.lower()))
+                found.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
 
     with Scratch(spark) as scratch:
@@ -268,7 +336,7 @@ def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int =
         pieces, where = pieces_of(vocabulary), {k: i for i, k in enumerate(langs)}
         p = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
         for _ in range(rounds):
-            sent = spark.sparkContext.broadcast(p.astype(np.float32))  # pieces x languages: the vocabulary bounds it
+            sent = spark.sparkContext.broadcast(p.astype(np.float32))  # pieces x languages: the vocabulary and most_languages bound it
 
             def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 own, total = pieces_of(vocabulary), np.zeros(sent.value.shape)
@@ -279,14 +347,13 @@ def train(docs: DataFrame, vocabulary: str, *, sample: int = 1500, rounds: int =
                 row, lang = np.nonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[row, lang])], ["row", "lang", "v"])
 
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-            sums = words.select("lang", "word", "n").mapInArrow(expect, "row int, lang int, v double").groupBy("row", "lang").agg(F.sum("v").alias("v")).toPandas()
+            with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000"}):  # rows of one word
+                sums = words.select("lang", "word", "n").mapInArrow(expect, "row int, lang int, v double").groupBy("row", "lang").agg(F.sum("v").alias("v")).toPandas()
             counts = np.zeros_like(p)
             counts[sums["row"].to_numpy(), sums["lang"].to_numpy()] = sums["v"].to_numpy()
             counts += smooth
             p = counts / counts.sum(0)
             sent.unpersist()
-    tune(spark)
     n = np.array([totals[k] for k in langs], float)
     return langs, np.log(p), np.log(n / n.sum())
 
@@ -297,7 +364,7 @@ def _predictor(docs: DataFrame, learn_from: Column, vocabulary: str, sample: int
     tune(spark)
     langs, logs, priors = train(docs.where(learn_from), vocabulary, sample=sample, rounds=rounds)
     key = uuid.uuid4().hex  # a worker keeps one model, under the key of its call
-    sent = spark.sparkContext.broadcast((langs, logs.astype(np.float32), priors))  # pieces x languages: the vocabulary bounds it
+    sent = spark.sparkContext.broadcast((langs, logs.astype(np.float32), priors))  # pieces x languages: the vocabulary and most_languages bound it
 
     def load() -> Model:
         names, own, first = sent.value

@@ -193,6 +193,118 @@ def test_words_sum_over_all_segmentations():
         assert np.allclose(got, sums[-1])
 
 
+def segmentations(pieces, text):
+    """All ways to write a marked word as rows of pieces, by trying each piece at each place."""
+    if not text:
+        yield []
+        return
+    for n in range(1, len(text) + 1):
+        if (row := pieces.rows.get(text[:n])) is not None:
+            for rest in segmentations(pieces, text[n:]):
+                yield [row, *rest]
+    if text[0] not in pieces.rows:
+        for rest in segmentations(pieces, text[1:]):
+            yield [*(pieces.bytes[b] for b in text[0].encode()), *rest]
+
+
+def test_expected_counts_over_all_segmentations():
+    pieces = langid.Pieces(P.path("piece_bpe_32k.model"))
+    p = np.random.default_rng(1).dirichlet(np.ones(pieces.size), 2).T
+    words, lang, n = ["ab", "there", "ünß", "你好", "ab", "therefore"], np.array([0, 1, 0, 1, 1, 0]), np.array([3.0, 1, 2, 5, 1, 4])
+    want = np.zeros_like(p)
+    for word, k, m in zip(words, lang, n, strict=True):
+        ways = list(segmentations(pieces, langid.MARK + word))
+        weights = np.array([np.prod(p[rows, k]) for rows in ways])
+        for rows, w in zip(ways, weights / weights.sum(), strict=True):
+            for row in rows:
+                want[row, k] += m * w
+    assert np.allclose(langid.expected_counts(pieces, p, lang, words, n), want, atol=1e-12)
+    # long words and such as are too small for plain numbers go another road to the same sums
+    longs, one = ["therefore" * 8, "你好吗" * 20, "x" * 70], np.zeros_like(p)
+    pieces.long_counts("therefore", np.log(p[:, 0]), 4.0, one[:, 0])
+    alone = langid.expected_counts(pieces, p, np.array([0]), ["therefore"], np.array([4.0]))
+    assert np.allclose(one, alone)
+    letters = np.zeros(pieces.size)  # of each piece: what it spells of a word of letters that are pieces themselves
+    for piece, row in pieces.rows.items():
+        letters[row] = len(piece)
+    got = langid.expected_counts(pieces, p, np.array([0, 1, 0]), longs, np.ones(3))
+    assert np.isclose(letters @ got[:, 0], len(longs[0]) + len(longs[2]) + 2) and (got >= 0).all()
+
+
+def plain_words(text):
+    import unicodedata
+
+    out = [""]
+    for c in (text or "").lower():
+        out = [*out[:-1], out[-1] + c] if unicodedata.category(c)[0] == "L" else [*out, ""]
+    return [w for w in out if w]
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(10)
+    letters = {"aa": "etaoin shr", "bb": "äöüßen ich", "cc": "你好吗我们 ab"}
+    docs = []
+    for i in range(60):
+        lang = rng.choice(list(letters))
+        docs.append((i, " ".join("".join(rng.choice(letters[lang].replace(" ", "")) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))), lang))
+    docs += [(60, None, "aa"), (61, "", "aa"), (62, "½ ² ① Ⅷ 123", "bb"), (63, "x²y ⅷab", None), (64, "ether" * 40, "aa"), (65, "你" * 100, None), (66, "Nein", None)]
+    import pyarrow as pa
+
+    pq.write_table(pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "text": [d[1] for d in docs], "lang": [d[2] for d in docs]}), tmp_path / "documents.parquet")
+    pieces = langid.Pieces(P.path("piece_bpe_32k.model"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learn = [(t, k) for i, t, k in docs if not held(i) and k and t is not None]
+    langs = sorted({k for _, k in learn})
+
+    def sums(word, logs):
+        """Forward and backward sums in logarithms, trying each start for each end."""
+        text = langid.MARK + word
+        edges = []
+        for j in range(1, len(text) + 1):
+            edges += [(i, j, [pieces.rows[text[i:j]]]) for i in range(max(0, j - 16), j) if text[i:j] in pieces.rows]
+            if text[j - 1] not in pieces.rows:
+                edges.append((j - 1, j, [pieces.bytes[b] for b in text[j - 1].encode()]))
+        ahead, back = np.full(len(text) + 1, -np.inf), np.full(len(text) + 1, -np.inf)
+        ahead[0] = back[-1] = 0.0
+        for i, j, rows in edges:
+            ahead[j] = np.logaddexp(ahead[j], ahead[i] + logs[rows].sum())
+        for i, j, rows in reversed(edges):
+            back[i] = np.logaddexp(back[i], back[j] + logs[rows].sum())
+        return edges, ahead, back
+
+    p = np.full((pieces.size, len(langs)), 1 / pieces.size)
+    for _ in range(3):
+        counts = np.zeros_like(p)
+        for text, lang in learn:
+            k = langs.index(lang)
+            for word in plain_words(text):
+                edges, ahead, back = sums(word, np.log(p[:, k]))
+                for i, j, rows in edges:
+                    np.add.at(counts[:, k], rows, np.exp(ahead[i] + np.log(p[rows, k]).sum() + back[j] - ahead[-1]))
+        counts += 0.01
+        p = counts / counts.sum(0)
+    share = np.log([sum(k == lang for _, k in learn) / len(learn) for lang in langs])
+    got = {r["doc_id"]: r for r in QUERIES["op7_unigram_language"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs) and max(map(len, pieces.rows)) <= 16
+    for i, text, _ in docs:
+        assert got[i]["held_out"] == held(i)
+        words = plain_words(text)
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        logs = share + [sum(sums(w, np.log(p[:, k]))[1][-1] for w in words) for k in range(len(langs))]
+        best = int(np.argmax(logs))
+        assert got[i]["lang_pred"] == langs[best] and abs(got[i]["score"] - 1 / np.exp(logs - logs[best]).sum()) < 1e-3
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(i, "word", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, P.path("piece_bpe_32k.model"), most_languages=4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(langid.train(docs, P.path("piece_bpe_32k.model"), rounds=1)[0]) == 5 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_quality_held_out(spark, data):
     labels = dict(zip(*pq.read_table(f"{data}/labels.parquet").select(["doc_id", "quality"]).to_pydict().values(), strict=True))
     got = [r for r in QUERIES["op2_quality_discriminant"](spark, data).collect() if r["held_out"] and r["doc_id"] in labels]
