@@ -23,7 +23,7 @@ def op5_anchored_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"), min_bytes=0)
-    return warc.read_index(spark, archive)
+    return warc.read_pages(warc.read_records(spark, archive))
 
 
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import Scratch, fresh_path, written
+from pagelore.llm.common import Scratch, delete_at_end, fresh_path, written
 
 #: Digits of base 32 as Java and Spark write them, and as RFC 4648 does.
 DIGITS = "0123456789abcdefghijklmnopqrstuv"
@@ -95,22 +95,20 @@ def write_archive(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01-
     """Write one record a page; each different payload is stored once. Returns where the archive lies.
 
     The headers table has header (exact bytes) and sha256, and nothing else: all that is read back comes
-    from the header bytes. The payload store is filled from the pages themselves, of which those that are
-    the first of their digest are kept, by a semi join on digest and id together: no key is hot.
+    from the header bytes. Payloads are made one a digest in each task before they are shuffled, so a payload
+    that a third of the pages share moves once a task.
     """
     spark = pages.sparkSession
     root = path or fresh_path(spark, "warc")
     out = Archive(f"{root}/headers", f"{root}/payloads")
+    if path is None:
+        delete_at_end(spark, root)
     with Scratch(spark) as scratch:
         records = describe(pages, min_bytes=min_bytes, scratch=scratch)
         records.select(F.encode(header_text(date), "UTF-8").alias("header"), "sha256").write.parquet(out.headers)
-    held = parsed_headers(spark, out).where(F.col("record_type") == "response").groupBy("sha256").agg(F.min("page_id").alias("page_id"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    kept = rows.join(held, (rows["sha256"] == held["sha256"]) & rows["page_id"].eqNullSafe(held["page_id"]), "left_semi").select("sha256", "payload")
-    if pages.groupBy("page_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["sha256"])  # repeated rows of one page id would store one payload twice
-    kept.write.parquet(out.payloads)
+    store = pages.select(payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256)).groupBy("sha256").agg(F.first("payload").alias("payload"))
+    store.write.parquet(out.payloads)
     return out
 
 
@@ -131,18 +129,17 @@ def parsed_headers(spark: SparkSession, archive: Archive) -> DataFrame:
 
 
 def verified_payloads(spark: SparkSession, archive: Archive) -> DataFrame:
-    """sha256, payload, payload_bytes, sha1 of the stored bytes; bytes that don't give their own key raise an error."""
+    """sha256, payload of the store; bytes that don't give their own key raise an error."""
     stored = spark.read.schema("sha256 string, payload binary").parquet(archive.payloads)
-    return stored.select(
-        F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("payload fails its digest: "), F.col("sha256")))).alias("sha256"),
-        "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_of_hex(F.sha1("payload")).alias("sha1"),
-    )
+    wrong = F.raise_error(F.concat(F.lit("payload fails its digest: "), F.col("sha256")))
+    return stored.select(F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(wrong).alias("sha256"), "payload")
 
 
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """The records with their payloads, and `record`: the original bytes, header + block + two line ends."""
+    """The records with their payloads, and `record`: the original bytes, header + block + two line ends.
+
+    Both sides of the join are shuffled by digest, where a hot digest's headers can be split; each meets one stored payload.
+    """
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return (
         parsed_headers(spark, archive)
@@ -151,16 +148,18 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     )
 
 
-def read_index(spark: SparkSession, archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, from the headers and the verified store.
+def read_pages(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, from rebuilt records.
 
-    The bytes of the store are read and verified once each; the joins carry lengths and digests only.
+    A response's payload is cut out of the record's own bytes, behind the empty line, as long as its header says; a
+    revisit's is that of the record it refers to. A record that disagrees with its own header raises an error.
     """
-    seen = verified_payloads(spark, archive).select("sha256", "payload_bytes", "sha1")
-    agree = (F.col("sha1") == F.col("payload_digest")) & ((F.col("record_type") == "revisit") | (F.col("content_length") == F.col("payload_bytes")))
-    return (
-        parsed_headers(spark, archive)
-        .drop("header")
-        .join(seen, "sha256")
-        .select("page_id", "payload_bytes", F.when(agree, F.col("sha1")).otherwise(F.raise_error(F.lit("a header disagrees with its payload"))).alias("payload_digest"), "record_type", "refers_to")
-    )
+    revisit = F.col("record_type") == "revisit"
+    behind = F.octet_length("header")
+    own = F.substring(F.col("record"), behind + 1, F.col("content_length").cast("int"))
+    payload = F.when(revisit, F.col("payload")).otherwise(own)
+    ends = F.substring(F.col("record"), (behind + F.col("content_length") + 1).cast("int"), F.lit(1 << 30)) == F.encode(F.lit(CRLF + CRLF), "UTF-8")
+    seen = records.select("page_id", payload.alias("payload"), ends.alias("ends"), "payload_digest", "record_type", "refers_to")
+    digest = base32_of_hex(F.sha1("payload"))
+    agreed = F.when(F.col("ends") & (digest == F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record disagrees with its header")))
+    return seen.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), agreed.alias("payload_digest"), "record_type", "refers_to")

@@ -177,17 +177,32 @@ def test_warc_edges(spark):
     rows = [(3, "http://a/\r\nx", "same"), (1, None, "same"), (1, None, "same"), (2, "u", None), (4, "u", ""), (None, "n", "same"), (5, "v", "é" * 100_000)]
     pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, sha256 int")
     archive = warc.write_archive(pages)
-    got = sorted(((r["page_id"] or -1), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_index(spark, archive).collect())
+    got = sorted(((r["page_id"] or -1), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_pages(warc.read_records(spark, archive)).collect())
     assert got == [(-1, "response", None, 4), (1, "response", None, 4), (1, "response", None, 4), (2, "response", None, 0), (3, "revisit", 1, 4), (4, "revisit", 2, 0), (5, "response", None, 200_000)]
     stored = [r["payload"] for r in warc.verified_payloads(spark, archive).collect()]
     assert len(stored) == len({bytes(p) for p in stored}) == 3
     records = {(r["page_id"] or -1): bytes(r["record"]) for r in warc.read_records(spark, archive).collect()}
     assert records[5].endswith(("\r\n\r\n" + "é" * 100_000 + "\r\n\r\n").encode()) and b"WARC-Refers-To: <urn:page:1>" in records[3] and records[3].endswith(b"\r\n\r\n\r\n\r\n")
-    assert warc.read_index(spark, warc.write_archive(pages.limit(0))).count() == 0
+    assert warc.read_pages(warc.read_records(spark, warc.write_archive(pages.limit(0)))).count() == 0
     few = warc.describe(pages, min_bytes=1).where("page_id in (2, 4)")
     assert {r["record_type"] for r in few.collect()} == {"response"}
 
 
+def test_spoiled_archives_are_noticed(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "one"), (3, "u", "three")], "page_id long, url string, html string")
+    good = warc.write_archive(pages, path=str(tmp_path / "good"))
+    stored = spark.read.parquet(good.payloads)
+    for name, payload in (("payloads", F.when(F.col("payload") == F.lit(b"one"), F.lit(b"two")).otherwise(F.col("payload"))), ("headers", None)):
+        bad = warc.Archive(good.headers, str(tmp_path / "bad")) if payload is not None else warc.Archive(str(tmp_path / "other"), good.payloads)
+        if payload is not None:
+            stored.withColumn("payload", payload).write.parquet(bad.payloads)
+        else:
+            text = F.replace(F.decode("header", "UTF-8"), F.lit("Content-Length: 5"), F.lit("Content-Length: 4"))
+            spark.read.parquet(good.headers).withColumn("header", F.encode(text, "UTF-8")).write.parquet(bad.headers)
+        with pytest.raises(Exception, match="digest|disagrees"):
+            warc.read_pages(warc.read_records(spark, bad)).collect()
+
+
 def test_one_of_each_decides_by_row(spark):
     one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
     texts = [(1, one), (5, one), (5, two), (5, two), (7, three), (7, four), (7, four + " end"), (9, four), (None, one)]
