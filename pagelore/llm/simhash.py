@@ -34,8 +34,10 @@ from pagelore.llm.common import Scratch, held, tune, written
 from pagelore.llm.components import components
 
 SEED, MIN_HASHES, BAND_WIDTH, BANDS = 42, 256, 3, 16
-#: Shingles in a chunk of a cell whose sets are compared: 8 MB.
-MOST_SHINGLES = 1 << 20
+#: Shingles in a chunk of a cell whose sets are compared: 2 MB.
+MOST_SHINGLES = 1 << 18
+#: Rounds in which a large loose group is compared with one member of it, before what is left is compared among itself.
+PIVOTS = 2
 _RANDOM = np.random.default_rng(20240501)
 _A = _RANDOM.integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, MIN_HASHES, dtype=np.uint64)
@@ -291,8 +293,11 @@ def links_in(cells: DataFrame, radius: int, agree: float | None = None) -> DataF
     return gathered.mapInArrow(run, "a long, b long")
 
 
-def link_sets(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, least node of its group) in one cell: sets whose common part is `similarity` or more of both together."""
+def link_sets(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least node of its group) in one cell: sets whose common part is `similarity` or more of both together.
+
+    Nodes that have one `group` are known to be linked already; what is said again then is only how such groups join.
+    """
     order = np.argsort(node, kind="stable")
     node, side, sets = node[order], side[order], [sets[i] for i in order]
     size = np.array([len(x) for x in sets], np.int64)
@@ -300,6 +305,12 @@ def link_sets(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], simila
     ends = np.cumsum(size)
     seen = np.zeros(len(flat) + 1, bool)
     label = np.arange(len(node))
+    if group is not None:
+        _, same = np.unique(group[order], return_inverse=True)
+        heads = np.full(len(node), len(node))
+        np.minimum.at(heads, same, label)
+        label = heads[same]
+    before = label.copy()
     mixed = side.any()
     for q in np.flatnonzero(side == 1) if mixed else range(len(node)):
         others = np.flatnonzero(side == 0) if mixed else np.arange(q + 1, len(node))
@@ -318,26 +329,80 @@ def link_sets(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], simila
                 good = part[(both == 0) | (common / np.maximum(both, 1) >= similarity)]
                 join_labels(label, np.full(len(good), q), good)
         seen[own] = False
-    moved = label != np.arange(len(node))
+    moved = (label != before) & (before == np.arange(len(node)))
     return node[moved], node[label[moved]]
 
 
 def set_links(cells: DataFrame, similarity: float) -> DataFrame:
     """a, b: as links_in, of cells with the sets of shingles."""
     tune(cells.sparkSession)
-    fields = ["node", "side", "shingles"]
+    fields = ["node", "side", "shingles", *["group"] * ("group" in cells.columns)]
     gathered = cells.groupBy("cell").agg(F.collect_list(F.struct(*fields)).alias("rows")).select(*[F.col(f"rows.{c}").alias(c) for c in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, side, sets in zip(*[batch.column(c) for c in fields], strict=True):
+            for node, side, sets, *group in zip(*[batch.column(c) for c in fields], strict=True):
                 sets = [np.frombuffer(x, "<u8") for x in sets.values.to_pylist()]
-                a, b = link_sets(node.values.to_numpy(), side.values.to_numpy(), sets, similarity)
+                a, b = link_sets(node.values.to_numpy(), side.values.to_numpy(), sets, similarity, *[g.values.to_numpy() for g in group])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return gathered.mapInArrow(run, "a long, b long")
 
 
+def verified_links(loose: DataFrame, sets: DataFrame, similarity: float, most: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between sets similar by `similarity` or more, enough of them to join all that are linked in a loose group.
+
+    loose: key, node, least, size; sets: of, shingles. A group of one chunk is one cell. A large one is first compared with one
+    member, that with the least id: most of a group of copies is settled by that, each set moving once. Twice so; then
+    what is left over is compared among itself and with the largest part that is settled. Only pairs
+    that are known to be linked through others are never compared.
+    """
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("size") / MOST_SHINGLES)).cast("int")
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = lambda kind, i, j, side, group: [F.struct("key", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j")).alias("cell"), side.cast("int").alias("side"), "node", F.col(group).alias("group")]
+    zero, one = F.lit(0), F.lit(1)
+
+    def links(cells: DataFrame, what: str) -> DataFrame:
+        return scratch.written(set_links(cells.join(sets, cells["node"] == sets["of"]).drop("of"), similarity), what)
+
+    def keyed(rows: DataFrame, by: DataFrame) -> DataFrame:
+        """Both by key; by has one row a key, and has been written, so that the join may split a hot key."""
+        return rows.join(by.withColumnRenamed("key", "its key"), rows["key"] == F.col("its key")).drop("its key")
+
+    rows = keyed(loose, scratch.written(loose.groupBy("key").agg(parts.alias("chunks")), "loose-sizes"))
+    found = links(rows.where("chunks = 1").select(*cell("whole", zero, zero, zero, "node")), "set-links")
+    left = scratch.written(rows.where("chunks > 1"), "large-groups")
+    if not left.limit(1).count():
+        return found
+    settled = left.limit(0).withColumn("group", F.col("node"))
+    for _ in range(PIVOTS):
+        pivots = scratch.written(left.groupBy("key").agg(F.min(F.struct("least", "node"))["node"].alias("pivot")), "pivots")
+        now = keyed(left, pivots)
+        members = now.where("node <> pivot").select(*cell("pivot", zero, chunk("chunks"), zero, "node"))
+        asking = now.where("node = pivot").withColumn("each", every("chunks")).select(*cell("pivot", zero, F.col("each"), one, "node"))
+        star = links(members.unionByName(asking), "pivot-links")
+        found = found.unionByName(star)
+        done = star.select(F.col("a").alias("done")).union(star.select("b")).union(pivots.select("pivot")).distinct()
+        done = scratch.written(done, "settled")
+        settled = settled.unionByName(now.join(done, now["node"] == done["done"], "left_semi").withColumnRenamed("pivot", "group"))
+        left = scratch.written(left.join(done, left["node"] == done["done"], "left_anti"), "left-over")
+        if not left.limit(1).count():
+            break
+    known = scratch.written(settled.unionByName(left.withColumn("group", F.col("node"))).drop("chunks"), "known-groups")
+    main = known.groupBy("key", "group").agg(F.sum("size").alias("size")).groupBy("key").agg(F.max(F.struct("size", "group"))["group"].alias("main"))
+    known = keyed(known, scratch.written(main, "main-groups"))
+    rest = known.where("group <> main")
+    counts = scratch.written(rest.groupBy("key").agg(parts.alias("rests")), "rests")
+    mains = scratch.written(known.where("group = main").groupBy("key").agg(parts.alias("mains")), "mains")
+    rest = keyed(keyed(rest, counts), mains).withColumn("own", chunk("rests"))
+    body = keyed(keyed(known.where("group = main"), counts), mains).withColumn("own", chunk("mains"))
+    among = rest.withColumn("each", every("rests")).select(*cell("among", F.least("own", "each"), F.greatest("own", "each"), F.when(F.col("own") > F.col("each"), 1).otherwise(0), "group"))
+    asks = rest.withColumn("each", every("mains")).select(*cell("main", F.col("own"), F.col("each"), one, "group"))
+    asked = body.withColumn("each", every("rests")).select(*cell("main", F.col("each"), F.col("own"), zero, "group"))
+    return found.unionByName(links(among.unionByName(asks).unionByName(asked), "rest-links"))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, most: int = 1024) -> DataFrame:
     """doc_id, fp, component_id: fingerprints that differ in `radius` bits or fewer link; a component has its least id."""
     with Scratch(docs.sparkSession) as scratch:
@@ -374,9 +439,8 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
         wanted = loose.select(F.col("least").alias("wanted")).distinct()
         held_by = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
         sets = shingle_sets(held_by, words=words).groupBy("key").agg(F.first("shingles").alias("shingles"))
-        cells = cells_of(loose.select("key", "node", "size"), most, scratch)
-        cells = cells.join(sets.withColumnRenamed("key", "of"), cells["node"] == F.col("of")).drop("of")
-        found = scratch.written(set_links(cells, similarity), "set-links")
+        sets = scratch.written(sets.withColumnRenamed("key", "of"), "shingle-sets")
+        found = verified_links(loose, sets, similarity, most, scratch)
         return grouped(slim, nodes.select("node", "least"), found, scratch)
 
 

@@ -440,6 +440,41 @@ def test_sets_in_chunks_link_as_by_brute_force(spark):
         assert [group.get(i, i) for i in range(80)] == label.tolist() and 2 < len(set(label.tolist())) < 79
 
 
+def test_large_loose_groups_link_as_by_brute_force(spark, monkeypatch):
+    """Groups of many chunks: all near one member, near several, chained, and with strays."""
+    rng = random.Random(21)
+    rows, sets = [], {}
+    for key, centres in enumerate((1, 2, 4, 12)):
+        bases = [[rng.getrandbits(63) for _ in range(40)]]
+        for _ in range(centres - 1):  # a chain: each next to the one before
+            bases.append(bases[-1][rng.randint(3, 9) :] + [rng.getrandbits(63) for _ in range(rng.randint(3, 9))])
+        for _ in range(70):
+            own = set(rng.choice(bases))
+            for _ in range(rng.randint(0, 3)):
+                own.discard(rng.choice(sorted(own)))
+                own.add(rng.getrandbits(63))
+            node = rng.getrandbits(62)
+            sets[node] = (key, own)
+            rows.append((key, node, len(rows), len(own)))
+    loose = spark.createDataFrame(rows, "key long, node long, least long, size long")
+    shingles = spark.createDataFrame([(n, np.array(sorted(x), "<u8").tobytes()) for n, (_, x) in sets.items()], "of long, shingles binary")
+    nodes = sorted(sets)
+    label = np.arange(len(nodes))
+    for i, a in enumerate(nodes):
+        for j in range(i):
+            (ka, x), (kb, y) = sets[a], sets[nodes[j]]
+            if ka == kb and len(x & y) / len(x | y) >= 0.8:
+                simhash.join_labels(label, np.array([i]), np.array([j]))
+    want = {n: nodes[label[i]] for i, n in enumerate(nodes)}
+    assert 4 < len(set(want.values())) < len(nodes)
+    for most, shingles_most in ((1000, 1 << 18), (9, 1 << 18), (1000, 600)):
+        monkeypatch.setattr(simhash, "MOST_SHINGLES", shingles_most)
+        with Scratch(spark) as scratch:
+            found = simhash.components(simhash.verified_links(loose, shingles, 0.8, most, scratch), scratch)
+            group = {r["node"]: r["component"] for r in found.collect()}
+        assert {n: group.get(n, n) for n in nodes} == want
+
+
 def test_repeated_lines_do_not_hide_near_copies(spark):
     rng = random.Random(13)
     texts = []
