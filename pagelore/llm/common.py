@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from pagelore.session import ship
 
 #: Rows and bytes of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 256
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -50,11 +53,21 @@ _HELD: dict = {}
 def held(key: tuple, make: Callable):
     """What a worker process keeps between tasks: one thing at a time, so that one operator's tables are gone when another's come."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Memory that is free within this process goes back to the machine, which the executor's own heap shares with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries than GNU's have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder the cluster shares; a folder of our own only where none is set and the master is local."""
     sc: SparkContext = spark.sparkContext

@@ -35,7 +35,7 @@ UND = "und"
 #: Words longer than this are summed one by one, in logarithms, and not kept: the same sums by another road.
 LONG = 64
 #: Bytes of the table of words that a worker keeps (there are two generations), words in it, languages at most.
-TABLE_BYTES, TABLE_WORDS, MOST_LANGUAGES = 64 << 20, 250_000, 256
+TABLE_BYTES, TABLE_WORDS, MOST_LANGUAGES = 64 << 20, 125_000, 256
 
 
 def words_of(text: str) -> list[str]:
@@ -241,7 +241,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior of each whole text. Words are looked up some at a time, however long a text is."""
         logs, found = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
-        some, group, waiting = min(self.most, 200_000), [], 0
+        some, group, waiting = min(self.most, 100_000), [], 0
         for k, text in enumerate(texts):
             words = words_of(text or "")
             found[k] = bool(words and self.langs)
