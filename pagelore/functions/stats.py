@@ -82,3 +82,26 @@ def shares(df: DataFrame, parts: tuple[str, ...]) -> DataFrame:
 def mean_ledger(df: DataFrame, parts: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
     """The mean of each part; 0 for no page."""
     return df.groupBy(*(by or [])).agg(*[F.coalesce(F.avg(F.coalesce(F.col(p), F.lit(0.0))), F.lit(0.0)).alias(p) for p in parts])
+
+
+def ledger_json(df: DataFrame) -> Column:
+    """The ledger of a page (from with_ledger) as JSON: parts, sums, shares and conservation; shares are null for no time."""
+    part = lambda p: F.coalesce(F.col(p).cast("double"), F.lit(0.0))
+    total = part("total")
+    share = lambda v: F.when(total > 0, F.try_divide(v, total))
+    residual, tolerance = F.col("attributed") - total, F.greatest(F.lit(1.6e-5), F.abs(total) * 1e-6)
+    sums = {"attributed_ms": F.col("attributed"), "input_ms": F.col("input"), "inference_ms": F.col("inference"), "rust_ms": F.col("rust")}
+    shares = F.struct(share(F.col("inference")).alias("inference"), share(F.col("rust")).alias("rust"), share(part("formula")).alias("formula"), share(F.greatest(-residual, F.lit(0.0))).alias("unattributed"))
+    kept = F.struct(residual.alias("residual_ms"), tolerance.alias("tolerance_ms"), (F.abs(residual) <= tolerance).alias("conserved"))
+    return F.to_json(F.struct(total.alias("total"), *[part(p).alias(p) for p in PARTS], *[c.alias(n) for n, c in sums.items()], F.when(total > 0, shares).alias("shares"), kept.alias("conservation")))
+
+
+def matches_baselines(rows: DataFrame, baselines: DataFrame, *, by: list[str], position: str, tokens: str) -> DataFrame:
+    """by, matches: is each row of a batch, at its position, the baseline at that position modulo their number? No baseline is no match.
+
+    baselines: at (from 0), tokens; their number is counted once, and rows meet them by an equi-join.
+    """
+    n = baselines.agg(F.count(F.lit(1)).alias("n")).scalar()
+    wanted = baselines.select(F.col("at").cast("long").alias("its at"), F.col(tokens).alias("its tokens"))
+    met = rows.join(wanted, F.when(n > 0, F.pmod(F.col(position), n)) == F.col("its at"), "left")
+    return met.groupBy(*by).agg(F.bool_and(F.coalesce(F.col(tokens) == F.col("its tokens"), F.lit(False))).alias("matches"))

@@ -326,7 +326,7 @@ def query_parameter(url: Column, name: str) -> Column:
 def parse_shard(raw: Column) -> Column:
     """INDEX/COUNT as struct<index,count>; null if it isn't one, or the index is not below the count."""
     index, count = F.try_element_at(F.split(raw, "/"), F.lit(1)).try_cast("int"), F.try_element_at(F.split(raw, "/"), F.lit(2)).try_cast("int")
-    good = F.regexp_like(raw, F.lit(r"^[0-9]+/[0-9]+$")) & (count > 0) & (index < count)
+    good = F.regexp_like(raw, F.lit(r"^[0-9]+/[0-9]+\z")) & (count > 0) & (index < count)
     return F.when(good, F.struct(index.alias("index"), count.alias("count")))
 
 
@@ -337,12 +337,39 @@ def parse_split(raw: Column) -> Column:
 
 def is_model_file_name(name: Column) -> Column:
     """A bare file name: no folder, drive, control character or dot alone."""
-    return F.regexp_like(name, F.lit(r"^(?!\.{1,2}$)[^/\\:\x00-\x1F]+$"))
+    return F.regexp_like(name, F.lit(r"^(?!\.{1,2}\z)[^/\\:\x00-\x1F]+\z"))
 
 
 def is_sha256(value: Column) -> Column:
-    return F.regexp_like(value, F.lit("^[0-9a-fA-F]{64}$"))
+    return F.regexp_like(value, F.lit(r"^[0-9a-fA-F]{64}\z"))
 
 
 def has_chinese(text: Column) -> Column:
     return F.regexp_like(text, F.lit("[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]"))
+
+
+def source_image_name(path: Column) -> Column:
+    """The name beside a report under which a page's image is kept: <stem>-source.<extension>; source and png where the path has none."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    stem = F.coalesce(F.nullif(F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1), F.lit("")), F.nullif(name, F.lit("")), F.lit("source"))
+    kind = F.when(F.regexp_like(name, F.lit(r"(?s)^.+\.[^.]*$")), F.regexp_extract(name, r"\.([^.]*)$", 1)).otherwise("png")
+    return F.concat(stem, F.lit("-source."), kind)
+
+
+def formula_html(latex: Column, truncated: Column, eos_index: Column) -> Column:
+    """A formula as a block of HTML that carries its LaTeX."""
+    flag, end = F.when(truncated, "true").otherwise("false"), F.coalesce(eos_index.cast("string"), F.lit("none"))
+    return F.concat(
+        F.lit('<div class="formula" data-latex="'), escape_attribute(latex), F.lit('" data-truncated="'), flag, F.lit('" data-eos="'), end,
+        F.lit('"><span class="formula-latex">'), escape_html(latex), F.lit("</span></div>"),
+    )
+
+
+def download_refusal(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Why a file may not be fetched from an address: scheme (https alone will do) or host (named, in full); null if it may."""
+    return F.when(~F.coalesce(F.parse_url(url, F.lit("PROTOCOL")) == "https", F.lit(False)), "scheme").when(~F.coalesce(F.parse_url(url, F.lit("HOST")).isin(*hosts), F.lit(False)), "host")
+
+
+def first_change(text: Column, steps: dict[str, Column]) -> Column:
+    """The name of the first step whose result is not the text; null if all leave it as it is."""
+    return F.coalesce(*[F.when(~out.eqNullSafe(text), F.lit(name)) for name, out in steps.items()])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pagelore.functions import text as X
 
 NOTHING = "No text detected."
-PALETTE = ("#e6194b", "#3cb44b", "#4363d8", "#f58231", "#911eb4", "#46f0f0", "#f032e6", "#008080")
+#: Colours of outlines, in turn.
+PALETTE = ("#ff0000", "#00aa00", "#0066ff", "#ff8c00", "#8000ff", "#ff1493", "#00bfbf", "#ffd700")
 
 
 def visual_lines(df: DataFrame, *, page: str, rid: str, text: str) -> DataFrame:
@@ -91,4 +92,5 @@ def html_report(regions: DataFrame, *, page: str, rid: str, title: Column, width
 
 
 def data_url(content: Column, kind: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+    """Bytes as an address of one line, whatever the session says of line breaks in base 64."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(content), "\r\n", ""))

@@ -171,3 +171,50 @@ def check_formula_model(inputs: list[Tensor], outputs: list[Tensor], side: int =
     _require(len(inputs) == len(outputs) == 1, "a formula model has one input and one output")
     inputs[0].check(4, "float32", {2: side, 3: side})
     outputs[0].check(2, "int64")
+
+
+@dataclass(frozen=True)
+class ServiceLimits:
+    """Limits of a service as they are given: megabytes and seconds; as bytes and milliseconds once checked."""
+
+    body_mb: int = 64
+    result_mb: int = 32
+    export_mb: int = 64
+    download_mb: int = 2048
+    queue_text: int = 32
+    queue_formula: int = 8
+    text_in_a_row: int = 4
+    formula_in_a_row: int = 1
+    retained: int = 200
+    retained_mb: int = 512
+    tombstones: int = 1000
+    cases: int = 1000
+    ttl_seconds: int = 3600
+
+    def check(self) -> dict[str, int]:
+        out = {}
+        for name in self.__dataclass_fields__:
+            value = getattr(self, name)
+            _require(isinstance(value, int) and value > 0, f"{name} must be a positive whole number")
+            own, factor = (name[:-3] + "_bytes", 1 << 20) if name.endswith("_mb") else ("ttl_ms", 1000) if name == "ttl_seconds" else (name, 1)
+            _require(value * factor < 1 << 64, f"{name} is too large")
+            out[own] = value * factor
+        return out
+
+
+def request_rules() -> dict:
+    """The rules of a request as conditions that break them, for requests that lie in a table (columns as the fields of Request)."""
+    from pyspark.sql import functions as F
+
+    share = lambda c: ~F.coalesce(F.col(c).between(0, 1) & ~F.isnan(c), F.col(c).isNull())
+    positive = lambda c: ~F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.col(c).isNull())
+    return {
+        "stage": ~(F.col("detection") | F.col("classification") | F.col("recognition")),
+        "words": F.col("words") & ~F.col("recognition"),
+        "formula model": F.col("formulas") & F.col("formula_model").isNull(),
+        "formulas in a region": F.col("formulas") & F.col("roi"),
+        "formulas in tiles": F.col("formulas") & F.col("tile_width").isNotNull(),
+        "tiles": F.col("tile_width").isNotNull() & ~((F.col("tile_width") > 0) & (F.col("tile_height") > 0) & (F.col("tile_overlap") >= 0) & (F.col("tile_overlap") < F.least("tile_width", "tile_height"))),
+        **{c: share(c) for c in ("box_threshold", "text_score")},
+        **{c: positive(c) for c in ("max_side", "scale_hint", "unclip_ratio")},
+    }

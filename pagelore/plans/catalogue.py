@@ -668,3 +668,6 @@ def digest_cause(spark, d):
 def byte_budget(spark, d):
     rows = V.table(spark, d, "events").withColumn("size", F.col("event_id") % 100)
     return J.within_budget(rows, owner="user_id", at=["ts", "event_id"], size="size", total=2000).select("event_id", "used", "accepted")
+
+
+from pagelore.plans import more  # noqa: E402, F401  (it adds its queries to QUERIES and SQL)

@@ -26,16 +26,21 @@ def next_state(state: Column, event: Column) -> Column:
 
 
 def job_states(log: DataFrame, *, job: str, at: list[str], event: str) -> DataFrame:
-    """job, state, steps, rejected: each job's log folded in order, from queued."""
-    events = log.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(*at, event))).alias("es"))
-    zero = F.struct(F.lit("queued").alias("state"), F.lit(0).alias("steps"), F.lit(0).alias("rejected"))
+    """job, state, steps, rejected: each job's log in order, from queued.
 
-    def step(a: Column, e: Column) -> Column:
-        then = next_state(a["state"], e[event])
-        moved = then != a["state"]
-        return F.struct(then.alias("state"), (a["steps"] + moved.cast("int")).alias("steps"), (a["rejected"] + (~moved).cast("int")).alias("rejected"))
-
-    return events.select(job, F.aggregate("es", zero, step).alias("s")).select(job, "s.state", "s.steps", "s.rejected")
+    No state is entered twice, so a job leaves a state by the first event after its entry that the state allows. Each step is
+    a partial aggregate over the log: nobody's events are gathered.
+    """
+    rows = log.select(F.col(job).alias("job"), F.struct(*at).alias("at"), F.col(event).alias("event"))
+    moves = lambda state: F.coalesce(*[F.when((F.col("event") == name) & state.isin(*allowed), target) for name, (allowed, target) in TRANSITIONS.items()])
+    first = moves(F.lit("queued"))
+    one = rows.groupBy("job").agg(F.min(F.when(first.isNotNull(), F.struct("at", first.alias("state")))).alias("one"), F.count(F.lit(1)).alias("n"))
+    later = rows.join(one.select("job", "one.at", "one.state").withColumnsRenamed({"job": "its job", "at": "since"}), F.col("job") == F.col("its job")).where(F.col("at") > F.col("since"))
+    second = moves(F.col("state"))
+    two = later.where(second.isNotNull()).groupBy("job").agg(F.min(F.struct("at", second.alias("state"))).alias("two"))
+    out = one.join(two, "job", "left")
+    steps = (F.col("one").isNotNull().cast("int") + F.col("two").isNotNull().cast("int")).cast("int")
+    return out.select(F.col("job").alias(job), F.coalesce("two.state", "one.state", F.lit("queued")).alias("state"), steps.alias("steps"), (F.col("n") - steps).cast("int").alias("rejected"))
 
 
 def elapsed(finished: Column, started: Column, queued: Column, now: Column) -> Column:
@@ -82,24 +87,98 @@ def replay(arrivals: DataFrame, *, owner: str, at: list[str], job: str, kind: st
     """owner, job, served: the order in which one scheduler serves a backlog of two queues.
 
     Text first up to its quota, then formula; a queue that is empty yields; both counts begin anew only when both quotas are
-    met. In a backlog the nth job of a queue is the nth taken from it, so a fold need only count.
+    met. So rounds are alike until a queue is empty, and a job's place is its number in its queue and what the other
+    queue has been given before its round.
     """
     line = Window.partitionBy(owner, kind).orderBy(*at)
-    rows = arrivals.withColumn("nth", F.row_number().over(line))
-    sizes = rows.groupBy(owner).agg(F.count_if(F.col(kind) == "text").alias("nt"), F.count_if(F.col(kind) == "formula").alias("nf"))
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("t", "f", "st", "sf")], F.array().cast("array<struct<kind:string,nth:int>>").alias("out"))
-
-    def step(a: Column, _: Column) -> Column:
-        has_t, has_f = a["t"] < F.col("nt"), a["f"] < F.col("nf")
-        text = has_t & (~has_f | (a["st"] < text_quota))
-        t, f = text.cast("int"), (~text).cast("int")
-        st, sf = a["st"] + t, a["sf"] + f
-        again = (st >= text_quota) & (sf >= formula_quota)
-        one = F.struct(F.when(text, "text").otherwise("formula").alias("kind"), F.when(text, a["t"] + 1).otherwise(a["f"] + 1).alias("nth"))
-        return F.struct((a["t"] + t).alias("t"), (a["f"] + f).alias("f"), F.when(again, 0).otherwise(st).alias("st"), F.when(again, 0).otherwise(sf).alias("sf"), F.concat(a["out"], F.array(one)).alias("out"))
-
-    served = sizes.select(owner, F.posexplode(F.aggregate(F.sequence(F.lit(1), (F.col("nt") + F.col("nf")).cast("int")), zero, step, lambda a: a["out"])).alias("served", "s"))
-    return served.select(owner, "served", F.col("s.kind").alias(kind), F.col("s.nth").alias("nth")).join(rows.select(owner, kind, "nth", job), [owner, kind, "nth"]).select(owner, job, "served")
+    rows = arrivals.select(owner, job, kind, (F.row_number().over(line) - 1).alias("nth"))
+    text = F.col(kind) == "text"
+    sizes = arrivals.groupBy(owner).agg(F.count_if(text).alias("texts"), F.count_if(F.col(kind) == "formula").alias("formulas"))
+    before_text = F.least("formulas", F.floor(F.col("nth") / text_quota) * formula_quota)
+    before_formula = F.least("texts", (F.floor(F.col("nth") / formula_quota) + 1) * text_quota)
+    out = rows.join(sizes, owner)
+    return out.select(owner, job, (F.col("nth") + F.when(text, before_text).otherwise(before_formula)).cast("int").alias("served"))
+
+
+def queue_replay(log: DataFrame, *, owner: str, at: list[str], text_quota: int, formula_quota: int, capacity: int) -> DataFrame:
+    """owner, at, outcome: a log of enqueue, take and remove (op, kind, id), interleaved, as one scheduler answers it.
+
+    enqueue says the place in line or busy, take the id or nothing, remove whether the id waited. Arrivals don't begin the
+    counts anew. A scheduler answers one call after the other, so an owner's log is walked in order; what is held is
+    the two queues, which `capacity` bounds.
+    """
+    shape = ", ".join([log.select(owner, *at).schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", "), "outcome string"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines: dict[str, dict[str, None]] = {"text": {}, "formula": {}}
+        served, said = {"text": 0, "formula": 0}, []
+        pdf = pdf.sort_values(at)
+        for op, kind, one in zip(pdf["op"], pdf["kind"], pdf["id"].astype(str), strict=True):
+            if op == "enqueue":
+                if len(lines[kind]) >= capacity:
+                    said.append("busy")
+                else:
+                    lines[kind][one] = None
+                    said.append(str(len(lines[kind]) - 1))
+            elif op == "remove":
+                said.append("removed" if one in lines[kind] else "absent")
+                lines[kind].pop(one, None)
+            else:
+                now = "text" if lines["text"] and (not lines["formula"] or served["text"] < text_quota) else "formula"
+                if not lines[now]:
+                    said.append("nothing")
+                    continue
+                first = next(iter(lines[now]))
+                del lines[now][first]
+                said.append(first)
+                served[now] += 1
+                if served["text"] >= text_quota and served["formula"] >= formula_quota:
+                    served = {"text": 0, "formula": 0}
+        return pdf[[owner, *at]].assign(outcome=said)
+
+    return log.select(owner, *at, "op", "kind", "id").groupBy(owner).applyInPandas(walk, shape)
+
+
+def insert_jobs(arrivals: DataFrame, *, owner: str, at: list[str], job: str, size: str) -> DataFrame:
+    """arrivals with accepted (an id that is held already is refused), seq (from 0, of those accepted) and retained (their bytes so far)."""
+    line = Window.partitionBy(owner).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    again = F.row_number().over(Window.partitionBy(owner, job).orderBy(*at)) > 1
+    rows = arrivals.withColumn("accepted", ~again)
+    counted = F.sum(F.col("accepted").cast("long")).over(line)
+    return rows.withColumns({"seq": F.when(F.col("accepted"), counted - 1), "retained": F.sum(F.when(F.col("accepted"), F.col(size)).otherwise(0)).over(line)})
+
+
+def look_up_jobs(asked: DataFrame, live: DataFrame, evicted: DataFrame, *, job: str) -> DataFrame:
+    """asked with found: live, evicted or not_found."""
+    known = live.select(F.col(job), F.lit(1).alias("rank")).unionByName(evicted.select(F.col(job), F.lit(2).alias("rank"))).groupBy(job).agg(F.min("rank").alias("rank"))
+    return asked.join(known, job, "left").withColumn("found", F.when(F.col("rank") == 1, "live").when(F.col("rank") == 2, "evicted").otherwise("not_found")).drop("rank")
+
+
+def remove_queued(queue: DataFrame, cancelled: DataFrame, *, by: list[str], at: list[str], job: str) -> DataFrame:
+    """What is left of queues once the cancelled (by, job) are taken out, with the new places in line."""
+    left = queue.join(cancelled.select(*by, job).distinct(), [*by, job], "left_anti")
+    return left.withColumn("position", (F.row_number().over(Window.partitionBy(*by).orderBy(*at)) - 1).cast("int"))
+
+
+def retain_only(results: DataFrame, live: DataFrame, *, owner: str, job: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """(the results of live jobs, and by owner how many went and what is left of the bytes)."""
+    ids = live.select(owner, job).distinct().withColumn("is live", F.lit(True))
+    marked = results.join(ids, [owner, job], "left").withColumn("is live", F.coalesce("is live", F.lit(False)))
+    summary = marked.groupBy(owner).agg(F.count_if(~F.col("is live")).alias("removed"), F.coalesce(F.sum(F.when(F.col("is live"), F.col(size))), F.lit(0)).alias("bytes"))
+    return marked.where("`is live`").drop("is live"), summary
+
+
+#: Which states an engine may enter another from.
+ENGINE = {
+    "loading": ("blocked", "ready", "failed"), "ready": ("loading", "rebuilding"), "failed": ("loading", "rebuilding"),
+    "blocked": ("blocked",), "rebuilding": ("ready",),
+}
+
+
+def engine_step(state: Column, target: Column) -> Column:
+    """struct<legal,allowed>: may an engine in `state` enter `target`, and from which states may it be entered?"""
+    allowed = F.try_element_at(F.create_map(*[x for k, v in ENGINE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), target)
+    return F.struct(F.coalesce(F.array_contains(allowed, state), F.lit(False)).alias("legal"), F.array_join(allowed, ", ").alias("allowed"))
 
 
 def wait_bound(capacity: Column, other_quota: int) -> Column:
