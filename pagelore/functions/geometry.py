@@ -276,3 +276,37 @@ def homography_of(src: list, dst: list) -> list:
         return [*np.linalg.solve(np.array(rows, float), np.array(right, float)).tolist(), 1.0]
     except np.linalg.LinAlgError:
         return [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
+
+
+def words_to_page_of(line: list, words: list, vertical: bool) -> list:
+    """Quads of words in the crop of a line, on the page: what makes the line's quad upright is undone.
+
+    A vertical line was read turned by a quarter, so its words are turned back first.
+    """
+    import numpy as np
+
+    left, top = min(x for x, _ in line), min(y for _, y in line)
+    own = [(x - left, y - top) for x, y in line]
+    wide, high = math.dist(own[0], own[1]), math.dist(own[0], own[3])
+    to_crop = np.array(homography_of(own, [(0, 0), (wide, 0), (wide, high), (0, high)])).reshape(3, 3)
+    back = np.linalg.inv(to_crop) if abs(np.linalg.det(to_crop)) > 1e-12 else np.eye(3)
+    out = []
+    for word in words:
+        points = []
+        for x, y in word:
+            if vertical:
+                x, y = wide - y, x
+            u, v, w = back @ (x, y, 1.0)
+            points.append((float(u / w if w else u) + left, float(v / w if w else v) + top))
+        points.sort(key=lambda p: (p[1], p[0]))
+        upper, lower = sorted(points[:2]), sorted(points[2:])
+        out.append([*upper, *lower[::-1]])
+    return out
+
+
+@F.udf(T.ArrayType(_quad_type), useArrow=True)
+def words_to_page(line, words, vertical):
+    if line is None or words is None:
+        return None
+    pairs = lambda q: [(p["x"], p["y"]) for p in q]
+    return [[{"x": x, "y": y} for x, y in quad] for quad in words_to_page_of(pairs(line), [pairs(w) for w in words], bool(vertical))]

@@ -89,6 +89,15 @@ def resize_linear(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
+def reduce_box(image: np.ndarray, step_x: int, step_y: int) -> np.ndarray:
+    """Means of boxes of step_x by step_y pixels, cut at the edges, in whole numbers: a multiplier of 24 bits stands for the division."""
+    rows, cols = np.arange(0, image.shape[0], step_y), np.arange(0, image.shape[1], step_x)
+    sums = np.add.reduceat(np.add.reduceat(image.astype(np.int64), rows, axis=0), cols, axis=1)
+    area = np.minimum(step_y, image.shape[0] - rows)[:, None, None] * np.minimum(step_x, image.shape[1] - cols)[None, :, None]
+    factor = (np.float32(1 << 32) / (area << 8).astype(np.float32)).astype(np.int64)
+    return (((sums + area // 2) * factor) >> 24).astype(np.uint8)
+
+
 def size_within(width: int, height: int, least: int, most: int) -> tuple[int, int]:
     """Sides in bounds, as multiples of 32 with halves to even."""
     scale = 1.0
@@ -163,6 +172,20 @@ def masked_mean(values: np.ndarray, mask: np.ndarray) -> float:
     return float(values[mask > 0].mean(dtype=np.float64)) if (mask > 0).any() else 0.0
 
 
+def contour_score(values: np.ndarray, contour: list[tuple[float, float]]) -> float:
+    """Mean of a map inside a contour; 0 for fewer than three points or none inside."""
+    return masked_mean(values, polygon_mask(contour, values.shape[1], values.shape[0])) if len(contour) > 2 else 0.0
+
+
+def whitened(image: np.ndarray, polygons: list[list[tuple[float, float]]]) -> np.ndarray:
+    """The image with polygons painted white; corners go to the nearest pixel, halves away from zero, and no further than the image."""
+    out = image.copy()
+    near = lambda v, most: min(max(float(np.copysign(np.floor(abs(v) + 0.5), v)), 0.0), float(most))
+    for points in polygons:
+        out[polygon_mask([(near(x, image.shape[1]), near(y, image.shape[0])) for x, y in points], image.shape[1], image.shape[0]) > 0] = 255
+    return out
+
+
 def polygon_mask(points: list[tuple[float, float]], width: int, height: int) -> np.ndarray:
     """Pixels inside or on a polygon of truncated corners, row by row."""
     pts = [(int(x), int(y)) for x, y in points]
@@ -277,8 +300,46 @@ def thumbnail(image: np.ndarray, width: int, height: int, kind: str = "cubic") -
     return resample(image, max(1, round(w * scale)), max(1, round(h * scale)), kind)
 
 
-def perspective_crop(image: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
-    """What a quad holds, upright: linear between pixels, edges repeated; turned by a quarter if it is half again as high as wide."""
+def cubic_weights(parts: int = 32, scale: int = 1 << 15, a: float = -0.75) -> np.ndarray:
+    """parts x parts x 4 x 4 weights of bicubic sampling between pixels, as whole numbers that sum to `scale`.
+
+    What rounding leaves over goes to the largest of the four weights next to the place, or is taken from the least of them.
+    """
+    t = np.arange(parts, dtype=np.float32) / np.float32(parts)
+    far = lambda x: ((a * x - 5 * a) * x + 8 * a) * x - 4 * a
+    close = lambda x: ((a + 2) * x - (a + 3)) * x * x + 1
+    line = np.stack([far(t + 1), close(t), close(1 - t)], 1).astype(np.float32)
+    line = np.concatenate([line, 1 - line.sum(1, keepdims=True, dtype=np.float32)], 1)
+    table = np.clip(np.rint(line[:, None, :, None] * line[None, :, None, :] * np.float32(scale)), -(1 << 15), (1 << 15) - 1).astype(np.int64)
+    for own in table.reshape(-1, 4, 4):
+        over = int(own.sum()) - scale
+        if over:
+            inner = own[2:, 2:]
+            at = np.unravel_index((np.argmax if over < 0 else np.argmin)(inner), inner.shape)
+            inner[at] = np.clip(inner[at] - over, -(1 << 15), (1 << 15) - 1)
+    return table
+
+
+def sample_cubic(image: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The image at places (u, v) to a thirty-second of a pixel; edges repeated."""
+    weights = cubic_weights()
+    fx, fy = np.rint(u * 32).astype(np.int64), np.rint(v * 32).astype(np.int64)
+    near = weights[fy & 31, fx & 31]
+    around = np.arange(-1, 3)
+    ys = np.clip((fy >> 5)[..., None] + around, 0, image.shape[0] - 1)
+    xs = np.clip((fx >> 5)[..., None] + around, 0, image.shape[1] - 1)
+    taken = image.astype(np.int64)[ys[..., :, None], xs[..., None, :]]
+    return np.clip((np.einsum("...abc,...ab->...c", taken, near) + (1 << 14)) >> 15, 0, 255).astype(np.uint8)
+
+
+def make_batch(images: list[np.ndarray], max_ratio: float, shape: tuple[int, int, int] = (3, 48, 320)) -> np.ndarray:
+    """Crops as one tensor: images x channels x height x width, each as line_tensor has it; no narrower than the shape says."""
+    ratio = max(max_ratio, shape[2] / shape[1])
+    return np.stack([line_tensor(image, ratio, shape) for image in images]) if images else np.zeros((0, *shape), np.float32)
+
+
+def perspective_crop(image: np.ndarray, quad: list[tuple[float, float]], cubic: bool = False) -> np.ndarray:
+    """What a quad holds, upright: linear or cubic between pixels, edges repeated; turned by a quarter if it is half again as high as wide."""
     from pagelore.functions.geometry import homography_of
 
     (tl, tr, br, bl) = quad
@@ -288,6 +349,9 @@ def perspective_crop(image: np.ndarray, quad: list[tuple[float, float]]) -> np.n
     ys, xs = np.mgrid[0:height, 0:width].astype(float)
     u, v, w = np.einsum("ij,jhw->ihw", m, np.stack([xs, ys, np.ones_like(xs)]))
     u, v = np.clip(u / w, 0, image.shape[1] - 1), np.clip(v / w, 0, image.shape[0] - 1)
+    if cubic:
+        out = sample_cubic(image, u, v)
+        return np.rot90(out) if height / width >= 1.5 else out
     x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
     x1, y1 = np.minimum(x0 + 1, image.shape[1] - 1), np.minimum(y0 + 1, image.shape[0] - 1)
     fx, fy, a = (u - x0)[..., None], (v - y0)[..., None], image.astype(float)

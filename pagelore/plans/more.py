@@ -177,7 +177,7 @@ def text_steps(spark, d):
     return V.table(spark, d, "documents").select("doc_id", digest(X.remove_terminal_codes(t), "plain"), digest(X.uncurl_quotes(t), "quotes"), digest(X.line_breaks(t), "lines"), digest(X.replaced(t, X.LIGATURES), "ligatures"), digest(X.replaced(t, X.c1_pairs()), "c1"))
 
 
-@query(r"SELECT doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS n_left, md5(text || repeat(' ( x', CAST(1 + doc_id % 3 AS INTEGER)) || ' )') AS bare, md5(text || ' \alpha \uparrow \uplus') AS up, md5(text || ' 中文 {x}') AS kept FROM documents")
+@query(r"SELECT doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS n_left, md5(text || repeat(' ( x', CAST(1 + doc_id % 3 AS INTEGER)) || ' )') AS bare, md5(text || ' \alpha \uparrow \uplus') AS up, md5(replace(text, chr(34), '') || ' 中文 {x}') AS kept FROM documents")
 def latex_steps(spark, d):
     n, text = (F.col("doc_id") % 3 + 1).cast("int"), F.col("text")
     pairs = F.concat(text, F.repeat(F.lit(r" \left( x"), n), F.lit(r" \right)"))
@@ -394,3 +394,244 @@ def page_summary(spark, d):
     cases = V.table(spark, d, "conversations").select("role", (c % 7 / 7.0).alias("cer"), (t % 2 == 0).alias("exact"), F.when(c % 3 > 0, c % 3 / 4.0).alias("precision"), (t % 5 / 5.0).alias("recall"), F.lit(None).cast("double").alias("iou"))
     out = E.page_summary(cases, ["role"])
     return out.select("role", *[F.round(n, 9).alias(n) for n in ("mean_cer", "exact_match_rate", "mean_precision", "mean_recall")], "mean_iou")
+
+
+# --- geometry
+
+
+@query(f"WITH {V.REGIONS}, {_PAIRS_IOU} SELECT page, a, b, round(iou + 1e-9, 6) AS iou FROM iou WHERE a < b AND iou > 0.3 AND abs(iou - 0.3) > 1e-6")
+def rotated_iou(spark, d):
+    """Quads turned by the same angle overlap as the upright boxes do."""
+    turned = lambda x, y: G.point(F.col(x) * 0.6 - F.col(y) * 0.8, F.col(x) * 0.8 + F.col(y) * 0.6)
+    quad = F.array(turned("x0", "y0"), turned("x1", "y0"), turned("x1", "y1"), turned("x0", "y1"))
+    rows = V.regions(spark, d).select("page", "rid", quad.alias("q"))
+    pairs = rows.select("page", F.col("rid").alias("a"), F.col("q").alias("qa")).join(rows.select("page", F.col("rid").alias("b"), F.col("q").alias("qb")), "page").where("a < b")
+    out = pairs.select("page", "a", "b", G.quad_iou("qa", "qb").alias("iou")).where((F.col("iou") > 0.3) & (F.abs(F.col("iou") - 0.3) > 1e-6))
+    return out.withColumn("iou", F.round(F.col("iou") + 1e-9, 6))  # clear of halves
+
+
+_POINTS = f"""{V.REGIONS}, pt AS (SELECT DISTINCT page, x, y FROM (SELECT page, x0 AS x, y0 AS y FROM regions UNION ALL SELECT page, x1, y0 FROM regions UNION ALL SELECT page, x1, y1 FROM regions UNION ALL SELECT page, x0, y1 FROM regions)
+), edge AS (SELECT a.page, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM pt a JOIN pt b ON a.page = b.page AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.page = a.page AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+    OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y)) > 0)))
+), hull AS (SELECT page, count(*) AS corners, sum(px * qy - qx * py) / 2 AS area FROM edge GROUP BY page
+), side AS (SELECT page, px, py, qx, qy, sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) AS n FROM edge
+), ext AS (SELECT s.page, px, py, qx, qy, max((p.x * (qx - px) + p.y * (qy - py)) / n) - min((p.x * (qx - px) + p.y * (qy - py)) / n) AS w, max((p.y * (qx - px) - p.x * (qy - py)) / n) - min((p.y * (qx - px) - p.x * (qy - py)) / n) AS h FROM side s JOIN pt p ON p.page = s.page GROUP BY ALL)"""
+
+
+@query(f"WITH {_POINTS}, least_rect AS (SELECT page, min(w * h) AS area FROM ext GROUP BY page) SELECT page, corners, round(hull.area, 6) AS area, round(least_rect.area, 4) AS rect_area, 4 AS rect_corners FROM hull JOIN least_rect USING (page)")
+def hulls(spark, d):
+    quad = F.array(*[G.point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    pages = V.regions(spark, d).groupBy("page").agg(F.flatten(F.collect_list(quad)).alias("ps"))
+    rows = pages.select("page", G.convex_hull("ps").alias("hull"), G.min_area_rect("ps").alias("rect"))
+    return rows.select("page", F.size("hull").cast("long").alias("corners"), F.round(G.polygon_area(F.col("hull")), 6).alias("area"), F.round(G.polygon_area(F.col("rect")), 4).alias("rect_area"), F.size("rect").alias("rect_corners"))
+
+
+@query(f"WITH {V.REGIONS} SELECT page, rid, x0 AS tl_x, y0 AS tl_y, x1 AS br_x, y1 AS br_y, x1 - x0 AS width, round(y0 - 1, 9) AS turned_x, round(5 - x0, 9) AS turned_y, CASE WHEN (x1 - x0) * 3 - (y1 - y0) * 4 > 0 THEN 1 ELSE 0 END AS left_of FROM regions")
+def corner_measures(spark, d):
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    quad = G.order_by_rows(F.array(G.point(x1, y1), G.point(x0, y0), G.point(x1, y0), G.point(x0, y1)))
+    b, turned = G.bounds(quad), G.rotate(G.point(x0, y0), F.lit(np.pi / 2), G.point(2.0, 3.0))
+    side = G.cross(G.point(0.0, 0.0), G.point(x1 - x0, y1 - y0), G.point(4.0, 3.0))
+    return V.regions(spark, d).select("page", "rid", b["x0"].alias("tl_x"), b["y0"].alias("tl_y"), b["x1"].alias("br_x"), b["y1"].alias("br_y"), G.distance(quad[0], quad[1]).alias("width"), F.round(turned["x"], 9).alias("turned_x"), F.round(turned["y"], 9).alias("turned_y"), F.when(side > 0, 1).otherwise(0).alias("left_of"))
+
+
+_PLACED = "x0 * 0.6 - y0 * 0.8 + {u} * 0.6 - {v} * 0.8 AS {n}_x, x0 * 0.8 + y0 * 0.6 + {u} * 0.8 + {v} * 0.6 AS {n}_y"
+
+
+@query(f"WITH {V.REGIONS}, w AS (SELECT page, rid, {_PLACED.format(u='2.0', v='2.0', n='a')}, {_PLACED.format(u='(x1 - x0 - 3.0)', v='4.0', n='b')} FROM regions) SELECT page, rid, round(a_x, 4) + 0.0 AS a_x, round(a_y, 4) + 0.0 AS a_y, round(b_x, 4) + 0.0 AS b_x, round(b_y, 4) + 0.0 AS b_y FROM w")
+def words_on_page(spark, d):
+    """A word's box in the crop of a turned line, and in one that was read upright by a quarter turn, back on the page."""
+    turned = lambda x, y: G.point(F.col(x) * 0.6 - F.col(y) * 0.8, F.col(x) * 0.8 + F.col(y) * 0.6)
+    line = F.array(turned("x0", "y0"), turned("x1", "y0"), turned("x1", "y1"), turned("x0", "y1"))
+    word = G.box_quad(F.lit(2.0), F.lit(1.0), F.lit(4.0), F.lit(2.0))
+    rows = V.regions(spark, d).select("page", "rid", G.words_to_page(line, F.array(word), F.lit(False)).alias("across"), G.words_to_page(line, F.array(G.box_quad(F.lit(2.0), F.lit(1.0), F.lit(4.0), F.lit(3.0))), F.lit(True)).alias("down"))
+    first = {"a": F.col("across")[0][0], "b": F.col("down")[0][0]}
+    return rows.select("page", "rid", *[(F.round(p[k], 4) + 0.0).alias(f"{n}_{k}") for n, p in first.items() for k in ("x", "y")])
+
+
+@query(f"WITH {V.REGIONS} SELECT page, rid, x0 + greatest(coalesce(lag(x1) OVER w, x0) - x0, 0) / 2 AS x0, x1 - greatest(x1 - coalesce(lead(x0) OVER w, x1), 0) / 2 AS x1 FROM regions WINDOW w AS (PARTITION BY page ORDER BY rid)")
+def spread_boxes(spark, d):
+    box = F.struct("x0", "y0", "x1", "y1")
+    pages = V.regions(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("rid"), box.alias("b")))).alias("rs"))
+    out = F.arrays_zip(F.transform("rs", lambda r: r["rid"]).alias("rid"), G.spread_overlaps(F.transform("rs", lambda r: r["b"])).alias("b"))
+    return pages.select("page", F.explode(out).alias("r")).select("page", "r.rid", "r.b.x0", "r.b.x1")
+
+
+# --- frames and words
+
+_KEPT = f"""{V.FRAMES}, fr AS (SELECT line, row_number() OVER (PARTITION BY line ORDER BY ts, event_id) - 1 AS col, token, token <> 0 AND token IS DISTINCT FROM lag(token) OVER (PARTITION BY line ORDER BY ts, event_id) AS k FROM frames
+), ch AS (SELECT line, col, token, ['a', '中', ' ', 'b'][token] AS c, row_number() OVER (PARTITION BY line ORDER BY col) - 1 AS i, col - lag(col) OVER (PARTITION BY line ORDER BY col) AS gap, lag(token) OVER (PARTITION BY line ORDER BY col) AS before FROM fr WHERE k
+), br AS (SELECT *, CASE WHEN i = 0 OR before = 3 OR (before = 2) <> (token = 2) OR gap > 5 THEN 1 ELSE 0 END AS b FROM ch WHERE token <> 3
+), wd AS (SELECT *, sum(b) OVER (PARTITION BY line ORDER BY i) - 1 AS w FROM br)"""
+
+
+def _word_lines(spark, d) -> DataFrame:
+    w = Window.partitionBy("line").orderBy("ts", "event_id")
+    letter = F.element_at(F.array(*map(F.lit, ("a", "中", " ", "b"))), F.greatest("token", F.lit(1)))
+    kept = (F.col("token") != 0) & ~F.col("token").eqNullSafe(F.lag("token").over(w))
+    rows = V.frames(spark, d).select("line", F.row_number().over(w).alias("n"), letter.alias("c"), kept.alias("k"))
+    lines = rows.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("n", "c", "k"))).alias("fs"))
+    text = F.array_join(F.transform(F.filter("fs", lambda x: x["k"]), lambda x: x["c"]), "")
+    return lines.select("line", O.word_islands(text, F.transform("fs", lambda x: x["k"])).alias("words"))
+
+
+@query(f"WITH {_KEPT} SELECT line, CAST(w AS INTEGER) AS nth, string_agg(c, '' ORDER BY i) AS word, CASE WHEN any_value(token) = 2 THEN 'cn' ELSE 'en' END AS kind, CAST(min(col) AS INTEGER) AS first_col, CAST(max(col) AS INTEGER) AS last_col FROM wd GROUP BY line, w")
+def word_islands(spark, d):
+    rows = _word_lines(spark, d).select("line", F.posexplode("words").alias("nth", "w"))
+    return rows.select("line", "nth", "w.word", "w.kind", F.array_min("w.cols").alias("first_col"), F.array_max("w.cols").alias("last_col"))
+
+
+@query(f"WITH {_KEPT}, ws AS (SELECT line, w, count(*) AS n, min(col) AS lo, max(col) AS hi, min(greatest(floor(greatest((col + 0.5) * 5 - 2, 0)), 0)) AS x0, max(floor(least((col + 0.5) * 5 + 2, 90000))) AS x1 FROM wd GROUP BY line, w), m AS (SELECT line, avg((hi - lo) * 5.0 / (n - 1)) FILTER (WHERE n > 1) AS mean, sum(n) AS chars FROM ws GROUP BY line) SELECT line, CAST(w AS INTEGER) AS nth, CAST(x0 + 10 AS DOUBLE) AS x0, CAST(x1 + 10 AS DOUBLE) AS x1, round(coalesce(mean, 90000.0 / chars), 6) AS char_width FROM ws JOIN m USING (line)")
+def word_boxes(spark, d):
+    lines = _word_lines(spark, d).withColumn("cols", F.transform("words", lambda w: w["cols"]))
+    box = F.struct(F.lit(10.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(90010.0).alias("x1"), F.lit(9.0).alias("y1"))
+    n = F.aggregate("cols", F.lit(0), lambda s, c: s + F.size(c))
+    width = G.line_char_width(F.col("cols"), F.lit(5.0), box, n)
+    rows = lines.select("line", F.round(width, 6).alias("char_width"), F.posexplode(G.word_boxes(F.col("cols"), F.lit(4.0), F.lit(5.0), box, F.lit(True))).alias("nth", "b"))
+    return rows.select("line", "nth", "b.x0", "b.x1", "char_width")
+
+
+@query("SELECT event_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best, list_max(v) AS value FROM (SELECT event_id, [event_id * 7 % 10, event_id * 11 % 10, event_id * 13 % 10, event_id * 17 % 10] AS v FROM events)")
+def argmax_frames(spark, d):
+    i = F.col("event_id")
+    values = F.array(i * 7 % 10, i * 11 % 10, i * 13 % 10, i * 17 % 10)
+    return V.table(spark, d, "events").select("event_id", O.argmax(values).alias("best"), F.array_max(values).alias("value"))
+
+
+_PIECES = ("<s>", "<pad>", "</s>", "<unk>", "Ġalpha", "Ġx", "^2", "{", "}", "中")
+_IDS = f"{V.FRAMES}, t AS (SELECT line, list(CAST(CASE WHEN token = 4 AND event_id % 50 > 0 THEN 9 WHEN token = 4 THEN 2 WHEN token = 0 THEN event_id % 2 ELSE token + 3 + event_id % 2 END AS BIGINT) ORDER BY ts, event_id) AS ids FROM frames GROUP BY line)"
+
+
+@query(f"WITH {_IDS}, p AS (SELECT line, CASE WHEN list_position(ids, 2) > 0 THEN ids[: list_position(ids, 2)] ELSE ids END AS ids, list_position(ids, 2) AS e FROM t) SELECT line, trim(replace(array_to_string(list_transform(list_filter(ids, lambda i: i > 3), lambda i: {list(_PIECES)}[i + 1]), ''), 'Ġ', ' ')) AS text, CASE WHEN e > 0 THEN CAST(e - 1 AS INTEGER) END AS eos_index, coalesce(e, 0) = 0 AS truncated FROM p")
+def decode_tokens(spark, d):
+    t, i = F.col("token"), F.col("event_id")
+    ident = F.when((t == 4) & (i % 50 > 0), 9).when(t == 4, 2).when(t == 0, i % 2).otherwise(t + 3 + i % 2).cast("long")
+    lines = V.frames(spark, d).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", ident.alias("id")))).alias("fs"))
+    rows = lines.select("line", F.transform("fs", lambda x: x["id"]).alias("ids"))
+    vocab = F.create_map(*[x for k, piece in enumerate(_PIECES) for x in (F.lit(k).cast("long"), F.lit(piece))])
+    return D.decode_tokens(rows, "ids", vocab).drop("ids")
+
+
+# --- pixels: a small image a part, its pixels by a rule
+
+_PX = "px AS (SELECT p_partkey AS p, y, x, (p_partkey * 31 + y * 17 + x * 7) % 256 AS v FROM part, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(6)) AS x))"
+
+
+def _images(spark, d, channels: int = 1) -> DataFrame:
+    """p, w, h, data: six by four pixels."""
+    at = F.sequence(F.lit(0), F.lit(24 * channels - 1))
+    k = lambda i: F.floor(i / channels)
+    value = lambda i: (F.col("p") * 31 + F.floor(k(i) / 6) * 17 + k(i) % 6 * 7 + i % channels * 41) % 256
+    data = F.unhex(F.array_join(F.transform(at, lambda i: F.lpad(F.hex(value(i).cast("long")), 2, "0")), ""))
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("p")).select("p", F.lit(6).alias("w"), F.lit(4).alias("h"), data.alias("data"))
+
+
+def _pixels(images: DataFrame, channels: int = 1) -> DataFrame:
+    rows = images.select("p", "w", F.col("data"), F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1)).alias("i"))
+    value = F.conv(F.hex(F.substring(F.col("data"), F.col("i") + 1, F.lit(1))), 16, 10).cast("long")
+    k = F.floor(F.col("i") / channels)
+    out = [F.floor(k / F.col("w")).cast("long").alias("y"), (k % F.col("w")).cast("long").alias("x"), value.alias("v")]
+    return rows.select("p", *out) if channels == 1 else rows.select("p", *out, (F.col("i") % channels).cast("long").alias("c"))
+
+
+_TURNS = {1: ("y", "x"), 2: ("y", "5 - x"), 3: ("3 - y", "5 - x"), 4: ("3 - y", "x"), 5: ("x", "y"), 6: ("x", "3 - y"), 7: ("5 - x", "3 - y"), 8: ("5 - x", "y")}
+
+
+@query(f"WITH {_PX} SELECT p, CAST(CASE p % 8 + 1 {' '.join(f'WHEN {k} THEN {y}' for k, (y, _) in _TURNS.items())} END AS BIGINT) AS y, CAST(CASE p % 8 + 1 {' '.join(f'WHEN {k} THEN {x}' for k, (_, x) in _TURNS.items())} END AS BIGINT) AS x, v FROM px")
+def turn_pixels(spark, d):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            turned = [P.oriented(P.pixels_of(b, 6, 4, 6, 1), int(p) % 8 + 1) for p, b in zip(pdf["p"], pdf["data"], strict=True)]
+            yield pdf.assign(data=[np.ascontiguousarray(t).tobytes() for t in turned], w=[t.shape[1] for t in turned], h=[t.shape[0] for t in turned])
+
+    rows = _images(spark, d)
+    return _pixels(rows.mapInPandas(run, rows.schema))
+
+
+@query(f"WITH {_PX} SELECT p, y // 2 AS y, x // 2 AS x, CAST((sum(v) + 2) AS BIGINT) >> 2 AS v FROM px GROUP BY p, y // 2, x // 2")
+def halve_pixels(spark, d):
+    return _pixels(P.map_images(_images(spark, d), lambda image: P.resize_linear(image, 3, 2), channels=1))
+
+
+@query(f"WITH {_PX} SELECT p, y // 3 AS y, x // 4 AS x, ((CAST(sum(v) AS BIGINT) + count(*) // 2) * (16777216 // count(*))) >> 24 AS v FROM px GROUP BY p, y // 3, x // 4")
+def reduce_pixels(spark, d):
+    return _pixels(P.map_images(_images(spark, d), lambda image: P.reduce_box(image, 4, 3), channels=1))
+
+
+@query(f"WITH {_PX} SELECT p, y, x, CASE WHEN greatest(v, coalesce(lag(v) OVER r, 0), coalesce(up, 0), coalesce(lag(up) OVER r, 0)) > 100 THEN 1 ELSE 0 END AS v FROM (SELECT *, lag(v) OVER (PARTITION BY p, x ORDER BY y) AS up FROM px) WINDOW r AS (PARTITION BY p, y ORDER BY x)")
+def dilate_pixels(spark, d):
+    return _pixels(P.map_images(_images(spark, d), lambda image: P.dilate_2x2(P.threshold_mask(image[..., 0], 100))[..., None], channels=1))
+
+
+@query(f"WITH {_PX}, s AS (SELECT unnest(range(8)) AS y), t AS (SELECT unnest(range(8)) AS x) SELECT p_partkey AS p, s.y, t.x, coalesce(v, 0) AS v FROM part, s, t LEFT JOIN px ON px.p = p_partkey AND px.y = s.y - 2 AND px.x = t.x - 1")
+def square_pixels(spark, d):
+    return _pixels(P.map_images(_images(spark, d), lambda image: P.pad_to_square(image, 8), channels=1))
+
+
+_RGBA = "cx AS (SELECT p_partkey AS p, y, x, c, (p_partkey * 31 + y * 17 + x * 7 + c * 41) % 256 AS v FROM part, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(6)) AS x), (SELECT unnest(range(4)) AS c)), ax AS (SELECT p, y, x, v AS a FROM cx WHERE c = 3)"
+
+
+@query(f"WITH {_RGBA} SELECT p, y, x, (v * a + 255 * (255 - a)) // 255 AS v, 2 - c AS c FROM cx JOIN ax USING (p, y, x) WHERE c < 3")
+def blend_pixels(spark, d):
+    return _pixels(P.map_images(_images(spark, d, 4), lambda image: P.swap_channels(P.flatten_alpha(image, 255)), channels=4), 3)
+
+
+@query(f"WITH {_RGBA}, l AS (SELECT p, y, x, sum(v * [0.299, 0.587, 0.114][c + 1]) AS luma FROM cx WHERE c < 3 GROUP BY ALL), m AS (SELECT p, avg(luma) FILTER (WHERE a > 0) AS mean FROM l JOIN ax USING (p, y, x) GROUP BY p) SELECT p, CASE WHEN coalesce(mean, 0) < 128 THEN 255 ELSE 0 END AS background FROM m WHERE abs(mean - 128) > 1e-6")
+def image_backgrounds(spark, d):
+    rows = _pixels(_images(spark, d, 4), 4)
+    pixels = rows.groupBy("p", "y", "x").pivot("c", [0, 1, 2, 3]).agg(F.first("v")).withColumnsRenamed({"0": "r", "1": "g", "2": "b", "3": "a"})
+    near = pixels.groupBy("p").agg(F.avg(F.when(F.col("a") > 0, 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"))).alias("mean")).where(F.abs(F.col("mean") - 128) > 1e-6)
+    return P.auto_background(pixels, ["p"]).join(near.select("p"), "p")
+
+
+@query(f"WITH {_PX} SELECT p, y, x, v, c FROM px, (SELECT unnest(range(3)) AS c)")
+def gray_pixels(spark, d):
+    return _pixels(P.map_images(_images(spark, d), lambda image: P.gray_to_bgr(image[..., 0]), channels=1), 3)
+
+
+@query(f"WITH {_PX} SELECT p, round(avg(v) FILTER (WHERE y <= 2 AND x BETWEEN 1 AND 4) / 256, 9) AS score, round(coalesce(avg(v) FILTER (WHERE v > 100), 0), 9) AS mean FROM px GROUP BY p")
+def contour_scores(spark, d):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            images = [P.pixels_of(b, 6, 4, 6, 1)[..., 0].astype(float) for b in pdf["data"]]
+            yield pd.DataFrame({"p": pdf["p"], "score": [P.contour_score(i / 256, [(1, 0), (4, 0), (4, 2), (1, 2)]) for i in images], "mean": [P.masked_mean(i, P.threshold_mask(i, 100)) for i in images]})
+
+    return _images(spark, d).mapInPandas(run, "p long, score double, mean double").select("p", F.round("score", 9).alias("score"), F.round("mean", 9).alias("mean"))
+
+
+@query(f"WITH {_PX} SELECT p, y, x, CASE WHEN y <= 2 AND x BETWEEN 1 AND 3 THEN 255 ELSE v END AS v FROM px")
+def whiten_pixels(spark, d):
+    return _pixels(P.map_images(_images(spark, d), lambda image: P.whitened(image, [[(0.6, -3.0), (3.4, -3.0), (3.4, 2.2), (0.6, 2.2)]]), channels=1))
+
+
+@query(f"WITH {_PX} SELECT 'img/' || p || '.png' AS path, 6 AS w, 4 AS h, y, x, v FROM px")
+def png_pixels(spark, d):
+    """PNG files by way of bytes: sizes from headers, then pixels; every row filter of the format is used."""
+    import struct
+    import zlib
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        for pdf in batches:
+            files = []
+            for data in pdf["data"]:
+                rows, above, lines = np.frombuffer(data, np.uint8).reshape(4, 6).astype(int), np.zeros(6, int), []
+                for y, row in enumerate(rows):
+                    left = np.concatenate([[0], row[:-1]])
+                    guess = (np.zeros(6, int), left, above, (left + above) // 2)[y]
+                    lines.append(bytes([y]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+                    above = row
+                files.append(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 6, 4, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"".join(lines))) + part(b"IEND", b""))
+            yield pd.DataFrame({"path": "img/" + pdf["p"].astype(str) + ".png", "content": files})
+
+    files = _images(spark, d).mapInPandas(run, "path string, content binary")
+    images = I.decoded(I.with_dimensions(files, 100).select("path", "content"))
+    return _pixels(images.withColumnRenamed("path", "p")).select(F.col("p").alias("path"), F.lit(6).alias("w"), F.lit(4).alias("h"), "y", "x", "v")
+
+
+@query("SELECT page_id, sha256(encode(html)[1:200]) AS head, sha256(CASE WHEN strlen(html) > 200 THEN encode(html)[-200:] ELSE encode(html) END) AS tail, CAST(NULL AS VARCHAR) AS failure, lower(hex(encode(html)[1:2])) AS begins FROM pages")
+def partial_digests(spark, d):
+    content = F.encode("html", "UTF-8")
+    digest = M.partial_digest(content, 200)
+    return V.table(spark, d, "pages").select("page_id", digest["head"].alias("head"), digest["tail"].alias("tail"), F.when(M.looks_like_model(content), "model").alias("failure"), F.replace(M.undeclared_failure(content), F.lit("begins with "), F.lit("")).alias("begins"))
