@@ -2,39 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Of a group's rows, one in so many is what the bounds around a rank may be off by.
+ACCURACY = 10_000
+
+
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """by, n, and a column for each of ranks: the value at that rank (from 0), exactly. ranks: name -> (share of n near it, rank from n).
+
+    A sketch first gives each group two bounds around each rank; rows below them are only counted, and only the rows
+    between them are sorted: some ten-thousandths of the group. A group of fewer rows than ACCURACY lies between its ends.
+    """
+    margin, shares = 3 / ACCURACY, sorted({q for q, _ in ranks.values()})
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    sketch = lambda q: F.percentile_approx("v", F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))), F.lit(ACCURACY))
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), *[sketch(q).alias(f"near{k}") for k, q in enumerate(shares)])
+    few = F.col("n") < ACCURACY
+    ends = [F.struct(F.when(few, F.col("least")).otherwise(F.col(f"near{k}")[0]).alias("low"), F.when(few, F.col("most")).otherwise(F.col(f"near{k}")[1]).alias("high")).alias(f"band{k}") for k in range(len(shares))]
+    bands = found.select(*[F.col(c).alias(f"its {c}") for c in by], "n", *ends)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"its {c}")) for c in by])
+    met = rows.join(bands, same)
+    place = lambda k: F.when(F.col("v") < F.col(f"band{k}.low"), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"))).when(F.col("v") <= F.col(f"band{k}.high"), F.struct(F.lit(k).alias("k"), F.col("v").alias("v")))
+    counted = met.select(*by, "n", F.explode(F.array_compact(F.array(*[place(k) for k in range(len(shares))]))).alias("x")).groupBy(*by, "n", "x.k", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    picked = [F.min(F.when((F.col("k") == shares.index(q)) & (F.col("upto") > rank(F.col("n"))), F.col("v"))).alias(name) for name, (q, rank) in ranks.items()]
+    return counted.withColumn("upto", upto).groupBy(*by).agg(F.first("n").alias("n"), *picked)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each of shares (name -> share): the quantile, interpolated between ranks."""
+    place = lambda n, q: (n - 1) * q
+    ranks = {f"{name} {end}": (q, lambda n, q=q, f=f: f(place(n, q))) for name, q in shares.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    out = at_ranks(df, by, value, ranks)
+    low, high = (lambda name: F.col(f"`{name} low`")), (lambda name: F.col(f"`{name} high`"))
+    between = lambda name, q: low(name) + (high(name) - low(name)) * (place(F.col("n"), q) - F.floor(place(F.col("n"), q)))
+    return out.select(*by, *[between(name, q).alias(name) for name, q in shares.items()])
+
+
 def stats(value: Column) -> list[Column]:
-    """n, min, max, mean, p50, p95 (interpolated) and sample deviation (0 for one); all 0 for no sample."""
+    """n, min, max, mean, p50, p95 (interpolated) and sample deviation (0 for one) as aggregates; all 0 for no sample.
+
+    The quantiles hold a group's different values in one task; for groups that grow with the data there is grouped_stats.
+    """
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    return [
-        F.count(value).alias("n"),
-        zero(F.min(value), "min"),
-        zero(F.max(value), "max"),
-        zero(F.avg(value), "mean"),
-        zero(F.percentile(value, F.lit(0.5)), "p50"),
-        zero(F.percentile(value, F.lit(0.95)), "p95"),
-        zero(F.stddev_samp(value), "stddev"),
-    ]
+    own = lambda q: F.percentile(value, F.lit(q))
+    return [F.count(value).alias("n"), zero(F.min(value), "min"), zero(F.max(value), "max"), zero(F.avg(value), "mean"), zero(own(0.5), "p50"), zero(own(0.95), "p95"), zero(F.stddev_samp(value), "stddev")]
 
 
-def ranked_from_histogram(df: DataFrame, by: str, value: str) -> DataFrame:
-    """avg, p50 = s[(n-1)/2] and p90 = s[round((n-1)*0.9)] of each group, by rank and not interpolated.
+def grouped_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, min, max, mean, p50, p95 (interpolated) and sample deviation (0 for one); all 0 for no sample."""
+    v = F.col(value)
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    sums = df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.min(v), "min"), zero(F.max(v), "max"), zero(F.avg(v), "mean"), zero(F.stddev_samp(v), "stddev"))
+    return with_quantiles(sums, df, by, value, {"p50": 0.5, "p95": 0.95})
 
-    Equal values are counted before they meet, so a group costs one row for each different value.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    pairs = counts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "c"))).alias("h"), F.sum("c").alias("n"), F.sum(F.col(value) * F.col("c")).alias("s"))
 
-    def at(rank: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-        step = lambda a, e: F.struct((a["seen"] + e["c"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + e["c"] > rank), e["v"]).otherwise(a["v"]).alias("v"))
-        return F.aggregate("h", zero, step, lambda a: a["v"])
+def with_quantiles(sums: DataFrame, df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """sums (one row for each of by) with the quantiles of df; 0 where a group has no value."""
+    own = quantiles(df, by, value, shares).withColumnsRenamed({c: f"its {c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"its {c}")) for c in by])
+    return sums.join(own, same, "left").select(*sums.columns, *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in shares])
+
 
-    last = F.col("n") - 1
-    return pairs.select(by, "n", (F.col("s") / F.col("n")).alias("avg"), at(F.floor(last / 2)).alias("p50"), at(F.floor(last * 0.9 + 0.5).cast("long")).alias("p90"))
+def ranked_from_histogram(df: DataFrame, by: str, value: str) -> DataFrame:
+    """n, avg, p50 = s[(n-1)/2] and p90 = s[round((n-1)*0.9)] of each group, by rank and not interpolated."""
+    picked = at_ranks(df, [by], value, {"p50": (0.5, lambda n: F.floor((n - 1) / 2)), "p90": (0.9, lambda n: F.floor((n - 1) * 0.9 + 0.5))})
+    means = df.groupBy(F.col(by).alias("its group")).agg(F.avg(value).alias("avg"))
+    return picked.join(means, F.col(by).eqNullSafe(F.col("its group"))).select(by, "n", "avg", "p50", "p90")
 
 
 #: The named parts of a page's time.

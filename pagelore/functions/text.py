@@ -140,8 +140,15 @@ def line_breaks(text: Column) -> Column:
 
 
 def fix_text_before_nfc(text: Column) -> Column:
-    text = replaced(replaced(remove_terminal_codes(text), c1_pairs()), LIGATURES)
-    return line_breaks(uncurl_quotes(replaced(text, width_pairs())))
+    """Most texts have none of what a step replaces; one look for it costs less than its passes."""
+
+    def step(t: Column, pairs: dict[str, str]) -> Column:
+        some = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in pairs) + "]"
+        return bound(t, lambda x: F.when(F.regexp_like(x, F.lit(some)), replaced(x, pairs)).otherwise(x))
+
+    beyond = lambda t: uncurl_quotes(step(step(step(t, c1_pairs()), LIGATURES), width_pairs()))
+    plain = bound(remove_terminal_codes(text), lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(beyond(t)))
+    return line_breaks(plain)
 
 
 def fix_text(text: Column, compose: bool = True) -> Column:
@@ -193,7 +200,8 @@ def bound(value: Column, use) -> Column:
 
 
 def balance_environments(latex: Column) -> Column:
-    return reduce(lambda whole, name: bound(whole, lambda x: balance_environment(x, name)), ENVIRONMENTS, latex)
+    some = lambda x, name: F.contains(x, F.lit(f"\\begin{{{name}}}")) | F.contains(x, F.lit(f"\\end{{{name}}}"))
+    return reduce(lambda whole, name: bound(whole, lambda x: F.when(some(x, name), balance_environment(x, name)).otherwise(x)), ENVIRONMENTS, latex)
 
 
 def remove_up(latex: Column) -> Column:

@@ -127,3 +127,17 @@ def manifest_digests(samples: DataFrame, by: list[str], *, dataset: str, split:
     whole = lambda entries: F.sha2(F.concat(F.lit(head), F.array_join(F.transform(entries, line), "")).cast("binary"), 256)
     by_path = F.array_sort(F.transform("entries", lambda e: F.struct(e["path"].alias("path"), e["digest"].alias("digest"))))
     return grouped.select(*by, "entry_count", "scored_count", whole(F.col("entries")).alias("manifest_sha256"), whole(by_path).alias("sample_set_sha256"))
+
+
+def manifest_tree(samples: DataFrame, by: list[str], *, position: str, width: int = 4096, levels: int = 4) -> DataFrame:
+    """by, tree_sha256: a digest of digests of samples (path, truth), for sets too large to be one document.
+
+    Entries with one position // width make a node, nodes a node of the next level, and what is left after `levels` is
+    joined; a node is the digest of its children's in order. No task holds more than `width` digests, but for the last.
+    """
+    entry = F.sha2(F.concat("path", F.lit(US), F.sha2(F.col("truth").cast("binary"), 256)).cast("binary"), 256)
+    nodes = samples.select(*by, F.col(position).cast("long").alias("i"), entry.alias("h"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "").cast("binary"), 256)
+    for _ in range(levels):
+        nodes = nodes.groupBy(*by, F.floor(F.col("i") / width).alias("up")).agg(joined.alias("h")).withColumnRenamed("up", "i")
+    return nodes.groupBy(*by).agg(joined.alias("tree_sha256"))

@@ -59,8 +59,9 @@ _RATES = """count(*) AS total, count(*) FILTER (WHERE s) AS scored, CAST(0 AS BI
 
 @query(f"WITH {V.RECORDS}, r AS (SELECT *, failure <> 'empty_ground_truth' AS s FROM records) SELECT role, {_RATES}, round(coalesce(avg(cer) FILTER (WHERE s), 0), 9) AS mean_cer, round(quantile_cont(cer, 0.5), 9) AS cer_p50, round(quantile_cont(cer, 0.95), 9) AS cer_p95 FROM r GROUP BY role")
 def summary_by_role(spark, d):
-    at = lambda q, name: F.round(F.percentile("cer", F.lit(q)), 9).alias(name)
-    return E.summarize(V.records(spark, d), ["role"], at(0.5, "cer_p50"), at(0.95, "cer_p95")).withColumn("mean_cer", F.round("mean_cer", 9))
+    records = V.records(spark, d)
+    out = S.with_quantiles(E.summarize(records, ["role"]), records, ["role"], "cer", {"cer_p50": 0.5, "cer_p95": 0.95})
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_cer", "cer_p50", "cer_p95")})
 
 
 @query(f"WITH {V.RECORDS} SELECT role, failure, count(*) AS n FROM records GROUP BY role, failure")
@@ -68,7 +69,7 @@ def failure_counts(spark, d):
     return E.failure_counts(V.records(spark, d), ["role"])
 
 
-@query(rf"WITH {V.PAIRS}, n AS (SELECT pair, trim(regexp_replace(expected, '\s+', ' ', 'g')) AS e, trim(regexp_replace(actual, '\s+', ' ', 'g')) AS a FROM pairs) SELECT pair, CAST(CASE WHEN length(e) = 0 THEN CASE WHEN length(a) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(e, a) AS DOUBLE) / length(e) END AS FLOAT) AS cer, e = a AS exact FROM n")
+@query(rf"WITH {V.PAIRS}, n AS (SELECT pair, trim(regexp_replace(expected, '\s+', ' ', 'g')) AS e, trim(regexp_replace(actual, '\s+', ' ', 'g')) AS a FROM pairs), c AS (SELECT *, {V.LETTERS.format(e='e', a='a')} FROM n) SELECT pair, CAST(CASE WHEN length(e) = 0 THEN CASE WHEN length(a) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST({V.DISTANCE.format(e='e', a='a')} AS DOUBLE) / length(e) END AS FLOAT) AS cer, e = a AS exact FROM c")
 def page_error_rate(spark, d):
     e, a = F.col("expected"), F.col("actual")
     return V.pairs(spark, d).select("pair", X.page_error_rate(e, a).alias("cer"), (X.normalize_whitespace(e) == X.normalize_whitespace(a)).alias("exact"))
@@ -125,6 +126,15 @@ def manifest_digest(spark, d):
     return E.manifest_digests(V.samples(spark, d), ["lang"], dataset="docs", split="test", subset="all", strategy="first", limit=0, position="doc_id")
 
 
+@query(f"""WITH {V.SAMPLES}, l0 AS (SELECT lang, doc_id AS i, sha256(path || chr(31) || sha256(truth)) AS h FROM samples
+), l1 AS (SELECT lang, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l0 GROUP BY ALL
+), l2 AS (SELECT lang, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l1 GROUP BY ALL
+), l3 AS (SELECT lang, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l2 GROUP BY ALL)
+SELECT lang, sha256(string_agg(h, '' ORDER BY i)) AS tree_sha256 FROM l3 GROUP BY lang""")
+def manifest_tree(spark, d):
+    return E.manifest_tree(V.samples(spark, d), ["lang"], position="doc_id", width=16, levels=3)
+
+
 @query(f"WITH {V.SAMPLES} SELECT CAST(doc_id % 8 AS INTEGER) AS shard, count(*) AS n FROM samples GROUP BY 1")
 def shard_assign(spark, d):
     return V.samples(spark, d).groupBy(E.shard_of(F.col("doc_id"), 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +160,7 @@ def merge_shards(spark, d):
 
 @query("SELECT event_type, count(value) AS n, coalesce(min(value), 0) AS min, coalesce(max(value), 0) AS max, round(coalesce(avg(value), 0), 9) AS mean, coalesce(quantile_cont(value, 0.5), 0) AS p50, round(coalesce(quantile_cont(value, 0.95), 0), 9) AS p95, round(coalesce(stddev_samp(value), 0), 9) AS stddev FROM events GROUP BY event_type")
 def latency_stats(spark, d):
-    out = V.table(spark, d, "events").groupBy("event_type").agg(*S.stats(F.col("value")))
+    out = S.grouped_stats(V.table(spark, d, "events"), ["event_type"], "value")
     return out.withColumns({c: F.round(c, 9) for c in ("mean", "p95", "stddev")})
 
 
@@ -453,9 +463,9 @@ def escape_html(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.md5(X.escape_html(html).cast("binary")).alias("escaped"), F.md5(X.escape_attribute(html).cast("binary")).alias("attribute"))
 
 
-@query("SELECT page_id, length(html) <= 3000 AS fits, CASE WHEN strlen(html) <= 3000 THEN md5(html) END AS digest, strlen(html) AS bytes FROM (SELECT page_id, regexp_replace(html, '[^\\x20-\\x7E]', '', 'g') AS html FROM pages)")
+@query("SELECT page_id, strlen(html) <= 3000 AS fits, CASE WHEN strlen(html) <= 3000 THEN md5(html) END AS digest, strlen(html) AS bytes FROM pages")
 def bounded_text(spark, d):
-    rows = V.table(spark, d, "pages").select("page_id", F.regexp_replace("html", r"[^\x20-\x7E]", "").alias("html")).withColumn("b", R.json_bounded(F.col("html"), 3000))
+    rows = V.table(spark, d, "pages").select("page_id", "html").withColumn("b", R.json_bounded(F.col("html"), 3000))
     return rows.select("page_id", (~F.col("b.too_large")).alias("fits"), F.md5(F.col("b.json").cast("binary")).alias("digest"), F.col("b.bytes").cast("long").alias("bytes"))
 
 
@@ -480,28 +490,28 @@ def normalize_ws(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.md5(X.normalize_whitespace(t).cast("binary")).alias("spaced"), F.md5(X.strip_whitespace(t).cast("binary")).alias("stripped"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(replace(translate(replace(s, chr(64257), 'fi'), chr(8220) || chr(8221) || chr(8217) || chr(65313), '""''A'), chr(13), chr(10)), '[\x07]', '', 'g')) AS fixed FROM (
-  SELECT doc_id, chr(8220) || text || chr(8221) || chr(8217) || chr(64257) || chr(65313) || chr(13) || chr(7) || 'x' AS s FROM documents)""")
+@query(r"""SELECT doc_id, md5(regexp_replace(nfc_normalize(replace(translate(replace(s, chr(64257), 'fi'), chr(8220) || chr(8221) || chr(8217) || chr(65313), '""''A'), chr(13), chr(10))), '[\x07]', '', 'g')) AS fixed FROM (
+  SELECT doc_id, chr(8220) || text || chr(8221) || chr(8217) || chr(64257) || chr(65313) || 'e' || chr(769) || chr(13) || chr(7) || 'x' AS s FROM documents)""")
 def fix_text(spark, d):
-    odd = "”’ﬁＡ\r\x07x"
+    odd = "”’ﬁＡe\u0301\r\x07x"
     text = F.concat(F.lit("“"), F.col("text"), F.lit(odd))
-    return V.table(spark, d, "documents").select("doc_id", F.md5(X.fix_text(text, compose=False).cast("binary")).alias("fixed"))
+    return V.table(spark, d, "documents").select("doc_id", F.md5(X.fix_text(text).cast("binary")).alias("fixed"))
 
 
 _LATEX = r"'\begin{array}{ll} ' || w || CASE WHEN doc_id % 3 = 0 THEN ' \end{array}' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' \end{cases}' ELSE '' END"
 
 
-@query(rf"""WITH l AS (SELECT doc_id, {_LATEX} AS s FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS w FROM documents))
+@query(rf"""WITH l AS (SELECT doc_id, {_LATEX} AS s FROM (SELECT doc_id, text AS w FROM documents))
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '\begin{{cases}} ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN s ELSE s || ' \end{{array}}' END AS latex FROM l""")
 def latex_environments(spark, d):
-    word = F.regexp_replace("text", "[^A-Za-z ]", "")
+    word = F.col("text")
     ends = F.concat(F.when(F.col("doc_id") % 3 == 0, r" \end{array}").otherwise(""), F.when(F.col("doc_id") % 5 == 0, r" \end{cases}").otherwise(""))
     return V.table(spark, d, "documents").select("doc_id", X.balance_environments(F.concat(F.lit(r"\begin{array}{ll} "), word, ends)).alias("latex"))
 
 
 @query()
 def latex_repair(spark, d):
-    word = F.regexp_replace("text", "[^A-Za-z ]", "")
+    word = F.col("text")
     latex = F.concat(F.lit(r"\lefteqn{\upalpha} \left( {"), word, F.lit(r" \right) } \uparrow \begin{matrix} x"))
     return V.table(spark, d, "documents").select("doc_id", X.repair_latex(latex).alias("latex"))
 

@@ -37,19 +37,19 @@ REGIONS = f"""regions AS (
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text pairs: the ASCII of each turn of a conversation, and that with a and e swapped (but for each third), cut in half for each seventh."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]", "")
+    """Text pairs: each turn of a conversation, and that with a and e, o and ö swapped (but for each third), cut in half for each seventh."""
+    text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "role", text.alias("expected"))
-    swapped = F.when(F.col("pair") % 3 == 0, F.col("expected")).otherwise(F.translate("expected", "ae", "ea"))
+    swapped = F.when(F.col("pair") % 3 == 0, F.col("expected")).otherwise(F.translate("expected", "aeoö", "eaöo"))
     cut = F.col("pair") % 7 == 0
     half = F.substr(swapped, F.lit(1), F.floor(F.char_length("expected") / 2).cast("int"))
     return rows.select("pair", "role", "expected", F.when(cut, half).otherwise(swapped).alias("actual"), cut.alias("truncated"))
 
 
 PAIRS = r"""p0 AS (
-  SELECT conv_id * 1000 + turn AS pair, role, regexp_replace(coalesce(text, ''), '[^\x20-\x7E]', '', 'g') AS expected FROM conversations
+  SELECT conv_id * 1000 + turn AS pair, role, coalesce(text, '') AS expected FROM conversations
 ), p1 AS (
-  SELECT *, CASE WHEN pair % 3 = 0 THEN expected ELSE translate(expected, 'ae', 'ea') END AS swapped FROM p0
+  SELECT *, CASE WHEN pair % 3 = 0 THEN expected ELSE translate(expected, 'aeoö', 'eaöo') END AS swapped FROM p0
 ), pairs AS (
   SELECT pair, role, expected, CASE WHEN pair % 7 = 0 THEN substr(swapped, 1, length(expected) // 2) ELSE swapped END AS actual, pair % 7 = 0 AS truncated FROM p1
 )"""
@@ -63,11 +63,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_pairs(pairs(spark, sf_dir).repartition(tasks, "pair"))
 
 
+#: DuckDB's edit distance counts bytes: each character of a pair is written as one byte, its number among the pair's characters.
+CODED = """(SELECT array_to_string(list_transform(string_split({x}, ''), lambda c: chr(CAST(list_position(letters, c) AS INTEGER))), ''))"""
+DISTANCE = "CAST(levenshtein(" + CODED.format(x="{e}") + ", " + CODED.format(x="{a}") + ") AS BIGINT)"
+LETTERS = "list_distinct(string_split({e} || {a}, '')) AS letters"
 RECORDS = (
     PAIRS
-    + r""", m AS (
+    + r""", lt AS (SELECT *, """ + LETTERS.format(e="expected", a="actual") + r""" FROM pairs), m AS (
   SELECT *, expected = actual AS exact, regexp_replace(expected, '\s', '', 'g') = regexp_replace(actual, '\s', '', 'g') AS normalized,
-    CAST(levenshtein(expected, actual) AS BIGINT) AS distance FROM pairs
+    """ + DISTANCE.format(e="expected", a="actual") + r""" AS distance FROM lt
 ), records AS (
   SELECT *, CASE WHEN length(expected) = 0 THEN CASE WHEN length(actual) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(distance AS DOUBLE) / length(expected) END AS cer,
     CASE WHEN regexp_replace(expected, '\s', '', 'g') = '' THEN 'empty_ground_truth' WHEN exact THEN 'none' WHEN truncated THEN 'truncated_no_eos' ELSE 'model_mismatch' END AS failure
