@@ -10,9 +10,10 @@ import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagelore.llm import bpe, langid, mpegts, packing, pii, simhash, substrings
+from pagelore.llm import bpe, langid, mpegts, packing, pii, simhash, substrings, topk
 from pagelore.llm.common import Scratch
 from pagelore.llm.queries import QUERIES
 
@@ -49,6 +50,38 @@ def test_simhash(spark, data, documents):
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(i, f"{prints[i]:016x}", find(i)) for i in ids}
 
 
+def test_trees_skip_leaves_where_vectors_lie_in_groups():
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-900, 900, (40, 16))
+    rows = np.concatenate([c + rng.integers(-20, 21, (200, 16)) for c in centres])
+    tree = topk.Tree(np.arange(len(rows)), rows)
+    found = tree.search(np.arange(0, len(rows), 100), rows[::100], 10)
+    leaves = sum(child < 0 for child in tree.left)
+    assert tree.leaves_seen < 0.5 * leaves * len(found)
+    for i, hits in zip(range(0, len(rows), 100), found, strict=True):
+        scores = rows @ rows[i]
+        want = sorted(((-int(s), j) for j, s in enumerate(scores.tolist()) if j != i))[:10]
+        assert hits == [(-s, j) for s, j in want]
+
+
+def test_top_k_over_regions(spark, monkeypatch):
+    """Many small regions, shards and blocks; groups of vectors, equal vectors under many ids, two lengths."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 8))
+    vectors = [(i, (centres[i % 12] + 0.05 * rng.normal(size=8)).tolist()) for i in range(1200)]
+    vectors += [(2000 + i, [0.5] * 8) for i in range(300)] + [(3000 + i, rng.normal(size=3).tolist()) for i in range(40)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in topk.exact_top_k(df, F.col("vec_id") % 10 == 0, k=7, shard_rows=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: np.floor(np.array(v) * 1024).astype(int) for i, v in vectors}
+    assert set(got) == {i for i in whole if i % 10 == 0}
+    for i, hits in got.items():
+        want = sorted((-int(whole[i] @ w), j) for j, w in whole.items() if j != i and len(w) == len(whole[i]))[:7]
+        assert sorted(hits) == [(k + 1, j, -s) for k, (s, j) in enumerate(want)]
+
+
 def test_bk_forest_finds_what_brute_force_finds():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
