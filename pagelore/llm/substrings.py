@@ -7,8 +7,11 @@ it. Around the hits, the windows themselves are compared and overlapping ones jo
 
 Texts are shuffled once, into chunks of a few MB. Both exchanges carry sorted hashes, packed in arrays: a chunk says
 each hash once, however often it occurs, and gets one bit back for it. So a passage that a third of all documents share is
-one entry a chunk. A probe is 32 bits and its bucket's number (a false hit only makes a window be compared); a
-window is 64 bits and its bucket's number, from a hash of its own.
+one entry a chunk. A probe is 32 bits and its bucket's number (a false hit only makes a window be compared); windows are
+compared by 128 bits, two hashes of 64 bits with bases of their own, over words of 64 bits each.
+
+Rows that repeat an id and its text stand as one row, whose outcome all of them take: however often a row comes, no
+chunk holds it twice.
 
 Defined results: a null text has no words; a row whose id is null loses nothing and is no reference; rows with one id
 are one document for "smaller"; a repeat within one document stays; an empty table gives an empty table. The
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelore.llm.common import held, tune
+from pagelore.llm.common import held, tune, written
 
 #: Text bytes of a chunk and hashes of a bucket: each is what one call holds. Larger executors take larger ones: fewer, longer rows.
 CHUNK_BYTES, BUCKET_HASHES = 2 << 20, 1 << 20
@@ -173,14 +176,14 @@ class Windows:
         seen = np.cumsum(marked)
         at = chunk.runs(size)
         self.at = at[seen[at + size - block + 1] > seen[at]]
-        one = chunk.run_hashes(self.at, size, WORD_BASES[0])
-        bucket = chunk.run_hashes(self.at, size, WORD_BASES[1]) % _U(buckets)
-        order = np.lexsort((one, bucket))
+        one, two = (chunk.run_hashes(self.at, size, base) for base in WORD_BASES)
+        bucket = two % _U(buckets)
+        order = np.lexsort((two, one, bucket))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(bucket[order]) != 0)
+        fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
         self.which = np.empty(len(order), np.int64)
         self.which[order] = np.cumsum(fresh) - 1
-        self.hashes, self.buckets = one[order][fresh], bucket[order][fresh]
+        self.hashes, self.seconds, self.buckets = one[order][fresh], two[order][fresh], bucket[order][fresh]
         self.least = np.full(len(self.hashes), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.which, ids[chunk.doc[self.at]])
         self.bounds = np.searchsorted(self.buckets, np.arange(buckets + 1, dtype=_U))
@@ -188,16 +191,16 @@ class Windows:
     def rows(self) -> Iterator[tuple[int, int, bytes]]:
         for b in np.flatnonzero(np.diff(self.bounds)).tolist():
             own = slice(self.bounds[b], self.bounds[b + 1])
-            yield b, own.stop - own.start, squeeze(steps(self.hashes[own]), self.least[own])
+            yield b, own.stop - own.start, squeeze(steps(self.hashes[own]), self.seconds[own], self.least[own])
 
 
 def settle_windows(rows: list[tuple[int, bytes]]) -> list[np.ndarray]:
     """Of each entry of each chunk: is there a smaller document elsewhere that has the window?"""
-    got = [unsqueeze(data, n, "<u8", "<i8") for n, data in rows]
-    values = np.concatenate([np.cumsum(v, dtype=_U) for v, _ in got])
-    least = np.concatenate([d for _, d in got])
-    order = np.argsort(values, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0]))
+    got = [unsqueeze(data, n, "<u8", "<u8", "<i8") for n, data in rows]
+    values = np.concatenate([np.cumsum(v, dtype=_U) for v, _, _ in got])
+    seconds, least = np.concatenate([w for _, w, _ in got]), np.concatenate([d for _, _, d in got])
+    order = np.lexsort((seconds, values))
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(values[order]) != 0) | (np.diff(seconds[order]) != 0)]))
     count = np.diff(np.append(heads, len(order)))
     smallest = np.empty(len(order), np.int64)
     smallest[order] = np.repeat(np.minimum.reduceat(least[order], heads), count)
@@ -239,11 +242,43 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, with_text: bool = True,
     A text that loses nothing stays as it is; in others, runs of kept words are joined by one space. `digests` adds
     kept_sha256, of all kept words joined by one space. With with_text=False only doc_id and the figures are returned.
     """
-    spark = docs.sparkSession
-    tune(spark)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    tune(docs.sparkSession)
+    rows = docs.groupBy(F.xxhash64("doc_id", "text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size"))
+    total, again = rows.agg(F.sum(F.col("size").cast("double")), F.count_if(F.col("n") > 1)).first()
+    cut = lambda df, **more: _remove_repeats(df, window, digests=digests, chunk_bytes=chunk_bytes, total=total or 0.0, **more)
+    if not again:
+        return cut(docs, with_text=with_text)
+    # repeated rows: one of each stands for all
+    own, others, first = (_unused(docs.columns, name) for name in ("repeat key", "its repeat key", "stands for"))
+    text = F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("none"))
+    keyed = docs.withColumn(own, F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha2(text.cast("binary"), 256)))
+    many = written(keyed.groupBy(own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(own).alias(others)), "repeated-rows")
+    single = keyed.join(many, F.col(own) == F.col(others), "left_anti").withColumn(first, F.lit(None).cast("string")).drop(own)
+    several = keyed.join(many, F.col(own) == F.col(others), "left_semi")
+    firsts = several.groupBy(own).agg(F.first(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", F.col(own).alias(first))
+    outcome = cut(single.unionByName(firsts, allowMissingColumns=True), with_text=True)
+    figures = outcome.columns[len(docs.columns) + 1 :]
+    plain = [_unused(docs.columns, f"of the text: {c}") for c in figures]  # the documents may have columns of such names
+    done = written(outcome.toDF(*docs.columns, first, *plain), "repeats-cut")
+    new = _unused(docs.columns, "new text")
+    told = done.where(F.col(first).isNotNull()).select(F.col(first).alias(others), F.col("text").alias(new), *[F.col(f"`{c}`") for c in plain])
+    spread = several.join(told, F.col(own) == F.col(others)).withColumn("text", F.col(new))
+    columns = docs.columns if with_text else ["doc_id"]
+    shown = [F.col(f"`{c}`") for c in (*columns, *plain)]
+    return done.where(F.col(first).isNull()).select(*shown).unionByName(spread.select(*shown)).toDF(*columns, *figures)
+
+
+def _unused(columns: list[str], name: str) -> str:
+    """The name, or with marks behind it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _remove_repeats(docs: DataFrame, window: int, *, with_text: bool, digests: bool, chunk_bytes: int, total: float) -> DataFrame:
+    """As remove_repeats, of rows that don't repeat; total: bytes of their texts."""
     block = (window + 1) // 2
-    total = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
     chunks, buckets = max(1, int(total // chunk_bytes) + 1), max(1, int(total / 6 // BUCKET_HASHES) + 1)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), row.alias("row"))

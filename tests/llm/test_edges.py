@@ -111,6 +111,21 @@ def test_repeats_keep_columns_and_first_copy(docs):
     assert got[6]["component_id"] == "x"
 
 
+def test_repeats_of_one_row_stand_as_one(spark):
+    """A third of all rows are one row; others repeat an id with other texts, or have no id."""
+    texts = [(7, WORDS60 + " tail", k) for k in range(40)] + [(3, WORDS60, 100), (9, WORDS60, 101), (9, "other", 102), (9, "other", 103), (None, WORDS60, 104), (None, WORDS60, 105), (None, None, 106), (None, None, 107)]
+    docs = spark.createDataFrame([(i, t, k, "x") for i, t, k in texts], "doc_id long, text string, nth int, `repeat key` string").repartition(4)
+    out = substrings.remove_repeats(docs, window=50, digests=True)
+    assert out.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256"]
+    got = {r["nth"]: (r["doc_id"], r["text"], r["n_words"], r["n_removed"], r["repeat key"]) for r in out.collect()}
+    assert len(got) == len(texts)
+    for i, t, k in texts:
+        want = {7: ("tail", 61, 60), 3: (WORDS60, 60, 0), None: (t, 60 if t else 0, 0)}.get(i) or (("", 60, 60) if k == 101 else ("other", 1, 0))
+        assert got[k] == (i, *want, "x")
+    slim = substrings.remove_repeats(docs, window=50, with_text=False)
+    assert slim.columns == ["doc_id", "n_words", "n_removed"] and slim.count() == len(texts)
+
+
 def test_near_duplicates_defined(docs):
     got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()]
     assert {c for i, _, c in got if i in (2, 3, 4)} == {2} and {f for i, f, _ in got if i in (2, 3, 4)} == {0}
