@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.llm import langid, packing, pii, simhash, substrings
-from pagelore.llm.common import table, written
+from pagelore.llm.common import Scratch, table, written
 
 #: Neither stage nor the whole can be put in SQL: language models, XXH64 and BPE are not there. Tests hold them against plain versions.
 ORACLE_SQL = None
@@ -60,7 +60,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; each reads what the one before has written, which then goes.
+
+    Null texts and such without a letter go with the first stage; a null id passes through all of them and is never a copy nor
+    the original of one; rows that repeat an id and its text are copies of each other; an empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-2]:
+            before, docs = docs, scratch.written(stage(spark, docs, sf_dir), name)
+            scratch.drop(before)
+        docs = written(STAGES[-2][1](spark, docs, sf_dir), STAGES[-2][0])  # what is returned reads it until the application ends
     return STAGES[-1][1](spark, docs, sf_dir)
