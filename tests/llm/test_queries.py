@@ -151,7 +151,7 @@ def test_pipeline_against_a_plain_one(spark, data, tmp_path):
                 out += t[at:a] + f"[{k.upper()}]"
             at = max(at, z)
         ids[i] = np.array([*tokenizer.encode(out + t[at:], add_special_tokens=False).ids, 1], "<u4")
-    assert {10_000, 10_001, 10_002, 10_003, 10_007}.isdisjoint(ids) and "[EMAIL]" in "".join(tokenizer.decode(ids[10_006].tolist()).upper().split())
+    assert {10_000, 10_001, 10_002, 10_003, 10_007}.isdisjoint(ids) and "email" in tokenizer.decode(ids[10_006].tolist())
     seen = {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
         own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
