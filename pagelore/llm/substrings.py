@@ -36,6 +36,8 @@ from pagelore.llm.common import held, tune, written
 
 #: Text bytes of a chunk and hashes of a bucket: each is what one call holds. Larger executors take larger ones: fewer, longer rows.
 CHUNK_BYTES, BUCKET_HASHES = 2 << 20, 1 << 20
+#: Buckets that a chunk deals its hashes to, at most. Where more are needed, buckets are cut again, from the hashes of FAN_CHUNKS chunks at once.
+MOST_FAN, FAN_CHUNKS = 8192, 1 << 14
 _U = np.uint64
 BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xC6BC279692B5C323)
 SEPARATOR = np.zeros(256, bool)
@@ -131,12 +133,13 @@ def steps(sorted_values: np.ndarray) -> np.ndarray:
 
 
 class Probes:
-    """The different runs of b words of a chunk, in order of bucket and 32-bit value."""
+    """The different runs of b words of a chunk, in order of bucket and value (of so many bits)."""
 
-    def __init__(self, chunk: Chunk, size: int, buckets: int):
+    def __init__(self, chunk: Chunk, size: int, buckets: int, bits: int):
         self.at = chunk.runs(size)
         hashes = chunk.run_hashes(self.at, size, WORD_BASES[0])
-        keys = (hashes >> _U(32)) % _U(buckets) << _U(32) | hashes & _U(0xFFFFFFFF)
+        self.mask, self.kind = _U((1 << bits) - 1), np.uint32 if bits == 32 else _U
+        keys = (hashes >> _U(bits)) % _U(buckets) << _U(bits) | hashes & self.mask
         self.keys, self.which = np.unique(keys, return_inverse=True)
         indexed = np.zeros(len(self.keys), np.uint8)
         indexed[self.which[chunk.place[self.at] % size == 0]] = 1
@@ -144,19 +147,17 @@ class Probes:
         np.minimum.at(low, self.which, chunk.doc[self.at])
         np.maximum.at(high, self.which, chunk.doc[self.at])
         self.flags = indexed | (low < high).astype(np.uint8) << 1
-        self.bounds = np.searchsorted(self.keys, np.arange(buckets + 1, dtype=_U) << _U(32))
+        self.bounds = np.searchsorted(self.keys, np.arange(buckets + 1, dtype=_U) << _U(bits))
 
     def rows(self) -> Iterator[tuple[int, int, bytes]]:
         for b in np.flatnonzero(np.diff(self.bounds)).tolist():
             own = slice(self.bounds[b], self.bounds[b + 1])
-            yield b, own.stop - own.start, squeeze(steps((self.keys[own] & _U(0xFFFFFFFF)).astype(np.uint32)), self.flags[own])
+            yield b, own.stop - own.start, squeeze(steps((self.keys[own] & self.mask).astype(self.kind)), self.flags[own])
 
 
-def settle_probes(rows: list[tuple[int, bytes]]) -> list[np.ndarray]:
+def settle_probes(rows: list[tuple[int, bytes]], bits: int) -> list[np.ndarray]:
     """Of each entry of each chunk: is its run a block of some document, and in two documents or more?"""
-    got = [unsqueeze(data, n, "<u4", "u1") for n, data in rows]
-    values = np.concatenate([np.cumsum(v, dtype=np.uint32) for v, _ in got])
-    flags = np.concatenate([f for _, f in got])
+    values, flags = gathered(rows, *columns_of(0, bits))
     order = np.argsort(values, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0]))
     count = np.diff(np.append(heads, len(order)))
@@ -196,9 +197,7 @@ class Windows:
 
 def settle_windows(rows: list[tuple[int, bytes]]) -> list[np.ndarray]:
     """Of each entry of each chunk: is there a smaller document elsewhere that has the window?"""
-    got = [unsqueeze(data, n, "<u8", "<u8", "<i8") for n, data in rows]
-    values = np.concatenate([np.cumsum(v, dtype=_U) for v, _, _ in got])
-    seconds, least = np.concatenate([w for _, w, _ in got]), np.concatenate([d for _, _, d in got])
+    values, seconds, least = gathered(rows, *columns_of(1, 0))
     order = np.lexsort((seconds, values))
     heads = np.flatnonzero(np.concatenate([[True], (np.diff(values[order]) != 0) | (np.diff(seconds[order]) != 0)]))
     count = np.diff(np.append(heads, len(order)))
@@ -207,6 +206,30 @@ def settle_windows(rows: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return np.split(smallest < least, np.cumsum([n for n, _ in rows])[:-1])
 
 
+def columns_of(kind: int, bits: int) -> tuple[str, ...]:
+    """What an entry is packed as; the first is sorted and written in steps."""
+    return ("<u8", "<u8", "<i8") if kind else ("<u4" if bits == 32 else "<u8", "u1")
+
+
+def gathered(rows: list[tuple[int, bytes]], *columns: str) -> list[np.ndarray]:
+    """The entries of packed rows, one row after the other."""
+    parts = []
+    for n, data in rows:
+        first, *rest = unsqueeze(data, n, *columns)
+        parts.append([np.cumsum(first, dtype=first.dtype), *rest])
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def recut(rows: list[tuple[int, bytes]], kind: int, bits: int, parts: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The entries of many chunks in order, the order, and where each of `parts` equal ranges of values begins."""
+    columns = gathered(rows, *columns_of(kind, bits))
+    order = np.lexsort(columns[1::-1]) if kind else np.argsort(columns[0], kind="stable")
+    columns = [c[order] for c in columns]
+    wide = 64 if kind else bits
+    edges = np.array([(j << wide) // parts for j in range(parts)], _U).astype(columns[0].dtype)
+    return columns, order, np.append(np.searchsorted(columns[0], edges), len(order))
+
+
 def said_back(table: pa.Table, kind: int, bounds: np.ndarray, n: int) -> np.ndarray:
     """The bits that came back for a chunk's entries; a bucket that sent none has none set."""
     out = np.zeros(n, bool)
@@ -279,26 +302,80 @@ def _unused(columns: list[str], name: str) -> str:
 def _remove_repeats(docs: DataFrame, window: int, *, with_text: bool, digests: bool, chunk_bytes: int, total: float) -> DataFrame:
     """As remove_repeats, of rows that don't repeat; total: bytes of their texts."""
     block = (window + 1) // 2
-    chunks, buckets = max(1, int(total // chunk_bytes) + 1), max(1, int(total / 6 // BUCKET_HASHES) + 1)
+    chunks, needed = max(1, int(total // chunk_bytes) + 1), max(1, int(total / 6 // BUCKET_HASHES) + 1)
+    buckets, parts = min(needed, MOST_FAN), -(-needed // MOST_FAN)
+    bits = 32 if parts == 1 else 44
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), row.alias("row"))
 
     def probe(table: pa.Table) -> pa.Table:
         _, _, part, texts = documents_of(table)
         chunk = table["chunk"][0].as_py()
-        return packed([(chunk, 0, *r) for r in Probes(Chunk(texts, part), block, buckets).rows()])
+        return packed([(chunk, 0, *r) for r in Probes(Chunk(texts, part), block, buckets, bits).rows()])
+
+    def settled(entries: list[tuple[int, bytes]], kind: int) -> list[np.ndarray]:
+        return settle_windows(entries) if kind else settle_probes(entries, bits)
+
+    def said(bits_of: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(np.packbits(bits_of).tobytes())
+
+    def entries_of(table: pa.Table) -> list[tuple[int, bytes]]:
+        return list(zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True))
 
     def settle(table: pa.Table) -> pa.Table:
-        kind = table["kind"][0].as_py()
-        entries = list(zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True))
-        bits = (settle_windows if kind else settle_probes)(entries)
-        squeezed = zstandard.ZstdCompressor(level=1)
-        return packed([(c, kind, b, n, squeezed.compress(np.packbits(x).tobytes())) for c, b, (n, _), x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), entries, bits, strict=True) if x.any()])
+        kind, entries = table["kind"][0].as_py(), entries_of(table)
+        return packed([(c, kind, b, n, said(x)) for c, b, (n, _), x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), entries, settled(entries, kind), strict=True) if x.any()])
+
+    # buckets too large for one call: cut again by ranges of values, from the hashes of many chunks at once
+
+    def in_order(table: pa.Table) -> pa.Table:
+        return table.sort_by("chunk")
+
+    def cut_again(table: pa.Table) -> pa.Table:
+        table = in_order(table)
+        kind, bucket, span = (table[c][0].as_py() for c in ("kind", "bucket", "span"))
+        columns, _, edges = recut(entries_of(table), kind, bits, parts)
+        rows = [(span, kind, bucket, z - a, squeeze(steps(columns[0][a:z]), *[c[a:z] for c in columns[1:]]), j) for j, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if z > a]
+        arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [*_PACKED.types, pa.int32()], strict=True)]
+        return pa.Table.from_arrays(arrays, [*("span" if c == "chunk" else c for c in _PACKED.names), "part"])
+
+    def settle_part(table: pa.Table) -> pa.Table:
+        kind, entries = table["kind"][0].as_py(), entries_of(table)
+        out = [(s, kind, b, n, said(x), j) for s, b, (n, _), x, j in zip(table["span"].to_pylist(), table["bucket"].to_pylist(), entries, settled(entries, kind), table["part"].to_pylist(), strict=True) if x.any()]
+        kinds = [*_PACKED.types, pa.int32()]
+        arrays = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+        return pa.Table.from_arrays(arrays, [*("span" if c == "chunk" else c for c in _PACKED.names), "part"])
+
+    def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _PACKED.empty_table()
+        left = in_order(left)
+        kind, bucket = (left[c][0].as_py() for c in ("kind", "bucket"))
+        _, order, edges = recut(entries_of(left), kind, bits, parts)
+        found = np.zeros(len(order), bool)
+        for j, data in zip(right["part"].to_pylist(), right["data"].to_pylist(), strict=True):
+            a, z = int(edges[j]), int(edges[j + 1])
+            found[a:z] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=z - a)
+        back = np.empty(len(order), bool)
+        back[order] = found
+        n = left["n"].to_numpy()
+        pieces = np.split(back, np.cumsum(n)[:-1])
+        return packed([(c, kind, bucket, int(k), said(x)) for c, k, x in zip(left["chunk"].to_pylist(), n, pieces, strict=True) if x.any()])
+
+    def exchanged(asked: DataFrame) -> DataFrame:
+        """What the buckets say to each chunk's entries."""
+        if parts == 1:
+            return asked.groupBy("bucket").applyInArrow(settle, PACKED)
+        asked = asked.withColumn("span", F.floor(F.col("chunk") / FAN_CHUNKS).cast("int"))
+        shape = PACKED.replace("chunk int", "span int") + ", part int"
+        again = asked.groupBy("bucket", "span").applyInArrow(cut_again, shape)
+        answers = again.groupBy("bucket", "part").applyInArrow(settle_part, shape)
+        return asked.groupBy("bucket", "span").cogroup(answers.groupBy("bucket", "span")).applyInArrow(put_back, PACKED)
 
     def windows_of(left: pa.Table, right: pa.Table) -> tuple[pa.StructArray, np.ndarray, list[bytes], Chunk, Windows]:
         rows, ids, part, texts = documents_of(left)
         chunk = Chunk(texts, part)
-        probes = Probes(chunk, block, buckets)
+        probes = Probes(chunk, block, buckets, bits)
         hit = said_back(right, 0, probes.bounds, len(probes.keys))
         return rows, ids, texts, chunk, Windows(chunk, ids, hit, probes, window, block, buckets)
 
@@ -346,8 +423,8 @@ def _remove_repeats(docs: DataFrame, window: int, *, with_text: bool, digests: b
         return pa.Table.from_arrays(arrays, [f.name for f in shape])
 
     asked = dealt.groupBy("chunk").applyInArrow(probe, PACKED)
-    answers = asked.groupBy("bucket").applyInArrow(settle, PACKED)
+    answers = exchanged(asked)
     compared = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(compare, PACKED)
-    both = answers.unionByName(compared.groupBy("bucket").applyInArrow(settle, PACKED))
+    both = answers.unionByName(exchanged(compared))
     out = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, shape)
     return out.toDF(*[f.name for f in columns], *[f.name for f in added])

@@ -404,11 +404,17 @@ def test_transport_stream_is_checked():
         assert mpegts.demux(mpegts.mux(b"y" * n))[0] == b"y" * n
 
 
-def test_repeats_in_small_windows(spark):
+@pytest.mark.parametrize("fan", [8192, 3])
+def test_repeats_in_small_windows(spark, monkeypatch, fan):
+    """fan 3: so few buckets that they are cut again, from spans of two chunks."""
+    if fan < 100:
+        monkeypatch.setattr(substrings, "MOST_FAN", fan)
+        monkeypatch.setattr(substrings, "FAN_CHUNKS", 2)
+        monkeypatch.setattr(substrings, "BUCKET_HASHES", 30)
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))) for i in range(60)]
     for window in (4, 5, 9):
-        got = {r["doc_id"]: r["text"].split() for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), window=window).collect()}
+        got = {r["doc_id"]: r["text"].split() for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), window=window, chunk_bytes=400).collect()}
         first = {}
         for i, t in docs:
             w = t.split()
