@@ -391,3 +391,12 @@ def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Dat
             yield model(pdf)
 
     return df.mapInPandas(run, schema)
+
+
+def constant_model(columns: dict[str, object]) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+    """A loader for with_model whose model says the same of every row: it stands in where there is no model file."""
+
+    def load() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda pdf: pdf.assign(**{name: [value] * len(pdf) for name, value in columns.items()})
+
+    return load

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.functions import geometry as G
+from pagelore.functions.pixels import with_model
 from pagelore.operators.folds import suppress_overlaps
 from pagelore.operators.order import argmax
 
@@ -69,6 +71,23 @@ def decode_anchors(
     return rows.join(kept, [page, anchor], "left_semi")
 
 
+def detect_candidates(images: DataFrame, load: Callable | None, *, page: str, side: int, names: Column, confidence: float, overlap: float, limit: int) -> DataFrame:
+    """Boxes of a page detector, as decode_anchors gives them, with detected = true; no detector, no boxes.
+
+    images: page, width, height and what the model wants. load is called once a task and gives a model that adds `anchors`,
+    array<struct<cx,cy,w,h,scores>> in pixels of the letterboxed square.
+    """
+    anchor = "anchors array<struct<cx:double,cy:double,w:double,h:double,scores:array<double>>>"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields)
+    found = with_model(images, load, f"{fields}, {anchor}") if load else images.withColumn("anchors", F.array().cast(anchor.split(" ", 1)[1]))
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    scale = F.least(side / w, side / h)
+    pad = lambda n: F.floor((side - F.floor(n * scale + 0.5)) / 2 - 0.1 + 0.5).cast("double")
+    rows = found.select(page, "width", "height", scale.alias("scale"), pad(w).alias("left"), pad(h).alias("top"), F.posexplode("anchors").alias("anchor", "a"))
+    rows = rows.select(page, "anchor", "a.cx", "a.cy", "a.w", "a.h", "a.scores", "scale", "left", "top", "width", "height")
+    return decode_anchors(rows, page=page, anchor="anchor", names=names, confidence=confidence, overlap=overlap, limit=limit).withColumn("detected", F.lit(True))
+
+
 def mapped_back(points: Column, left: Column, top: Column, ratio_w: Column, ratio_h: Column, width: Column, height: Column) -> Column:
     """Points of a padded, resized image in pixels of the original, kept inside it."""
     put = lambda v, pad, ratio, size: F.least(F.greatest((v - pad) * ratio, F.lit(0.0)), size.cast("double"))

@@ -23,6 +23,7 @@ from pagelore.operators import render as R
 from pagelore.operators import requests as Q
 from pagelore.plans import derive as V
 from pagelore.plans.catalogue import _BOX_IOU, _LEDGER, _PAIRS_IOU, _greedy, query
+from pagelore.sources import addresses as A
 from pagelore.sources import datasets as D
 from pagelore.sources import images as I
 from pagelore.streaming import jobs as J
@@ -635,3 +636,56 @@ def partial_digests(spark, d):
     content = F.encode("html", "UTF-8")
     digest = M.partial_digest(content, 200)
     return V.table(spark, d, "pages").select("page_id", digest["head"].alias("head"), digest["tail"].alias("tail"), F.when(M.looks_like_model(content), "model").alias("failure"), F.replace(M.undeclared_failure(content), F.lit("begins with "), F.lit("")).alias("begins"))
+
+
+# --- models and addresses that are passed in
+
+
+@query("WITH b AS (SELECT p_partkey AS page, 200 + p_partkey % 300 AS w, 100 + p_size * 7 AS h FROM part), s AS (SELECT *, least(768.0 / w, 768.0 / h) AS k FROM b), l AS (SELECT *, floor((768 - floor(w * k + 0.5)) / 2 - 0.1 + 0.5) AS px, floor((768 - floor(h * k + 0.5)) / 2 - 0.1 + 0.5) AS py FROM s) SELECT page, 'formula' AS class_name, round(least(greatest((300 - px) / k, 0), w), 6) AS x0, round(least(greatest((350 - py) / k, 0), h), 6) AS y0, round(least(greatest((500 - px) / k, 0), w), 6) AS x1, round(least(greatest((450 - py) / k, 0), h), 6) AS y1, true AS detected FROM l WHERE least(greatest((500 - px) / k, 0), w) > least(greatest((300 - px) / k, 0), w) AND least(greatest((450 - py) / k, 0), h) > least(greatest((350 - py) / k, 0), h)")
+def detect_candidates(spark, d):
+    anchors = [{"cx": 400.0, "cy": 400.0, "w": 200.0, "h": 100.0, "scores": [0.9]}, {"cx": 405.0, "cy": 400.0, "w": 200.0, "h": 100.0, "scores": [0.8]}, {"cx": 10.0, "cy": 10.0, "w": 5.0, "h": 5.0, "scores": [0.1]}]
+    images = V.table(spark, d, "part").select(F.col("p_partkey").alias("page"), (200 + F.col("p_partkey") % 300).cast("int").alias("width"), (100 + F.col("p_size") * 7).cast("int").alias("height"))
+    out = T.detect_candidates(images, P.constant_model({"anchors": anchors}), page="page", side=768, names=F.array(F.lit("formula")), confidence=0.25, overlap=0.7, limit=10)
+    return out.select("page", "class_name", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], "detected")
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'scheme' WHEN 2 THEN 'host' WHEN 3 THEN 'too many' ELSE 'no place' END AS refusal FROM pages")
+def redirect_refusals(spark, d):
+    k, good = F.col("page_id") % 5, F.concat(F.lit("https://example.org/"), F.col("page_id").cast("string"))
+    hops = F.when(k == 0, F.array(good, good, good, good, good)).when(k == 1, F.array(good, F.lit("http://example.org/a"))).when(k == 2, F.array(good, F.lit("https://example.org.evil/a"))).when(k == 3, F.array_repeat(good, 6)).otherwise(F.array(good, F.lit(None).cast("string")))
+    return V.table(spark, d, "pages").select("page_id", A.redirect_refusal(hops, ("example.org",)).alias("refusal"))
+
+
+@query("SELECT p_brand AS model_set, p_partkey AS k, CAST(row_number() OVER w AS INTEGER) AS idx, count(*) OVER (PARTITION BY p_brand) AS total, CAST(coalesce(sum(p_partkey * 10) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bytes_before FROM part WHERE p_partkey % 7 = 0 WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
+def download_progress(spark, d):
+    k = F.col("p_partkey")
+    files = V.table(spark, d, "part").select(F.col("p_brand").alias("model_set"), k.alias("k"), F.when(k % 7 == 0, "missing").otherwise("present").alias("state"), (k * 10).alias("size"))
+    out = A.progress(files, by="model_set", at="k", size="size")
+    return out.select("model_set", "k", F.col("index").alias("idx"), "total", "bytes_before")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'network: ValueError' WHEN 2 THEN 'too many bytes' ELSE 'not an image' END AS failure, page_id % 4 = 0 AS has_content FROM pages")
+def read_addresses(spark, d):
+    """Addresses behind a function that makes up what is there."""
+    import io
+    import struct
+
+    def open_url(url: str) -> io.BytesIO:
+        number = int(url.rsplit("/", 1)[1])
+        if number % 4 == 1:
+            raise ValueError(url)
+        head = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 6, 4, 8, 0, 0, 0, 0)
+        return io.BytesIO(head + b"x" * 1000 if number % 4 == 2 else head if number % 4 == 0 else b"<html>")
+
+    rows = V.table(spark, d, "pages").select("page_id", F.concat(F.lit("https://example.org/"), F.col("page_id").cast("string")).alias("url"))
+    out = A.read_addresses(rows, "url", open_url=open_url, most_bytes=500, most_pixels=100)
+    return out.select("page_id", "failure", F.col("content").isNotNull().alias("has_content"))
+
+
+@query("SELECT 'evaluations' AS section, CAST(row_number() OVER (ORDER BY lang, source) - 1 AS INTEGER) AS place, '{\"dataset\":\"' || lang || '\",\"split\":\"' || source || '\",\"total\":' || n || '}' AS entry FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) UNION ALL SELECT 'dataset_manifests', CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER), '{\"dataset\":\"' || lang || '\",\"limit\":0,\"entry_count\":' || n || '}' FROM (SELECT lang, count(*) AS n FROM documents GROUP BY ALL) UNION ALL SELECT 'reference_comparison', CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER), '{\"dataset\":\"' || lang || '\",\"link_differences\":2}' FROM (SELECT DISTINCT lang FROM documents) UNION ALL SELECT 'benchmarks', CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER), '{\"source\":\"' || source || '\",\"n\":' || n || '}' FROM (SELECT source, count(*) AS n FROM documents GROUP BY ALL)")
+def baseline_payload(spark, d):
+    docs, n = V.table(spark, d, "documents"), F.count(F.lit(1))
+    by_lang = docs.groupBy(F.col("lang").alias("dataset")).agg(n.alias("entry_count"))
+    evaluations = docs.groupBy(F.col("lang").alias("dataset"), F.col("source").alias("split")).agg(n.alias("total"))
+    comparisons = by_lang.select("dataset", F.array(F.lit("a"), F.lit("b")).alias("link_differences"))
+    return D.baseline_payload(evaluations, by_lang.select("dataset", F.lit(0).alias("limit"), "entry_count"), comparisons, docs.groupBy("source").agg(n.alias("n")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -32,11 +34,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_pagelore_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="pagelore-"), "pagelore-package.zip")
+    folder = tempfile.mkdtemp(prefix="pagelore-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file until it ends
+    path = os.path.join(folder, "pagelore-package.zip")
     with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
+        for inner, _, names in os.walk(top):
             for name in names:
                 if name.endswith(".py"):
-                    out.write(at := os.path.join(folder, name), os.path.relpath(at, os.path.dirname(top)))
+                    out.write(at := os.path.join(inner, name), os.path.relpath(at, os.path.dirname(top)))
     sc.addPyFile(path)
     sc._pagelore_shipped = True

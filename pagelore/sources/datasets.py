@@ -6,7 +6,7 @@ whole file, so each is read as one row and split there, by an executor; nothing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelore.functions import text as X
@@ -134,3 +134,20 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> Dat
     head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
     lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
     return rows.agg(F.concat(F.lit(head), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("table"))
+
+
+def baseline_payload(evaluations: DataFrame, manifests: DataFrame, comparisons: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """section, place, entry: what a committed baseline is made of, one JSON object an entry, each section in its own order.
+
+    evaluations by dataset and split; manifests by dataset, limit and entry_count; comparisons without their links, whose
+    number they keep; benchmarks by source.
+    """
+    entry = lambda df: F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    slim = comparisons.withColumn("link_differences", F.coalesce(F.size("link_differences"), F.lit(0)))
+    parts = {"evaluations": (evaluations, ["dataset", "split"]), "dataset_manifests": (manifests, ["dataset", "limit", "entry_count"]), "reference_comparison": (slim, ["dataset"]), "benchmarks": (benchmarks, ["source"])}
+    out = None
+    for name, (df, order) in parts.items():
+        place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)) - 1
+        rows = df.select(F.lit(name).alias("section"), place.alias("place"), entry(df).alias("entry"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
