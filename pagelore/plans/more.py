@@ -689,3 +689,93 @@ def baseline_payload(spark, d):
     evaluations = docs.groupBy(F.col("lang").alias("dataset"), F.col("source").alias("split")).agg(n.alias("total"))
     comparisons = by_lang.select("dataset", F.array(F.lit("a"), F.lit("b")).alias("link_differences"))
     return D.baseline_payload(evaluations, by_lang.select("dataset", F.lit(0).alias("limit"), "entry_count"), comparisons, docs.groupBy("source").agg(n.alias("n")))
+
+
+# --- detection on maps, tensors, margins
+
+
+_GROW = "w * h * 1.6 / (2 * (w + h))"
+
+
+@query(f"WITH b AS (SELECT p_partkey AS p, p_partkey % 7 + 3 AS x, p_partkey % 5 + 2 AS y, CAST(p_partkey % 11 + 2 AS DOUBLE) AS w, CAST(p_size % 9 + 2 AS DOUBLE) AS h FROM part), g AS (SELECT *, {_GROW} AS g, w * h * 0.9 / ((w + 1) * (h + 1)) AS score FROM b) SELECT p, round(score, 5) AS score, least(greatest(round_even((x - g) * 2, 0), 0), 64) AS x0, least(greatest(round_even((y - g) * 2, 0), 0), 48) AS y0, least(greatest(round_even((x + w + g) * 2, 0), 0), 64) AS x1, least(greatest(round_even((y + h + g) * 2, 0), 0), 48) AS y1 FROM g WHERE least(w, h) >= 3 AND score >= 0.6 AND least(w, h) + 2 * g >= 5")
+def map_boxes(spark, d):
+    """A rectangle of high probability in a map is found, scored, grown and scaled to the page."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, x, y, w, h in pdf[["p", "x", "y", "w", "h"]].itertuples(index=False):
+                prob = np.zeros((24, 32))
+                prob[y : y + h, x : x + w] = 0.9
+                for quad, score in P.detect_boxes(prob, size=(64, 48)):
+                    xs, ys = [a for a, _ in quad], [b for _, b in quad]
+                    rows.append((p, score, min(xs), min(ys), max(xs), max(ys)))
+            yield pd.DataFrame(rows, columns=["p", "score", "x0", "y0", "x1", "y1"])
+
+    k = F.col("p_partkey")
+    shapes = V.table(spark, d, "part").select(k.alias("p"), (k % 7 + 3).cast("int").alias("x"), (k % 5 + 2).cast("int").alias("y"), (k % 11 + 2).cast("int").alias("w"), (F.col("p_size") % 9 + 2).cast("int").alias("h"))
+    out = shapes.mapInPandas(run, "p long, score double, x0 double, y0 double, x1 double, y1 double")
+    return out.withColumn("score", F.round("score", 5))
+
+
+@query(f"WITH {_PX} SELECT p, y, x, round((v / 255 - 0.5) / 0.5, 4) + 0.0 AS v FROM px")
+def tensor_values(spark, d):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, data in zip(pdf["p"], pdf["data"], strict=True):
+                tensor = P.normalized(P.pixels_of(data, 6, 4, 6, 1), 0.5, 0.5)[0]
+                y, x = np.mgrid[0:4, 0:6]
+                yield pd.DataFrame({"p": p, "y": y.ravel(), "x": x.ravel(), "v": tensor.ravel().astype(float)})
+
+    return _images(spark, d).mapInPandas(run, "p long, y long, x long, v double").withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query("SELECT p_partkey AS p, CAST(p_partkey % 5 + 1 AS INTEGER) AS w, CAST(p_size % 4 + 1 AS INTEGER) AS h FROM part")
+def margin_crops(spark, d):
+    """Dark ink on a light page: the crop is the ink's box."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = []
+            for p, w, h in pdf[["p", "w", "h"]].itertuples(index=False):
+                page = np.full((12, 14, 3), 240, np.uint8)
+                page[p % 7 : p % 7 + h, p % 8 : p % 8 + w] = (30, 20, 10)
+                sizes.append(P.crop_margin(page).shape)
+            yield pd.DataFrame({"p": pdf["p"], "w": [s[1] for s in sizes], "h": [s[0] for s in sizes]})
+
+    k = F.col("p_partkey")
+    return V.table(spark, d, "part").select(k.alias("p"), (k % 5 + 1).cast("int").alias("w"), (F.col("p_size") % 4 + 1).cast("int").alias("h")).mapInPandas(run, "p long, w int, h int")
+
+
+# --- files of models and reports, as JSON in a column
+
+
+@query("SELECT p_brand AS id, 'file_' || p_partkey || '.onnx' AS name, 'detector' AS role, sha256(p_name) AS sha256, p_partkey * 7 AS size_bytes FROM part")
+def manifest_sets(spark, d):
+    k = F.col("p_partkey")
+    file = F.struct(F.concat(F.lit("file_"), k.cast("string"), F.lit(".onnx")).alias("name"), F.lit("detector").alias("role"), F.sha2(F.col("p_name").cast("binary"), 256).alias("sha256"), (k * 7).alias("size_bytes"), F.lit("https://example.org/x").alias("source_url"))
+    made = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col("p_brand").alias("id"), F.lit("f").alias("family"), F.lit("v").alias("version"), F.collect_list(file).alias("files")))
+    rows = V.table(spark, d, "part").groupBy("p_brand").agg(made.alias("json"))
+    return D.parse_manifests(rows, "json").select("id", "name", "role", "sha256", "size_bytes")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 4 END AS vocab_size, 0 AS bos_id, CASE WHEN p_partkey % 4 = 0 THEN 9 ELSE 1 END AS pad_id, 2 AS eos_id, CASE WHEN p_partkey % 5 > 0 THEN 3 END AS unk_id, p_partkey % 4 <> 0 AND p_partkey % 5 <> 0 AS valid FROM part")
+def tokenizer_checks(spark, d):
+    k = F.col("p_partkey")
+    vocab = F.concat(F.lit('{"<s>":0,"a":4,"b":6,"c":7'), F.when(k % 3 == 0, ',"</s>":2').otherwise(""), F.lit("}"))
+    added = F.concat(F.lit('[{"id":'), F.when(k % 4 == 0, "9").otherwise("1"), F.lit(',"content":"<pad>"},{"id":2,"content":"</s>"}'), F.when(k % 5 > 0, ',{"id":3,"content":"<unk>"}').otherwise(""), F.lit("]"))
+    file = F.concat(F.lit('{"fast_tokenizer_file":{"model":{"vocab":'), vocab, F.lit('},"added_tokens":'), added, F.lit("}}"))
+    out = D.tokenizer_metadata(V.table(spark, d, "part").select("p_partkey", file.alias("file")), "file").drop("file")
+    return out.select("p_partkey", "vocab_size", *[F.col(c).cast("int").alias(c) for c in ("bos_id", "pad_id", "eos_id", "unk_id")], "valid")
+
+
+@query(f"WITH {V.RECORDS}, f AS (SELECT role, failure, count(*) AS n FROM records WHERE failure <> 'none' GROUP BY ALL) SELECT '| role | failure | n |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || role || ' | ' || failure || ' | ' || n || ' |', chr(10) ORDER BY role, failure) AS table_text FROM f")
+def failure_table(spark, d):
+    failed = E.failure_counts(D.failed_records(V.records(spark, d)), ["role"])
+    return D.markdown_table(failed, ["role", "failure", "n"], ["role", "failure"]).withColumnRenamed("table", "table_text")
+
+
+@query(f"WITH {V.RECORDS}, r AS (SELECT *, failure <> 'empty_ground_truth' AS s FROM records) SELECT role AS dataset, 'all' AS split, count(*) AS total, count(*) FILTER (WHERE s) AS scored, round(coalesce(CAST(count(*) FILTER (WHERE exact AND s) AS DOUBLE) / nullif(count(*) FILTER (WHERE s), 0), 0), 9) AS exact_match_rate, round(coalesce(avg(cer) FILTER (WHERE s), 0), 9) AS mean_cer FROM r GROUP BY role")
+def report_rows(spark, d):
+    sums = E.summarize(V.records(spark, d), ["role"])
+    reports = sums.select(F.col("role").alias("dataset"), F.lit("all").alias("split"), F.struct(*[c for c in sums.columns if c != "role"]).alias("summary"))
+    out = D.flatten_reports(reports)
+    return out.select("dataset", "split", "total", "scored", F.round("exact_match_rate", 9).alias("exact_match_rate"), F.round("mean_cer", 9).alias("mean_cer"))

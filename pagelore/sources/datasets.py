@@ -74,15 +74,24 @@ def load_cases(spark: SparkSession, path: str, limit: int) -> DataFrame:
 MANIFEST = "schema_version int, id string, family string, version string, languages array<string>, files array<struct<name:string,role:string,sha256:string,size_bytes:bigint,source_url:string>>"
 
 
-def load_model_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """id and the files of manifests of version 1; bare names and digests are required."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def manifest_files(rows: DataFrame) -> DataFrame:
+    """id and the files of parsed manifests of version 1; bare names and digests are required."""
     version = F.when(F.col("schema_version") == 1, F.col("id")).otherwise(F.raise_error(F.lit("unknown manifest version")))
     files = rows.select(version.alias("id"), F.explode("files").alias("f")).select("id", "f.*")
     good = X.is_model_file_name(F.col("name")) & X.is_sha256(F.col("sha256"))
     return files.withColumn("name", F.when(good, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("bad file: "), F.coalesce("name", F.lit("none"))))))
 
 
+def load_model_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """manifest_files of the JSON files of a folder."""
+    return manifest_files(spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path))
+
+
+def parse_manifests(rows: DataFrame, column: str) -> DataFrame:
+    """manifest_files of manifests that lie in a column as JSON."""
+    return manifest_files(rows.select(F.from_json(column, MANIFEST, {"mode": "FAILFAST"}).alias("m")).select("m.*"))
+
+
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """index (from 1; 0 is the blank), letter: lines of a character file, trimmed, empty ones left out."""
     lines = numbered_lines(spark, path).select("line_no", F.trim("line").alias("letter")).where("letter <> ''")
