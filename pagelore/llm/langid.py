@@ -18,6 +18,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ UND = "und"
 #: Words longer than this are summed one by one, in logarithms, and not kept: the same sums by another road.
 LONG = 64
 #: Bytes of the table of words that a worker keeps (there are two generations), words in it, languages at most.
-TABLE_BYTES, TABLE_WORDS, MOST_LANGUAGES = 64 << 20, 125_000, 256
+TABLE_BYTES, TABLE_WORDS, MOST_LANGUAGES = 64 << 20, 150_000, 256
 
 
 def words_of(text: str) -> list[str]:
@@ -46,8 +47,39 @@ def words_of(text: str) -> list[str]:
     return [part for word in found for part in ((word,) if word.isalpha() else LETTERS.findall(word))]
 
 
+class Edges(NamedTuple):
+    """Pieces in words, in order of the depth of their ends: those of depth d lie from bounds[d - 1] to bounds[d]; first and last are the words' outer places."""
+
+    word: np.ndarray
+    source: np.ndarray
+    target: np.ndarray
+    row: np.ndarray
+    bounds: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    spelled: list[str]
+
+    def ahead(self, p: np.ndarray) -> np.ndarray:
+        """Sums over all ways from a word's first place to each place; p: edges x languages."""
+        sums = np.zeros((int(self.last[-1]) + 1, p.shape[1]))
+        sums[self.first] = 1.0
+        for a, z in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
+            target = self.target[a:z]
+            heads = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            sums[target[heads]] = np.add.reduceat(sums[self.source[a:z]] * p[a:z], heads)
+        return sums
+
+    def back(self, q: np.ndarray) -> np.ndarray:
+        """Sums over all ways from each place to its word's last; q: one number an edge."""
+        sums = np.zeros(int(self.last[-1]) + 1)
+        sums[self.last] = 1.0
+        for a, z in zip(self.bounds[-2::-1].tolist(), self.bounds[:0:-1].tolist(), strict=True):
+            sums[self.source[a:z]] += sums[self.target[a:z]] * q[a:z]  # pieces that end at one place begin at different ones
+        return sums
+
+
 class Pieces:
-    """The vocabulary: piece -> row. A character that is no piece is spelled by its bytes."""
+    """The vocabulary: piece -> row, and its trie as arrays. A character that is no piece is spelled by its bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -57,43 +89,62 @@ class Pieces:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.size = model.get_piece_size()
         self.longest = max(map(len, self.rows))
+        #: piece -> its row, and -1 for what only ends a piece: where a look-up finds nothing, nothing longer will do
         self.back = {piece[n:]: -1 for piece in self.rows for n in range(1, len(piece))} | self.rows
-        #: piece -> its row, and -1 for what only begins a piece: where a look-up finds nothing, nothing longer will do
-        self.trie = {piece[:n]: -1 for piece in self.rows for n in range(1, len(piece))} | self.rows
-
-    def prefix_edges(self, words: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[int], list[str]]:
-        """Edges (place, from, row) by depth over the prefixes of sorted words, the place where each word ends, and the spelled characters.
-
-        Words that begin alike share their places, so that a prefix is summed once. Rows from `size` on are the spelled characters.
-        """
-        get, count, path, before, ends = self.back.get, 1, [0], "", []
-        levels: list[list[tuple[int, int, int]]] = [[]]
-        spelled: dict[str, int] = {}
-        for word in words:
-            text = MARK + word
-            n, c = len(text), 0
-            for a, b in zip(text, before, strict=False):
-                if a != b:
-                    break
-                c += 1
-            del path[c + 1 :]
-            while len(levels) <= n:
-                levels.append([])
-            for j in range(c + 1, n + 1):
-                path.append(count)
-                add = levels[j].append
-                for i in range(j - 1, -1, -1):
-                    if (row := get(text[i:j])) is None:
-                        break
-                    if row >= 0:
-                        add((count, path[i], row))
-                if self.rows.get(text[j - 1]) is None:
-                    add((count, path[j - 1], spelled.setdefault(text[j - 1], self.size + len(spelled))))
-                count += 1
-            ends.append(path[n])
-            before = text
-        levels[0].append((count, 0, 0))
-        return levels, ends, list(spelled)
+        begins = {piece[:n] for piece in self.rows for n in range(1, len(piece) + 1)}
+        node = {"": 0} | {text: k + 1 for k, text in enumerate(sorted(begins))}
+        #: code points of the pieces; steps of the trie (node and letter in one number, sorted), where they lead, and the row of each node
+        self.letters = np.array(sorted({ord(c) for c in "".join(self.rows)}), np.int64)
+        step = sorted((node[text[:-1]] * len(self.letters) + int(np.searchsorted(self.letters, ord(text[-1]))), at) for text, at in node.items() if text)
+        self.steps, self.leads = (np.array(x, np.int64) for x in zip(*step, strict=True))
+        self.row_of = np.full(len(node), -1)
+        for piece, row in self.rows.items():
+            self.row_of[node[piece]] = row
+
+    def edges(self, words: list[str]) -> Edges:
+        """Every piece at every place of the marked words, found by walking the trie from all places at once."""
+        texts = [MARK + word for word in words]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(texts)), lengths)
+        first = np.cumsum(lengths) - lengths
+        letter = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        letter[self.letters[letter] != codes] = -1
+        left = (first + lengths)[word] - np.arange(len(codes))  # letters from here to the word's end
+        at, node, sources, sizes, rows = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], [], []
+        alone = np.zeros(len(codes), bool)
+        for size in range(1, self.longest + 1):
+            good = left[at] >= size
+            at, node = at[good], node[good]
+            own = letter[at + size - 1]
+            key = node * len(self.letters) + own
+            found = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            good = (self.steps[found] == key) & (own >= 0)
+            at, node = at[good], self.leads[found[good]]
+            if not at.size:
+                break
+            row = self.row_of[node]
+            whole = row >= 0
+            sources.append(at[whole])
+            sizes.append(np.full(len(sources[-1]), size))
+            rows.append(row[whole])
+            if size == 1:
+                alone[at[whole]] = True
+        odd = np.flatnonzero(~alone)
+        spelled, which = np.unique(codes[odd], return_inverse=True)
+        start, wide, row = (np.concatenate(x) for x in ((*sources, odd), (*sizes, np.ones(len(odd), np.int64)), (*rows, self.size + which)))
+        # a word of n letters has n + 1 places
+        source, target = start + word[start], start + word[start] + wide
+        depth = start - first[word[start]] + wide
+        order = np.lexsort((target, depth))
+        depth = depth[order]
+        bounds = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if depth.size else 0) + 2))
+        return Edges(word[start][order], source[order], target[order], row[order], bounds, first + np.arange(len(texts)), first + lengths + np.arange(len(texts)), [chr(c) for c in spelled.tolist()])
+
+    def with_spelled(self, p: np.ndarray, spelled: list[str]) -> np.ndarray:
+        """p (rows x languages) with a row for each spelled character: the product of its bytes'."""
+        extra = [p[[self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]].prod(0) for c in spelled]
+        return np.concatenate([p, np.array(extra)]) if extra else p
 
     def into(self, text: str, j: int) -> list[tuple[int, list[int]]]:
         """(start, rows) of each piece that ends at place j of a marked word; a spelled character has the rows of its bytes."""
@@ -131,63 +182,6 @@ class Pieces:
                 back[i] = np.logaddexp(back[i], back[j] + one)
                 np.add.at(counts, rows, n * np.exp(ahead[i] + one + back[j] - ahead[size]))
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """word, from, to, row of every piece in every word; lengths. A spelled character has one edge a byte, through places of its own."""
-        out, lengths = [], []
-        get, add = self.trie.get, out.append
-        for k, word in enumerate(words):
-            text = MARK + word
-            n = len(text)
-            spare = n
-            for i in range(n):
-                single = get(text[i]) is not None and self.trie[text[i]] >= 0
-                for j in range(i + 1, n + 1):
-                    if (row := get(text[i:j])) is None:
-                        break
-                    if row >= 0:
-                        add((k, i, j, row))
-                if not single:
-                    data = text[i].encode("utf-8", "surrogatepass")
-                    at = i
-                    for b in data[:-1]:
-                        spare += 1
-                        add((k, at, spare, self.bytes[b]))
-                        at = spare
-                    add((k, at, i + 1, self.bytes[data[-1]]))
-            lengths.append((n, spare))
-        flat = np.array(out, np.int64).reshape(-1, 4)
-        return flat[:, 0], flat[:, 1], flat[:, 2], flat[:, 3], np.array(lengths, np.int64).reshape(-1, 2)
-
-
-def forward(p: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray, size: tuple[int, int], steps: list[np.ndarray]) -> np.ndarray:
-    """Sums over all paths from place 0 to each place. p: edges x languages; steps: groups of edges in walking order."""
-    sums = np.zeros((*size, p.shape[1]))
-    sums[:, 0] = 1.0
-    for edges in steps:
-        np.add.at(sums, (word[edges], end[edges]), sums[word[edges], start[edges]] * p[edges])
-    return sums
-
-
-def walking_order(start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> list[np.ndarray]:
-    """Groups of edges such that every edge into a place is walked before any edge out of it.
-
-    Places 0..n are letters; places above n belong to the spelling of one character, and are walked in turn
-    right before the place that the spelling leads to.
-    """
-    key = np.empty(len(start), np.int64)
-    spelled = (start > letters) | (end > letters)
-    key[~spelled] = start[~spelled] * 8 + 7
-    # a spelling's edges follow each other: i -> s1 -> s2 -> i + 1, all walked after the edges into i and before those out of i + 1
-    at, base = 0, 0
-    for e in np.flatnonzero(spelled).tolist():
-        if start[e] <= letters[e]:
-            at, base = 0, int(start[e])
-        key[e] = base * 8 + at
-        at += 1
-    groups = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.diff(key[groups])) + 1
-    return np.split(groups, cuts) if len(groups) else []
-
 
 class Model:
     """Log probabilities by language; words are scored in batches and kept, a bounded number of them."""
@@ -201,18 +195,8 @@ class Model:
         self.older, self.older_table = {}, self.table
 
     def word_logs(self, words: list[str]) -> np.ndarray:
-        order = sorted(range(len(words)), key=words.__getitem__)
-        levels, ends, spelled = self.pieces.prefix_edges([words[k] for k in order])
-        extra = [self.p[[self.pieces.bytes[b] for b in c.encode("utf-8", "surrogatepass")]].prod(0) for c in spelled]
-        p = np.concatenate([self.p, np.array(extra)]) if extra else self.p
-        sums = np.zeros((levels[0][0][0], p.shape[1]))
-        sums[0] = 1.0
-        for edges in filter(None, levels[1:]):  # the places of a depth have their edges side by side
-            flat = np.array(edges, np.int64)
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(flat[:, 0]) != 0]))
-            sums[flat[heads, 0]] = np.add.reduceat(sums[flat[:, 1]] * p[flat[:, 2]], heads)
-        done = np.empty((len(words), p.shape[1]))
-        done[order] = sums[ends]
+        edges = self.pieces.edges(words)
+        done = edges.ahead(self.pieces.with_spelled(self.p, edges.spelled)[edges.row])[edges.last]
         with np.errstate(divide="ignore"):
             out = np.log(done)
         for k in np.flatnonzero((done < 1e-290).any(1)).tolist():  # too small for plain numbers
@@ -285,21 +269,20 @@ def expected_counts(pieces: Pieces, p: np.ndarray, lang: np.ndarray, words: list
     for part in np.split(short, range(4096, len(short), 4096)):
         if not part.size:
             continue
-        word, start, end, row, lengths = pieces.edges([words[k] for k in part])
-        own, m = lang[part], n[part]
-        size = (len(own), int(lengths.max()) + 1)
-        q = p[row, own[word]][:, None]
-        steps = walking_order(start, end, lengths[word, 0])
-        ahead = forward(q, word, start, end, size, steps)[:, :, 0]
-        back = np.zeros(size)
-        back[np.arange(len(own)), lengths[:, 0]] = 1.0
-        for edges in reversed(steps):
-            np.add.at(back, (word[edges], start[edges]), back[word[edges], end[edges]] * q[edges, 0])
-        total = ahead[np.arange(len(own)), lengths[:, 0]]
+        edges = pieces.edges([words[k] for k in part])
+        own = lang[part][edges.word]
+        q = pieces.with_spelled(p, edges.spelled)[edges.row, own]
+        ahead, back = edges.ahead(q[:, None])[:, 0], edges.back(q)
+        total = ahead[edges.last]
         good = total > 1e-290
         slow += part[~good].tolist()  # too small for plain numbers
-        share = np.divide(m, total, out=np.zeros(len(own)), where=good)
-        np.add.at(counts, (row, own[word]), ahead[word, start] * q[:, 0] * back[word, end] * share[word])
+        share = np.divide(n[part], total, out=np.zeros(len(part)), where=good)
+        uses = ahead[edges.source] * q * back[edges.target] * share[edges.word]
+        plain = edges.row < pieces.size
+        np.add.at(counts, (edges.row[plain], own[plain]), uses[plain])
+        for row, k, use in zip(edges.row[~plain].tolist(), own[~plain].tolist(), uses[~plain].tolist(), strict=True):
+            for b in edges.spelled[row - pieces.size].encode("utf-8", "surrogatepass"):
+                counts[pieces.bytes[b], k] += use
     logs = np.log(p) if slow else p
     for k in slow:
         pieces.long_counts(words[k], logs[:, lang[k]], n[k], counts[:, lang[k]])
