@@ -225,20 +225,25 @@ def _escaped(text: str, at: int) -> bool:
     return n % 2 == 1
 
 
-def _group_end(text: str, start: int) -> int | None:
-    """Where the group that holds the place ends."""
-    level = 0
-    for m in _MARKS.finditer(text, start):
-        if m[0] != "\\" and not _escaped(text, m.start()):
-            level += 1 if m[0] == "{" else -1
-            if level < 0:
-                return m.start()
-    return None
+def _group_ends(text: str) -> dict[int, int]:
+    """Where the group that holds each \\left and \\right ends, in one pass; those of no group that ends are left out."""
+    groups, ends, holds, fresh = [0], {}, {}, 1
+    for m in _MARKS.finditer(text):
+        i = m.start()
+        if m[0] == "\\":
+            holds[i] = groups[-1]
+        elif not _escaped(text, i):
+            if m[0] == "}":
+                ends[groups.pop()] = i
+            if m[0] == "{" or not groups:  # a brace too many ends what is outside of all groups, and something new begins
+                groups.append(fresh)
+                fresh += 1
+    return {i: ends[g] for i, g in holds.items() if g in ends}
 
 
 def _pair_right_commands(text: str) -> str:
     """Where \\left and its \\right lie at different brace depths, \\right and its delimiter move to the end of \\left's group."""
-    depth, opened, moves, at = 0, [], [], 0
+    depth, opened, moves, at, ends = 0, [], [], 0, None
     while m := _MARKS.search(text, at):
         i = m.start()
         at = i + 1
@@ -255,8 +260,10 @@ def _pair_right_commands(text: str) -> str:
             at = i + 7
             if opened:
                 start, level = opened.pop()
-                if level != depth and (end := _group_end(text, start)) is not None:
-                    moves.append((i, end))
+                if level != depth:
+                    ends = _group_ends(text) if ends is None else ends
+                    if start in ends:
+                        moves.append((i, ends[start]))
     for i, target in sorted(moves, reverse=True):
         if i + 7 <= len(text):
             part, rest = text[i : i + 7], text[:i] + text[i + 7 :]
