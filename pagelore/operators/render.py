@@ -70,6 +70,35 @@ def json_item(kind: Column, text: Column, score: Column, box: Column, latex: Col
     return F.to_json(F.struct(*fields, *([latex.alias("latex")] if latex is not None else [])))
 
 
+def output_item(*, found_score: Column, polygon: Column, text: Column, text_score: Column, latex: Column, eos_index: Column, truncated: Column) -> Column:
+    """A region as a struct of an output document; null for a region with neither text nor formula.
+
+    A formula's text is its LaTeX, its score the detector's (found_score, 0 if there is none). Written as JSON, what is null is left out.
+    """
+    formula = latex.isNotNull()
+    box = F.transform(polygon, lambda p: F.array(p["x"], p["y"]))
+    fields = [
+        box.alias("box"), F.when(formula, latex).otherwise(text).alias("txt"), F.when(formula, F.coalesce(found_score, F.lit(0.0))).otherwise(text_score).alias("score"),
+        F.when(formula, "formula").otherwise("text").alias("kind"), latex.alias("latex"), F.when(formula, eos_index).alias("eos_index"), F.when(formula, truncated).alias("truncated"),
+    ]
+    return F.when(formula | text.isNotNull(), F.struct(*fields))
+
+
+def page_documents(items: DataFrame, *, page: str, at: list[str], rid: str, item: str) -> DataFrame:
+    """page, document: one JSON object a page, with text (lines in the order of `at`), items (by rid) and formulas (in that order, with their region)."""
+    rows = items.where(F.col(item).isNotNull()).select(page, F.struct(*at).alias("at"), F.col(rid).alias("rid"), F.col(item).alias("item"))
+    pages = rows.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("at", "rid", "item"))).alias("read"), F.array_sort(F.collect_list(F.struct("rid", "item"))).alias("given"))
+    formulas = F.transform(F.filter("read", lambda r: r["item"]["kind"] == "formula"), lambda r: F.struct(r["rid"].alias("region"), r["item"]["latex"].alias("latex")))
+    text = F.array_join(F.transform("read", lambda r: r["item"]["txt"]), "\n")
+    return pages.select(page, F.to_json(F.struct(text.alias("text"), F.transform("given", lambda r: r["item"]).alias("items"), formulas.alias("formulas"))).alias("document"))
+
+
+def formula_json(latex: Column, eos_index: Column, truncated: Column, model: Column, elapsed_ms: Column, batch: Column, token_ids: Column | None = None) -> Column:
+    """A formula's result as JSON; every field is there, null or not, and the tokens if they are asked for."""
+    fields = {"latex": latex, "eos_index": eos_index, "truncated": truncated, "model_id": model, "elapsed_ms": elapsed_ms, "batch_size": batch} | ({"token_ids": token_ids} if token_ids is not None else {})
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
 def json_bounded(json: Column, limit: int) -> Column:
     """struct<json,bytes,too_large>: null beyond the limit."""
     n = F.octet_length(json)

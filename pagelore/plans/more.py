@@ -779,3 +779,26 @@ def report_rows(spark, d):
     reports = sums.select(F.col("role").alias("dataset"), F.lit("all").alias("split"), F.struct(*[c for c in sums.columns if c != "role"]).alias("summary"))
     out = D.flatten_reports(reports)
     return out.select("dataset", "split", "total", "scored", F.round("exact_match_rate", 9).alias("exact_match_rate"), F.round("mean_cer", 9).alias("mean_cer"))
+
+
+# --- output documents
+
+_ITEM = """'{"box":[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || ']],"txt":"' || t || '","score":' || CASE WHEN class_id = 2 THEN CASE WHEN rid % 2 = 0 THEN '0.0' ELSE CAST(score AS VARCHAR) END ELSE CAST(y0 / 64 AS VARCHAR) END || ',"kind":"' || CASE WHEN class_id = 2 THEN 'formula","latex":"' || t || '"' || CASE WHEN rid % 3 > 0 THEN ',"eos_index":' || (rid % 3) ELSE '' END || ',"truncated":' || CASE WHEN rid % 3 = 0 THEN 'true' ELSE 'false' END ELSE 'text"' END || '}'"""
+
+
+@query(f"""WITH {V.REGIONS}, t AS (SELECT *, CASE WHEN class_id = 2 THEN 'x^' || text ELSE text END AS t FROM regions WHERE NOT (class_id = 1 AND rid % 4 = 0)), i AS (SELECT *, {_ITEM} AS item FROM t)
+SELECT page, '{{"text":"' || string_agg(t, '\\n' ORDER BY y0, rid) || '","items":[' || string_agg(item, ',' ORDER BY rid) || '],"formulas":[' || coalesce(string_agg('{{"region":' || rid || ',"latex":"' || t || '"}}', ',' ORDER BY y0, rid) FILTER (WHERE class_id = 2), '') || ']}}' AS document FROM i GROUP BY page""")
+def page_documents(spark, d):
+    rid, formula = F.col("rid"), F.col("class_id") == 2
+    item = R.output_item(
+        found_score=F.when(rid % 2 != 0, F.col("score")), polygon=G.box_quad(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))), text=F.when(~formula & ~((F.col("class_id") == 1) & (rid % 4 == 0)), F.col("text")), text_score=F.col("y0") / 64,
+        latex=F.when(formula, F.concat(F.lit("x^"), F.col("text"))), eos_index=F.when(rid % 3 > 0, rid % 3), truncated=rid % 3 == 0,
+    )
+    return R.page_documents(V.regions(spark, d).withColumn("item", item), page="page", at=["y0", "rid"], rid="rid", item="item")
+
+
+@query("SELECT doc_id, '{\"latex\":\"x_' || doc_id || '\",\"eos_index\":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE CAST(doc_id % 40 AS VARCHAR) END || ',\"truncated\":' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END || ',\"model_id\":\"m\",\"elapsed_ms\":' || (doc_id % 9) || ',\"batch_size\":8,\"token_ids\":[0,' || doc_id || ']}' AS json FROM documents")
+def formula_json(spark, d):
+    i, cut = F.col("doc_id"), F.col("doc_id") % 3 == 0
+    json = R.formula_json(F.concat(F.lit("x_"), i.cast("string")), F.when(~cut, i % 40), cut, F.lit("m"), i % 9, F.lit(8), F.array(F.lit(0).cast("long"), i))
+    return V.table(spark, d, "documents").select("doc_id", json.alias("json"))
