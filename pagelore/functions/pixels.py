@@ -74,19 +74,29 @@ def oriented(image: np.ndarray, orientation: int | None) -> np.ndarray:
 
 
 def resize_linear(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear with half-pixel centres; exact halving averages two by two with rounding."""
+    """Bilinear with half-pixel centres in whole numbers: weights of 11 bits, 4 bits dropped between rows and columns. Exact halving averages two by two with rounding."""
     h, w = image.shape[:2]
+    if (h, w) == (height, width):
+        return image
+    a = image.astype(np.int64)
     if (h, w) == (2 * height, 2 * width):
-        a = image.astype(np.int64)
         return ((a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2] + 2) >> 2).astype(np.uint8)
-    place = lambda n, m: np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
-    y, x = place(h, height), place(w, width)
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-    a = image.astype(float)
-    top, low = a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx, a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx
-    return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
+
+    def places(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        at = ((np.arange(m) + 0.5) * (1.0 / (m / n)) - 0.5).astype(np.float32)
+        return np.floor(at).astype(np.int64), at - np.floor(at)
+
+    def weights(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.rint(f * np.float32(2048)).astype(np.int64) for f in (np.float32(1) - part, part))
+
+    x, fx = places(w, width)
+    fx[(x < 0) | (x >= w - 1)] = 0
+    x = np.clip(x, 0, w - 1)
+    (a0, a1), (y, fy) = weights(fx), places(h, height)
+    rows = (a[:, x] * a0[:, None] + a[:, np.minimum(x + 1, w - 1)] * a1[:, None]) >> 4
+    b0, b1 = (b[:, None, None] for b in weights(fy))
+    out = ((b0 * rows[np.clip(y, 0, h - 1)] >> 16) + (b1 * rows[np.clip(y + 1, 0, h - 1)] >> 16) + 2) >> 2
+    return np.clip(out, 0, 255).astype(np.uint8)
 
 
 def reduce_box(image: np.ndarray, step_x: int, step_y: int) -> np.ndarray:
@@ -99,14 +109,13 @@ def reduce_box(image: np.ndarray, step_x: int, step_y: int) -> np.ndarray:
 
 
 def size_within(width: int, height: int, least: int, most: int) -> tuple[int, int]:
-    """Sides in bounds, as multiples of 32 with halves to even."""
-    scale = 1.0
-    if max(width, height) > most:
-        scale = most / max(width, height)
-    if min(width, height) * scale < least:
-        scale = least / min(width, height)
-    side = lambda n: max(32, int(np.rint(n * scale / 32) * 32))
-    return (side(width), side(height)) if scale != 1.0 else (width, height)
+    """Sides in bounds: the longest down to `most`, then the shortest up to `least`; what is changed goes to multiples of 32, halves to even."""
+    for bound, wrong, which in ((most, lambda: max(width, height) > most, max), (least, lambda: min(width, height) < least, min)):
+        if wrong():
+            ratio = np.float32(bound) / np.float32(which(width, height))
+            side = lambda n: max(32, int(np.rint(np.float32(int(np.float32(n) * ratio)) / np.float32(32))) * 32)  # noqa: B023, E731
+            width, height = side(width), side(height)
+    return width, height
 
 
 def normalized(image: np.ndarray, mean: float | list[float], std: float | list[float]) -> np.ndarray:
@@ -150,9 +159,11 @@ def crop_margin(image: np.ndarray, limit: float = 200.0) -> np.ndarray:
 
 
 def stretch_contrast(image: np.ndarray) -> np.ndarray:
-    y = image.astype(float) @ np.array([0.114, 0.587, 0.299])
-    low, high = y.min(), y.max()
-    return image if high <= low else np.clip(np.rint((image - low) * 255.0 / (high - low)), 0, 255).astype(np.uint8)
+    """Channels (blue, green, red) stretched so that the least and largest whole-number luma become 0 and 255; halves go up."""
+    single = image.astype(np.float32)
+    y = np.floor(np.float32(0.114) * single[..., 0] + np.float32(0.587) * single[..., 1] + np.float32(0.299) * single[..., 2] + np.float32(0.5)).astype(np.int64)
+    low, wide = int(y.min()), max(1, int(y.max()) - int(y.min()))
+    return np.clip(np.floor(np.maximum(image.astype(np.int64) - low, 0).astype(np.float32) * np.float32(255) / np.float32(wide) + np.float32(0.5)), 0, 255).astype(np.uint8)
 
 
 def threshold_mask(values: np.ndarray, limit: float) -> np.ndarray:
@@ -269,35 +280,59 @@ def detect_boxes(
 
 #: Filters of resampling: reach in source pixels, and weight at a distance.
 FILTERS = {
-    "box": (0.5, lambda x: (np.abs(x) <= 0.5) * 1.0),
+    "box": (0.5, lambda x: ((x > -0.5) & (x <= 0.5)) * 1.0),
     "linear": (1.0, lambda x: np.maximum(1 - np.abs(x), 0)),
     "cubic": (2.0, lambda x: np.where(np.abs(x) < 1, (1.5 * np.abs(x) - 2.5) * x**2 + 1, np.where(np.abs(x) < 2, ((-0.5 * np.abs(x) + 2.5) * np.abs(x) - 4) * np.abs(x) + 2, 0))),
     "lanczos": (3.0, lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)),
 }
 
 
-def resample(image: np.ndarray, width: int, height: int, kind: str = "linear") -> np.ndarray:
-    """Separable resampling whose filter widens as the image shrinks; rows first, rounded between."""
+def resample(image: np.ndarray, width: int, height: int, kind: str = "linear", box: tuple[float, float, float, float] | None = None) -> np.ndarray:
+    """Separable resampling of a box (x0, x1, y0, y1; the whole image) whose filter widens as the image shrinks; rows first, in whole numbers with weights of 22 bits."""
+    x0, x1, y0, y1 = box or (0.0, float(image.shape[1]), 0.0, float(image.shape[0]))
+    if (height, width) == image.shape[:2] and (x0, x1, y0, y1) == (0.0, image.shape[1], 0.0, image.shape[0]):
+        return image
 
-    def weights(n: int, m: int) -> np.ndarray:
+    def weights(n: int, start: float, end: float, m: int) -> np.ndarray:
         reach, f = FILTERS[kind]
-        scale = max(n / m, 1.0)
-        centre = (np.arange(m) + 0.5) * n / m
-        at = (np.arange(n)[None, :] + 0.5 - centre[:, None]) / scale
-        w = np.where(np.abs(at) <= reach, f(at), 0.0)
-        return w / w.sum(1, keepdims=True)
-
-    across = np.clip(np.rint(np.einsum("ij,hjc->hic", weights(image.shape[1], width), image.astype(float))), 0, 255)
-    return np.clip(np.rint(np.einsum("ij,jwc->iwc", weights(image.shape[0], height), across)), 0, 255).astype(np.uint8)
+        scale = (end - start) / m
+        wide = max(scale, 1.0)
+        centre = (start + (np.arange(m) + 0.5) * scale)[:, None]
+        first = np.maximum(np.trunc(centre - reach * wide + 0.5), 0)
+        last = np.minimum(np.trunc(centre + reach * wide + 0.5), n)
+        at = np.arange(n)[None, :]
+        w = np.where((at >= first) & (at < last), f((at - centre + 0.5) / wide), 0.0)
+        total = w.sum(1, keepdims=True)
+        w = np.divide(w, total, out=w, where=total != 0)
+        return np.trunc(w * (1 << 22) + np.copysign(0.5, w)).astype(np.int64)
+
+    rounded = lambda sums: np.clip((sums + (1 << 21)) >> 22, 0, 255)
+    across = rounded(np.einsum("ij,hjc->hic", weights(image.shape[1], x0, x1, width), image.astype(np.int64)))
+    return rounded(np.einsum("ij,jwc->iwc", weights(image.shape[0], y0, y1, height), across)).astype(np.uint8)
+
+
+def thumbnail_size(width: int, height: int, most_width: int, most_height: int) -> tuple[int, int] | None:
+    """The size that fits a box with the shape kept as nearly as whole sides can; None if the image fits as it is."""
+    if most_width >= width and most_height >= height:
+        return None
+    shape, x, y = width / height, float(most_width), float(most_height)
+    nearest = lambda v, error: max(1.0, min((np.floor(v), np.ceil(v)), key=error))
+    if x / y >= shape:
+        x = nearest(y * shape, lambda n: abs(shape - n / y))
+    else:
+        y = nearest(x / shape, lambda n: abs(shape - x / n) if n else 0.0)
+    return int(x), int(y)
 
 
 def thumbnail(image: np.ndarray, width: int, height: int, kind: str = "cubic") -> np.ndarray:
-    """The image as large as fits, its shape kept; never enlarged."""
+    """The image as large as fits, its shape kept; never enlarged. Boxes of whole pixels are averaged first where it shrinks fourfold or more."""
     h, w = image.shape[:2]
-    if w <= width and h <= height:
+    size = thumbnail_size(w, h, width, height)
+    if size is None or size == (w, h):
         return image
-    scale = min(width / w, height / h)
-    return resample(image, max(1, round(w * scale)), max(1, round(h * scale)), kind)
+    step_x, step_y = (max(1, int(n / m / 2)) for n, m in ((w, size[0]), (h, size[1])))
+    small = reduce_box(image, step_x, step_y) if step_x > 1 or step_y > 1 else image
+    return resample(small, *size, kind, (0.0, w / step_x, 0.0, h / step_y))
 
 
 def cubic_weights(parts: int = 32, scale: int = 1 << 15, a: float = -0.75) -> np.ndarray:
@@ -348,10 +383,11 @@ def perspective_crop(image: np.ndarray, quad: list[tuple[float, float]], cubic:
     m = np.array(homography_of([(0, 0), (width, 0), (width, height), (0, height)], quad)).reshape(3, 3)
     ys, xs = np.mgrid[0:height, 0:width].astype(float)
     u, v, w = np.einsum("ij,jhw->ihw", m, np.stack([xs, ys, np.ones_like(xs)]))
-    u, v = np.clip(u / w, 0, image.shape[1] - 1), np.clip(v / w, 0, image.shape[0] - 1)
+    u, v = u / w, v / w
     if cubic:
         out = sample_cubic(image, u, v)
         return np.rot90(out) if height / width >= 1.5 else out
+    u, v = np.clip(u, 0, image.shape[1] - 1), np.clip(v, 0, image.shape[0] - 1)
     x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
     x1, y1 = np.minimum(x0 + 1, image.shape[1] - 1), np.minimum(y0 + 1, image.shape[0] - 1)
     fx, fy, a = (u - x0)[..., None], (v - y0)[..., None], image.astype(float)

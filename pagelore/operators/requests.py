@@ -110,6 +110,20 @@ class EngineSettings:
         _require(not unknown, f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**values).check()
 
+    @classmethod
+    def from_text(cls, text: str) -> EngineSettings:
+        """Settings written as YAML, or as JSON where there is no library for YAML."""
+        try:
+            import yaml
+
+            values = yaml.safe_load(text)
+        except ImportError:
+            import json
+
+            values = json.loads(text)
+        _require(isinstance(values, dict), "settings are names and values")
+        return cls.from_dict({k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
     def check(self) -> EngineSettings:
         for name in ("text_score", "detection_threshold", "box_threshold"):
             _share(name, getattr(self, name))

@@ -177,6 +177,13 @@ def test_limits_of_a_service():
         Q.ServiceLimits(body_mb=1 << 50).check()
 
 
+def test_settings_from_text():
+    assert Q.EngineSettings.from_text('{"text_score": 0.4, "line_shape": [3, 32, 100]}').line_shape == (3, 32, 100)
+    for bad in ('{"unknown": 1}', '{"text_score": 2}', "[1]"):
+        with pytest.raises(ValueError):
+            Q.EngineSettings.from_text(bad)
+
+
 def test_cubic_weights_and_batches():
     table = P.cubic_weights()
     assert table.shape == (32, 32, 4, 4) and (table.sum((2, 3)) == 1 << 15).all()
@@ -199,3 +206,38 @@ def test_mapped_sizes_and_first_change(spark):
     text = F.lit("a’b")
     name = one.select(X.first_change(text, {"codes": X.remove_terminal_codes(text), "quotes": X.uncurl_quotes(text), "lines": X.line_breaks(text)})).first()[0]
     assert name == "quotes" and one.select(X.first_change(F.lit("ab"), {"quotes": X.uncurl_quotes(F.lit("ab"))})).first()[0] is None
+
+
+def test_resizing_in_whole_numbers():
+    """Pixel by pixel, with the weights worked out one at a time."""
+    import math
+
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (7, 11, 3), np.uint8)
+    for width, height in ((5, 9), (23, 4), (11, 14), (1, 1)):
+        got = P.resize_linear(image, width, height)
+        for y in range(height):
+            for x in range(width):
+                taps = []
+                for at, n, m in ((x, 11, width), (y, 7, height)):
+                    place = np.float32((at + 0.5) * (1.0 / (m / n)) - 0.5)
+                    first = math.floor(place)
+                    part = np.float32(place - np.float32(first))
+                    if n == 11 and not 0 <= first < n - 1:
+                        part = np.float32(0)
+                    taps.append((min(max(first, 0), n - 1), min(max(first + 1, 0), n - 1), int(np.rint((np.float32(1) - part) * np.float32(2048))), int(np.rint(part * np.float32(2048)))))
+                (xa, xb, wa, wb), (ya, yb, va, vb) = taps
+                if not 0 <= math.floor(np.float32((x + 0.5) * (1.0 / (width / 11)) - 0.5)):
+                    xb = 1
+                for c in range(3):
+                    row = lambda k: (int(image[k, xa, c]) * wa + int(image[k, xb, c]) * wb) >> 4  # noqa: B023, E731
+                    assert got[y, x, c] == min(255, max(0, ((va * row(ya) >> 16) + (vb * row(yb) >> 16) + 2) >> 2))
+    flat = np.full((9, 12, 3), 77, np.uint8)
+    for kind in P.FILTERS:
+        assert (P.resample(flat, 5, 14, kind) == 77).all()
+    assert np.array_equal(P.resample(image, 11, 7), image)
+    assert P.thumbnail_size(400, 300, 100, 100) == (100, 75) and P.thumbnail_size(3, 1000, 50, 50) == (1, 50) and P.thumbnail_size(10, 10, 10, 20) is None
+    assert P.thumbnail(rng.integers(0, 256, (90, 120, 3), np.uint8), 12, 12).shape == (9, 12, 3)
+    assert P.size_within(4000, 1000, 30, 2000) == (1984, 512) and P.size_within(500, 400, 30, 2000) == (500, 400) and P.size_within(5000, 20, 30, 2000) == (1984, 32)
+    dark = np.array([[[10, 10, 10], [30, 30, 30]], [[20, 20, 20], [10, 30, 20]]], np.uint8)
+    assert P.stretch_contrast(dark)[0].tolist() == [[0, 0, 0], [255, 255, 255]] and P.stretch_contrast(dark)[1, 0].tolist() == [128, 128, 128]
