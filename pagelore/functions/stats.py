@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
+def shared(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of df, for readers that read them more than once and whose values are dear to compute.
+
+    Equal rows are counted and then spread again. All grouping columns are part of that exchange, whatever a reader
+    needs of them, and no reader's filter gets below it, since each value hangs on the spreading; so the exchange's plan is
+    the same for every reader, and Spark makes it once.
+    """
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("how often"))
+    rows = counted.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("how often").cast("int"))).alias("one"))
+    return rows.select(*[F.when(F.col("one") == 1, F.col(c)).alias(c) for c in columns])
+
+
 def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
     """by, n, and a column for each of ranks: the value at that rank (from 0), exactly. ranks: name -> (share of n near it, rank from n).
 

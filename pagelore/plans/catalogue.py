@@ -59,7 +59,7 @@ _RATES = """count(*) AS total, count(*) FILTER (WHERE s) AS scored, CAST(0 AS BI
 
 @query(f"WITH {V.RECORDS}, r AS (SELECT *, failure <> 'empty_ground_truth' AS s FROM records) SELECT role, {_RATES}, round(coalesce(avg(cer) FILTER (WHERE s), 0), 9) AS mean_cer, round(quantile_cont(cer, 0.5), 9) AS cer_p50, round(quantile_cont(cer, 0.95), 9) AS cer_p95 FROM r GROUP BY role")
 def summary_by_role(spark, d):
-    records = V.records(spark, d)
+    records = S.shared(V.records(spark, d), ["role", "failure", "exact", "normalized", "truncated", "cer"])
     out = S.with_quantiles(E.summarize(records, ["role"]), records, ["role"], "cer", {"cer_p50": 0.5, "cer_p95": 0.95})
     return out.withColumns({c: F.round(c, 9) for c in ("mean_cer", "cer_p50", "cer_p95")})
 

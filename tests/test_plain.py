@@ -139,6 +139,13 @@ def test_ranks_and_quantiles_of_large_groups(spark):
     assert (whole["e"]["n"], whole["e"]["p50"], whole["e"]["stddev"]) == (0, 0.0, 0.0) and whole["d"]["stddev"] == 0.0
 
 
+def test_dear_values_are_computed_once(spark, data):
+    out = QUERIES["summary_by_role"](spark, data)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("levenshtein") == 1 and "ReusedExchange" in final
+
+
 def test_anchors_that_hold_no_box(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 0, 10.0, 10.0, 4.0, 4.0, [0.2, 0.9]), (1, 1, nan, 10.0, 4.0, 4.0, [0.9, 0.1]), (1, 2, 10.0, 10.0, inf, 4.0, [0.9, 0.1]), (1, 3, 10.0, 10.0, -4.0, 4.0, [0.9, 0.1]), (1, 4, 30.0, 30.0, 4.0, 4.0, [nan, nan]), (1, 5, 30.0, 30.0, 4.0, 4.0, [0.5, 0.5]), (1, 6, 500.0, 10.0, 4.0, 4.0, [0.9, 0.1]), (1, 7, 10.5, 10.0, 4.0, 4.0, [0.1, 0.8]), (1, 8, 10.5, 10.0, 4.0, 4.0, [0.7, 0.1])]
