@@ -260,7 +260,7 @@ def _pair_right_commands(text: str) -> str:
             at = i + 7
             if opened:
                 start, level = opened.pop()
-                if level != depth:
+                if level and level != depth:  # what lies in no group has no end of a group to move to
                     ends = _group_ends(text) if ends is None else ends
                     if start in ends:
                         moves.append((i, ends[start]))

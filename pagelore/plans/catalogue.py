@@ -509,10 +509,14 @@ def latex_environments(spark, d):
     return V.table(spark, d, "documents").select("doc_id", X.balance_environments(F.concat(F.lit(r"\begin{array}{ll} "), word, ends)).alias("latex"))
 
 
-@query()
+@query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{\alpha} \left( {' || w || ' \right) } \uparrow \begin{matrix} x \end{matrix}' WHEN 1 THEN '{\left( {' || w || '  } y } z\right)' ELSE '\begin{cases} \begin{array}{ll} ( { ' || w || ' ) \alpha \uplus \end{array} \end{cases}' END AS latex
+  FROM (SELECT doc_id, replace(text, chr(34), '') AS w FROM documents)""")
 def latex_repair(spark, d):
-    word = F.col("text")
-    latex = F.concat(F.lit(r"\lefteqn{\upalpha} \left( {"), word, F.lit(r" \right) } \uparrow \begin{matrix} x"))
+    """A pair at the top, a pair that moves to the end of its group, and one \\right too few among environments."""
+    word, k = F.col("text"), F.col("doc_id") % 3
+    latex = F.when(k == 0, F.concat(F.lit(r"\lefteqn{\upalpha} \left( {"), word, F.lit(r" \right) } \uparrow \begin{matrix} x")))
+    latex = latex.when(k == 1, F.concat(F.lit(r"{\left( {"), word, F.lit(r" \right) } y } z")))
+    latex = latex.otherwise(F.concat(F.lit(r"\begin{array}{ll} \left( { "), word, F.lit(r" ) \upalpha \uplus \end{array} \end{cases}")))
     return V.table(spark, d, "documents").select("doc_id", X.repair_latex(latex).alias("latex"))
 
 

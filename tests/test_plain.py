@@ -114,8 +114,12 @@ def test_latex_repair_of_every_document(spark, data):
     for i, text in texts.items():
         if set(text) & set("\\{}"):
             continue
-        plain = f"{{\\alpha}} \\left( {{{text}".replace('"', "") + r" \right) } \uparrow \begin{matrix} x \end{matrix}"
-        # \right lies a level below \left, and nothing closes the level of \left: it stays where it is
+        body = text.replace('"', "")
+        plain = (
+            rf"{{\alpha}} \left( {{{body} \right) }} \uparrow \begin{{matrix}} x \end{{matrix}}",  # a pair outside of all groups stays where it is
+            rf"{{\left( {{{body}  }} y }} z\right)",  # seven characters go to where the group ended, counted before they were taken out
+            rf"\begin{{cases}} \begin{{array}}{{ll}} ( {{ {body} ) \alpha \uplus \end{{array}} \end{{cases}}",
+        )[i % 3]
         plain = re.sub("\r\n|[\r  \u0085]", "\n", re.sub("\x1b\\[[0-9;]*[a-zA-Z]", "", plain).translate(table))
         assert got[i] == re.sub(X.CONTROLS, "", unicodedata.normalize("NFC", plain))
         checked += 1
