@@ -306,7 +306,38 @@ def eos_prefix(spark, d):
     return rows.select("line", F.array_join(F.transform("e.prefix", lambda t: t.cast("string")), ",").alias("prefix"), "e.eos_index", "e.truncated")
 
 
-@query()
+def _widest(low: str, high: str) -> str:
+    """The widest gap between merged intervals of the boxes in bs, as {k: -width, i: place, m: middle}; null if there is none."""
+    s = f"list_sort(list_transform(bs, lambda b: {{'a': b.{low}, 'z': b.{high}}}))"
+    reach = f"list_max(list_transform({s}[1 : i - 1], lambda y: y.z))"
+    gaps = f"list_transform(range(2, len(bs) + 1), lambda i: {{'k': {reach} - {s}[i].a, 'i': i, 'm': ({s}[i].a + {reach}) / 2}})"
+    return f"list_sort(list_filter({gaps}, lambda g: g.k < 0))[1]"
+
+
+_PIECE = f"""SELECT *, CASE WHEN -r.k >= 1.5 * med THEN 'y' WHEN -c.k >= greatest(0.5 * med, 2) THEN 'x' WHEN -r.k >= 1 THEN 'y' END AS axis FROM (
+  SELECT page, path, bs, {_widest('y0', 'y1')} AS r, {_widest('x0', 'x1')} AS c, list_sort(list_transform(bs, lambda b: b.y1 - b.y0))[len(bs) // 2 + 1] AS med FROM pc)"""
+_LEAF_FITS = "greatest(least(y.bottom, b.y1) - greatest(y.top, b.y0), 0)"
+_ORDER = f"""{V.REGIONS}, pc AS (
+  SELECT page, '' AS path, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'rid': rid}}) AS bs FROM regions GROUP BY page
+  UNION ALL
+  SELECT page, path || side, CASE WHEN axis = 'y' THEN list_filter(bs, lambda b: CASE WHEN side = '0' THEN b.y1 <= r.m ELSE b.y0 >= r.m END) ELSE list_filter(bs, lambda b: CASE WHEN side = '0' THEN b.x1 <= c.m ELSE b.x0 >= c.m END) END
+  FROM (SELECT *, unnest(['0', '1']) AS side FROM ({_PIECE}) WHERE axis IS NOT NULL)
+), leaf AS (SELECT page, path, unnest(bs) AS b FROM ({_PIECE}) WHERE axis IS NULL
+), lo AS (SELECT page, path, b, row_number() OVER (PARTITION BY page, path ORDER BY b.y0, b.x0, b.rid) AS n FROM leaf
+), lw AS (SELECT page, path, CAST(1 AS BIGINT) AS n, [{{'top': b.y0, 'bottom': b.y1, 'x': b.x0, 'items': [{{'x0': b.x0, 'y0': b.y0, 'rid': b.rid}}]}}] AS k FROM lo WHERE n = 1
+  UNION ALL
+  SELECT page, path, n, CASE WHEN place > 0 THEN list_transform(k, lambda y, i: CASE WHEN i = place THEN {{'top': least(y.top, b.y0), 'bottom': greatest(y.bottom, b.y1), 'x': least(y.x, b.x0), 'items': list_append(y.items, {{'x0': b.x0, 'y0': b.y0, 'rid': b.rid}})}} ELSE y END)
+      ELSE list_append(k, {{'top': b.y0, 'bottom': b.y1, 'x': b.x0, 'items': [{{'x0': b.x0, 'y0': b.y0, 'rid': b.rid}}]}}) END FROM (
+    SELECT *, CASE WHEN list_max(gain) >= 0 THEN list_position(gain, list_max(gain)) ELSE 0 END AS place FROM (
+      SELECT page, path, n, b, k, list_transform(k, lambda y: CASE WHEN {_LEAF_FITS} / greatest(least(y.bottom - y.top, b.y1 - b.y0), 0.0001) >= 0.5 THEN {_LEAF_FITS} ELSE -1 END) AS gain FROM (
+        SELECT lo.page, lo.path, lo.n, lo.b, lw.k FROM lw JOIN lo ON lo.page = lw.page AND lo.path = lw.path AND lo.n = lw.n + 1)))
+), ll AS (SELECT page, path, arg_max(k, n) AS k FROM lw GROUP BY page, path
+), li AS (SELECT page, path, unnest(k) AS y, unnest(range(1, len(k) + 1)) AS seq FROM ll
+), gr AS (SELECT page, y.items AS items, row_number() OVER (PARTITION BY page ORDER BY path, y.top, y.x, seq) - 1 AS grp FROM li
+), rd AS (SELECT page, b.rid AS rid, CAST(grp AS INTEGER) AS grp, CAST(row_number() OVER (PARTITION BY page, grp ORDER BY b.x0, b.y0, b.rid) - 1 AS INTEGER) AS place FROM (SELECT page, grp, unnest(items) AS b FROM gr))"""
+
+
+@query(f"WITH RECURSIVE {_ORDER} SELECT page, rid, grp, place FROM rd")
 def reading_order(spark, d):
     return O.reading_order(V.regions(spark, d), page="page", rid="rid")
 
@@ -438,7 +469,13 @@ def plain_text(spark, d):
     return out.select("conv_id", F.md5(F.col("plain").cast("binary")).alias("plain"))
 
 
-@query()
+_PART = "CASE WHEN class_id = 2 THEN '$$' || chr(10) || 'x^' || text || chr(10) || '$$' || CASE WHEN score > 0.08 THEN chr(10) || chr(10) || '<!-- formula truncated: no EOS token -->' ELSE '' END ELSE text END"
+
+
+@query(f"""WITH RECURSIVE {_ORDER}, pt AS (SELECT page, grp, place, y0, y1, class_id, {_PART} AS part FROM rd JOIN regions USING (page, rid)
+), gp AS (SELECT page, grp, bool_or(class_id = 2) AS formula, string_agg(part, chr(10) ORDER BY place) AS body, string_agg(part, '   ' ORDER BY place) AS line, min(y0) AS top, max(y1) AS bottom FROM pt GROUP BY page, grp
+), bl AS (SELECT page, grp, CASE WHEN top - lag(bottom) OVER w > least(bottom - top, lag(bottom - top) OVER w) * 0.7 THEN chr(10) ELSE '' END || CASE WHEN formula THEN body ELSE line END AS block FROM gp WINDOW w AS (PARTITION BY page ORDER BY grp))
+SELECT page, string_agg(block, chr(10) ORDER BY grp) AS markdown FROM bl GROUP BY page""")
 def reading_markdown(spark, d):
     rows = V.regions(spark, d)
     ordered = O.reading_order(rows, page="page", rid="rid").join(rows, ["page", "rid"])
