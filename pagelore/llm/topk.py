@@ -214,7 +214,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int
     drawn = rows.where(F.pmod(F.xxhash64(place), F.lit(1 << 30)) < -(-wanted * (1 << 30) // total)).select("dim", "vec").toPandas()
     cuts = {}
     for dim, n in sizes.items():
-        own = np.array(drawn.loc[drawn["dim"] == dim, "vec"].tolist(), np.int64).reshape(-1, dim)
+        own = np.array((picked := drawn.loc[drawn["dim"] == dim, "vec"].tolist()), np.int64).reshape(len(picked), dim)
         cuts[dim] = Regions(own, n, asks.get(dim, 0), shard_rows)
     sent = spark.sparkContext.broadcast(cuts)  # at most MOST_REGIONS cuts for each length
 
@@ -223,7 +223,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int
             parts = []
             for dim, own in pdf.groupby("dim"):
                 plan = sent.value[dim]
-                region = plan.region(np.array(own["vec"].tolist(), np.int64).reshape(-1, dim))
+                region = plan.region(np.array(own["vec"].tolist(), np.int64).reshape(len(own), dim))
                 spot = own["place"].to_numpy(np.int64).view(np.uint64)
                 group = plan.group[region]
                 block = plan.first_block[group] + (spot % plan.blocks[group].astype(np.uint64)).astype(np.int64)

@@ -184,6 +184,8 @@ def test_top_k_edges(spark):
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(df, F.col("vec_id") % 100 == 0, k=2).collect()}
     assert got == {(0, 1): (1, 1 << 20), (0, 2): (2, 1 << 20), (100, 1): (0, 1 << 19), (100, 2): (1, 1 << 19), (200, 1): (7, 1 << 21)}
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    none = spark.createDataFrame([(0, []), (3, []), (2, []), (100, [1.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.exact_top_k(none, F.col("vec_id") % 100 == 0, k=1).collect())) == [(0, 1, 2, 0)]
     big = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [3.0, 2.0**30])], "vec_id long, embedding array<double>")
     assert topk.exact_top_k(big, F.col("vec_id") == 0, scale=1).first()["score"] == 3 * 2**40 + 2**30
 
