@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,7 +81,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return known.get()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagelore-"))
+    folder = tempfile.mkdtemp(prefix="pagelore-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
