@@ -140,15 +140,9 @@ def line_breaks(text: Column) -> Column:
 
 
 def fix_text_before_nfc(text: Column) -> Column:
-    """Most texts have none of what a step replaces; one look for it costs less than its passes."""
-
-    def step(t: Column, pairs: dict[str, str]) -> Column:
-        some = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in pairs) + "]"
-        return bound(t, lambda x: F.when(F.regexp_like(x, F.lit(some)), replaced(x, pairs)).otherwise(x))
-
-    beyond = lambda t: uncurl_quotes(step(step(step(t, c1_pairs()), LIGATURES), width_pairs()))
-    plain = bound(remove_terminal_codes(text), lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(beyond(t)))
-    return line_breaks(plain)
+    """One chain of built-in replacements: all of it is compiled, which costs less than looking first whether a step has anything to do."""
+    text = replaced(replaced(remove_terminal_codes(text), c1_pairs()), LIGATURES)
+    return line_breaks(uncurl_quotes(replaced(text, width_pairs())))
 
 
 def fix_text(text: Column, compose: bool = True) -> Column:
